@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import leakage, near_dup, packing, splitting, term_frequency
+from . import leakage, near_dup, packing, secrets, splitting, term_frequency
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -56,6 +56,18 @@ def _modules(spark, root):
     return table(spark, root, "vba_modules").select(F.col("module_id").alias("id"), F.col("vba_source_text").alias("text"))
 
 
+@query("p4_found")
+def p4_found(spark, root):
+    found = secrets.find_credentials(table(spark, root, "vba_modules"))
+    return found.filter("part = 0").select("module_id", "line_no").distinct()
+
+
+@query("p4_masked")
+def p4_masked(spark, root):
+    modules = table(spark, root, "vba_modules")
+    return secrets.mask_credentials(modules, secrets.find_credentials(modules))
+
+
 @query("p6_found")
 def p6_found(spark, root):
     return near_dup.near_duplicate_pairs(_modules(spark, root), 0.6, 3, 40).select(F.col("a").alias("module_id_a"), F.col("b").alias("module_id_b"))
