@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import leakage, near_dup, packing, secrets, splitting, term_frequency
+from . import encoding_repair, leakage, near_dup, packing, secrets, splitting, term_frequency
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -56,6 +56,17 @@ def _modules(spark, root):
     return table(spark, root, "vba_modules").select(F.col("module_id").alias("id"), F.col("vba_source_text").alias("text"))
 
 
+@query("p3_found")
+def p3_found(spark, root):
+    return encoding_repair.garbled_units(table(spark, root, "vba_modules")).select("module_id", "field").distinct()
+
+
+@query("p3_restored")
+def p3_restored(spark, root):
+    modules = table(spark, root, "vba_modules")
+    return encoding_repair.restore_fields(modules, encoding_repair.garbled_units(modules))
+
+
 @query("p4_found")
 def p4_found(spark, root):
     found = secrets.find_credentials(table(spark, root, "vba_modules"))
