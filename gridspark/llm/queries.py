@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import encoding_repair, leakage, near_dup, packing, secrets, splitting, term_frequency
+from . import code_language, encoding_repair, leakage, near_dup, packing, secrets, splitting, term_frequency
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -79,6 +79,18 @@ def p4_masked(spark, root):
     return secrets.mask_credentials(modules, secrets.find_credentials(modules))
 
 
+@query("p5_found")
+def p5_found(spark, root):
+    modules = table(spark, root, "vba_modules")
+    garbled = encoding_repair.garbled_units(modules).filter("field = 'vba_source_text'").select("module_id").distinct()
+    return code_language.natural_language(modules).select("module_id", "lang").distinct().join(garbled, "module_id", "left_anti")
+
+
+@query("p5_languages")
+def p5_languages(spark, root):
+    return code_language.natural_language(table(spark, root, "vba_modules"))
+
+
 @query("p6_found")
 def p6_found(spark, root):
     return near_dup.near_duplicate_pairs(_modules(spark, root), 0.6, 3, 40).select(F.col("a").alias("module_id_a"), F.col("b").alias("module_id_b"))
