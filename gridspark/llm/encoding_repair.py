@@ -172,9 +172,9 @@ class Judge:
         best = None
         before = self.usual(unit)
         for pair in PAIRS:
-            after = reread(unit, pair)
+            after = whole = reread(unit, pair)
             if after is None or after == unit:
-                after = self._by_runs(unit, pair) if pair[0] == "utf-8" else None
+                after, whole = self._by_runs(unit, pair) if pair[0] == "utf-8" else None, None
             if after is None or after == unit or not _NON_ASCII.search(after):
                 continue
             name = f"{pair[0]}>{pair[1]}"
@@ -183,6 +183,8 @@ class Judge:
                 # one Latin letter for another: only where the words show damage, and more than one does
                 if sum(damage(w) > 0 for w in _words(unit)) < 2:
                     continue
+            if pair[0] == "utf-8" and whole:  # a whole text that is valid UTF-8 by chance gets rarer with every byte
+                margin = max(-4.0, min(margin, 1.0) - 0.5 * (len(_NON_ASCII.findall(unit)) - 2))
             gain = self.usual(after) - before
             if gain >= margin and (best is None or gain > best[0]):
                 best = (gain, after, name)
