@@ -117,9 +117,9 @@ def align(word: str, clean: str) -> str | None:
         return LOST if re.fullmatch("".join(parts), word) else None
     for pair in PAIRS:
         once = misread(clean, pair)
-        if once == word:
-            return f"{pair[0]}>{pair[1]}"
-        if once is not None and misread(once, pair) == word:
+        if once is None:
+            continue
+        if once == word or misread(once, pair) == word or pair[1] == "cp1252" and misread(clean, (pair[0], "latin-1")) == word:
             return f"{pair[0]}>{pair[1]}"
     seen = [c for c in theirs if c not in "?�"]
     if len(seen) < len(theirs):  # partly lost: what is left must come from one transformation
@@ -161,7 +161,12 @@ class Judge:
     """Decides whether a unit is garbled, from counts of characters and votes for transformations."""
 
     def __init__(self, counts: dict[str, int], votes: dict[str, int], least_votes: int = 2):
-        self.counts, self.learned = counts, {t for t, n in votes.items() if n >= least_votes}
+        self.counts, self.least_votes, self.learned = counts, least_votes, {t for t, n in votes.items() if n >= least_votes}
+
+    def with_votes(self, transformations) -> Judge:
+        out = Judge(self.counts, {}, self.least_votes)
+        out.learned = self.learned | set(transformations)
+        return out
 
     def usual(self, text: str) -> float:
         fs = features(text)
@@ -301,7 +306,8 @@ def twin_words(words: DataFrame) -> DataFrame:
         "word", "n", F.regexp_replace("word", "[^A-Za-z]", "").alias("skeleton"),
         F.regexp_replace("word", r"[^?\x{fffd}\x{80}-\x{9f}\x{2500}-\x{259f}]", "").alias("hurt"),
     )
-    clean = keyed.filter("hurt = ''").groupBy("skeleton").agg(
+    # a name may hold the capital of a letter that texts hold small: one twin of either kind
+    clean = keyed.filter("hurt = ''").groupBy("skeleton", F.col("word").rlike(r"^[\P{ASCII}&&\p{Lu}][a-z]").alias("capital")).agg(
         F.max_by("word", F.struct("n", "word")).alias("clean"), F.max("n").alias("clean_n")
     )
     schema = pa.schema([("word", pa.string()), ("clean", pa.string()), ("transformation", pa.string())])
@@ -343,32 +349,40 @@ def garbled_units(modules: DataFrame) -> DataFrame:
     own = cut(field_units(modules))
     words = _exploded(own, "word", words_of)
     twins = cut(twin_words(words))
-    judge = own.sparkSession.sparkContext.broadcast(judge_of(own, twins))
+    context = own.sparkSession.sparkContext
+    first = judge_of(own, twins)
     schema = pa.schema([
         ("module_id", pa.int64()), ("field", pa.string()), ("unit", pa.string()), ("restored", pa.string()), ("transformation", pa.string()), ("evidence", pa.string()),
     ])
 
-    def run(batches):
-        held: dict[str, tuple[str, str] | None] = {}
-        for batch in batches:
-            rows = []
-            for i, f, u in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                if u.isascii():
-                    continue
-                if u not in held:
-                    if len(held) > 200_000:
-                        held.clear()
-                    held[u] = judge.value.restore(u)
-                got = held[u]
-                if got:
-                    rows.append((i, f, u, got[0], got[1], "learned"))
-                elif "�" in u:
-                    rows.append((i, f, u, None, LOST, "lost"))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*rows), schema)], schema=schema)
+    def run(judge):
+        def judged(batches):
+            held: dict[str, tuple[str, str] | None] = {}
+            for batch in batches:
+                rows = []
+                for i, f, u in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                    if u.isascii():
+                        continue
+                    if u not in held:
+                        if len(held) > 200_000:
+                            held.clear()
+                        held[u] = judge.value.restore(u)
+                    got = held[u]
+                    if got:
+                        rows.append((i, f, u, got[0], got[1], "learned"))
+                    elif "�" in u:
+                        rows.append((i, f, u, None, LOST, "lost"))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*rows), schema)], schema=schema)
+
+        return judged
 
     shape = "module_id bigint, field string, unit string, restored string, transformation string, evidence string"
-    learned = own.mapInArrow(run, shape)
+    # scripts that leave no skeleton have no twins: what wins by the wide margin there votes for the rest
+    sure = own.mapInArrow(run(context.broadcast(first)), shape).filter("evidence = 'learned'").select("unit", "transformation").distinct()
+    seconds = sure.groupBy("transformation").agg(F.count("*").alias("n")).filter(F.col("n") >= first.least_votes).collect()
+    judge = context.broadcast(first.with_votes(r.transformation for r in seconds))
+    learned = own.mapInArrow(run(judge), shape)
     by_twin = words.join(twins, "word").select(
         "module_id", "field", F.col("word").alias("unit"), F.col("clean").alias("restored"), "transformation", F.lit("twin").alias("evidence")
     )
