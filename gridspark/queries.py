@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-from .operators import shred
+from .functions import cells
+from .operators import evaluate, relations, shred
+from .plans import generated, render, scrub
 from .session import cut, table
+from .sources import biff12, ooxml, package, vba
+from .testing import writers
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -61,3 +66,484 @@ def _entity(child: str) -> Query:
 
 for _child in ENTITIES:
     QUERIES[f"p2_{_child}s"] = _entity(_child)
+
+
+# ---- addresses, numbers, paths: expressions ----
+
+
+@query("col_to_letter", """
+SELECT o_orderkey, (CASE WHEN c >= 702 THEN chr(CAST(65 + (c - 702) // 676 AS INT)) ELSE '' END) || (CASE WHEN c >= 26 THEN chr(CAST(65 + ((c - 26) // 26) % 26 AS INT)) ELSE '' END)
+  || chr(CAST(65 + c % 26 AS INT)) AS letters FROM (SELECT o_orderkey, o_orderkey % 16384 AS c FROM orders)""")
+def col_to_letter(spark, root):
+    return table(spark, root, "orders").select("o_orderkey", cells.column_letters(F.pmod("o_orderkey", F.lit(16384))).alias("letters"))
+
+
+@query("letter_to_col", "SELECT o_orderkey, CAST(o_orderkey % 16384 AS BIGINT) AS col FROM orders")
+def letter_to_col(spark, root):
+    letters = cells.column_letters(F.pmod("o_orderkey", F.lit(16384)))
+    return table(spark, root, "orders").select("o_orderkey", cells.column_index(letters).cast("bigint").alias("col"))
+
+
+@query("cell_address", """
+SELECT l_orderkey, l_linenumber, (CASE WHEN c >= 702 THEN chr(CAST(65 + (c - 702) // 676 AS INT)) ELSE '' END) || (CASE WHEN c >= 26 THEN chr(CAST(65 + ((c - 26) // 26) % 26 AS INT)) ELSE '' END)
+  || chr(CAST(65 + c % 26 AS INT)) || CAST(l_orderkey % 1048576 + 1 AS VARCHAR) AS addr FROM (SELECT *, l_partkey % 16384 AS c FROM lineitem)""")
+def cell_address(spark, root):
+    return table(spark, root, "lineitem").select(
+        "l_orderkey", "l_linenumber", cells.address(F.pmod("l_orderkey", F.lit(cells.MAX_ROWS)), F.pmod("l_partkey", F.lit(cells.MAX_COLS))).alias("addr")
+    )
+
+
+@query("address_parts", "SELECT l_orderkey, l_linenumber, CAST(l_orderkey % 1048576 AS BIGINT) AS row, CAST(l_partkey % 16384 AS BIGINT) AS col FROM lineitem")
+def address_parts(spark, root):
+    named = cell_address(spark, root)
+    return named.select("l_orderkey", "l_linenumber", cells.row_of("addr").cast("bigint").alias("row"), cells.col_of("addr").cast("bigint").alias("col"))
+
+
+@query("rk_decode", """
+SELECT l_orderkey, l_linenumber, CAST(l_partkey - 10000 AS DOUBLE) AS whole, CAST(l_partkey - 10000 AS DOUBLE) / 100 AS cents, pow(2::DOUBLE, l_linenumber) AS real FROM lineitem""")
+def rk_decode(spark, root):
+    n = F.pmod(F.col("l_partkey") - 10000, F.lit(1 << 30)).cast("bigint")
+    return table(spark, root, "lineitem").select(
+        "l_orderkey", "l_linenumber", cells.rk_number(n * 4 + 2).alias("whole"), cells.rk_number(n * 4 + 3).alias("cents"),
+        cells.rk_number((F.col("l_linenumber").cast("bigint") + 1023) * (1 << 20)).alias("real"),
+    )
+
+
+@query("rel_wrap", """
+SELECT o_orderkey, CAST(((o_orderkey * 7 + o_custkey % 2000000 - 1000000) % 1048576 + 1048576) % 1048576 AS BIGINT) AS row, CAST(((o_custkey % 16384 - 9000) % 16384 + 16384) % 16384 AS BIGINT) AS col FROM orders""")
+def rel_wrap(spark, root):
+    return table(spark, root, "orders").select(
+        "o_orderkey", cells.wrap_row(F.col("o_orderkey") * 7, F.col("o_custkey") % 2000000 - 1000000).alias("row"), cells.wrap_col(F.col("o_custkey") % 16384, F.lit(-9000)).alias("col")
+    )
+
+
+@query("error_text", """
+SELECT event_id, CASE event_id % 64 WHEN 0 THEN '#NULL!' WHEN 7 THEN '#DIV/0!' WHEN 15 THEN '#VALUE!' WHEN 23 THEN '#REF!' WHEN 29 THEN '#NAME?' WHEN 36 THEN '#NUM!' WHEN 42 THEN '#N/A'
+  WHEN 43 THEN '#GETTING_DATA' ELSE '#ERR' END AS text FROM events""")
+def error_text(spark, root):
+    return table(spark, root, "events").select("event_id", cells.error_text(F.col("event_id") % 64).alias("text"))
+
+
+_NUMBER_TEXT = "CASE p_partkey % 6 WHEN 0 THEN p_name WHEN 1 THEN CAST(p_partkey AS {s}) WHEN 2 THEN concat('-', CAST(p_size AS {s}), '.5') WHEN 3 THEN concat(' ', CAST(p_size AS {s}), ' ') WHEN 4 THEN '1e400' ELSE concat(CAST(p_size AS {s}), 'e3') END"
+
+
+@query("number_typing", """
+SELECT p_partkey, CASE WHEN p_partkey % 6 IN (0, 4) THEN 'str' WHEN p_partkey % 6 = 2 THEN 'float' ELSE 'int' END AS kind,
+  CASE p_partkey % 6 WHEN 1 THEN p_partkey WHEN 3 THEN CAST(p_size AS BIGINT) WHEN 5 THEN CAST(p_size AS BIGINT) * 1000 END AS v_int,
+  CASE p_partkey % 6 WHEN 1 THEN CAST(p_partkey AS DOUBLE) WHEN 2 THEN -p_size - 0.5::DOUBLE WHEN 3 THEN CAST(p_size AS DOUBLE) WHEN 5 THEN p_size * 1000::DOUBLE END AS v_num FROM part""")
+def number_typing(spark, root):
+    kind, v_int, v_num = cells.typed_number(F.expr(_NUMBER_TEXT.format(s="STRING")))
+    return table(spark, root, "part").select("p_partkey", kind.alias("kind"), v_int.alias("v_int"), v_num.alias("v_num"))
+
+
+@query("path_resolve", """
+SELECT n_nationkey, 'xl/pivotTables/' || n_name || '.xml' AS up, 'xl/worksheets/' || n_name AS beside, 'xl/media/' || n_name AS absolute FROM nation""")
+def path_resolve(spark, root):
+    sheet = F.concat(F.lit("xl/worksheets/"), "n_name", F.lit(".xml"))
+    return table(spark, root, "nation").select(
+        "n_nationkey", cells.resolve_path(sheet, F.concat(F.lit("../pivotTables/./"), "n_name", F.lit(".xml"))).alias("up"),
+        cells.resolve_path(sheet, F.concat(F.lit("x/../"), "n_name")).alias("beside"), cells.resolve_path(sheet, F.concat(F.lit("/xl/media/"), "n_name")).alias("absolute"),
+    )
+
+
+@query("format_detect", "SELECT DISTINCT path, CASE WHEN lower(path) LIKE '%.xlsx' OR lower(path) LIKE '%.xlsm' THEN 'xlsx' ELSE 'xlsb' END AS format FROM sheets")
+def format_detect(spark, root):
+    return table(spark, root, "sheets").select("path", cells.package_format("path").alias("format")).distinct()
+
+
+@query("varint_decode", "SELECT p_partkey, CAST(p_partkey * 37 AS BIGINT) AS value FROM part")
+def varint_decode(spark, root):
+    v = F.col("p_partkey") * 37
+    byte = lambda x: F.lpad(F.hex(x), 2, "0")
+    raw = F.unhex(F.concat(byte(v.bitwiseAND(127).bitwiseOR(128)), byte(F.shiftright(v, 7).bitwiseAND(127).bitwiseOR(128)), byte(F.shiftright(v, 14).bitwiseAND(127))))
+    return table(spark, root, "part").select("p_partkey", cells.varint(raw).alias("value"))
+
+
+@query("serial_dates", "SELECT o_orderkey, date_diff('microsecond', TIMESTAMP '1899-12-30', o_orderdate) / 86400000000.0::DOUBLE AS serial, CAST(o_orderdate AS VARCHAR) AS back FROM orders")
+def serial_dates(spark, root):
+    serial = cells.timestamp_to_serial("o_orderdate")
+    return table(spark, root, "orders").select("o_orderkey", serial.alias("serial"), F.date_format(cells.serial_to_timestamp(serial), "yyyy-MM-dd HH:mm:ss").alias("back"))
+
+
+# ---- the sparse grid, and the joins hidden in it ----
+
+_GRID = {"l_orderkey": 0, "l_quantity": 1, "l_extendedprice": 2, "l_returnflag": 3, "l_linestatus": 4}
+_GRID_SQL = " UNION ALL ".join(
+    f"SELECT row, {k} AS col, chr({65 + k}) || CAST(row + 1 AS VARCHAR) AS addr, "
+    + (f"'str' AS kind, NULL::BIGINT AS v_int, NULL::DOUBLE AS v_num, {c} AS v_str" if k > 2 else f"CASE WHEN {c} = floor({c}) THEN 'int' ELSE 'float' END AS kind, CASE WHEN {c} = floor({c}) THEN CAST({c} AS BIGINT) END AS v_int, CAST({c} AS DOUBLE) AS v_num, NULL AS v_str")
+    + f" FROM rows_ WHERE {c} IS NOT NULL" for c, k in _GRID.items()
+)
+
+
+@query("grid_to_cells", f"WITH rows_ AS (SELECT *, CAST(l_orderkey * 8 + l_linenumber AS INT) AS row FROM lineitem) {_GRID_SQL}")
+def grid_to_cells(spark, root):
+    return relations.to_cells(table(spark, root, "lineitem"), "book", "Lines", "l_orderkey * 8 + l_linenumber", _GRID).select("row", "col", "addr", "kind", "v_int", "v_num", "v_str")
+
+
+@query("cells_to_grid", "SELECT CAST(n_nationkey AS INT) AS row, CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name, CAST(n_regionkey AS VARCHAR) AS n_regionkey FROM nation")
+def cells_to_grid(spark, root):
+    own = relations.to_cells(table(spark, root, "nation"), "book", "Nations", "n_nationkey", {"n_nationkey": 0, "n_name": 1, "n_regionkey": 2})
+    return relations.grid(own, {0: "n_nationkey", 1: "n_name", 2: "n_regionkey"}).select("row", "n_nationkey", "n_name", "n_regionkey")
+
+
+@query("sst_build", "SELECT DISTINCT c_nationkey, c_mktsegment AS text, CAST(dense_rank() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment) - 1 AS INT) AS idx FROM customer")
+def sst_build(spark, root):
+    texts = table(spark, root, "customer").select("c_nationkey", F.col("c_mktsegment").alias("text")).distinct()
+    return texts.withColumn("idx", F.row_number().over(Window.partitionBy("c_nationkey").orderBy("text")) - 1)
+
+
+@query("sst_resolve", """
+WITH s AS (SELECT DISTINCT c_nationkey, c_mktsegment AS text, dense_rank() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment) - 1 AS idx FROM customer)
+SELECT c_custkey, coalesce(text, '') AS text FROM customer c LEFT JOIN s ON s.c_nationkey = c.c_nationkey AND s.idx = c.c_custkey % 7""")
+def sst_resolve(spark, root):
+    rows = table(spark, root, "customer").select("c_custkey", "c_nationkey", (F.col("c_custkey") % 7).cast("int").alias("idx"))
+    return relations.lookup(rows, sst_build(spark, root), ["c_nationkey", "idx"]).select("c_custkey", "text")
+
+
+@query("shared_formula_asof", """
+SELECT o_orderkey, CASE WHEN a IS NULL THEN '={shared_formula}' ELSE '=A' || CAST(o_orderkey % 1000000 + 1 AS VARCHAR) || '+$B$1*LOG10(' || CAST(a AS VARCHAR) || ')&"A1"' END AS formula,
+  CASE WHEN a IS NULL THEN 'unresolved' ELSE 'shared' END AS formula_kind
+FROM (SELECT *, last_value(CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey END IGNORE NULLS) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) AS a FROM orders)""")
+def shared_formula_asof(spark, root):
+    row = F.pmod("o_orderkey", F.lit(1000000)).cast("int")
+    anchor = F.col("o_orderkey") % 3 == 0
+    body = F.concat(F.lit("A"), (row + 1).cast("string"), F.lit("+$B$1*LOG10("), F.col("o_orderkey").cast("string"), F.lit(')&"A1"'))
+    raw = table(spark, root, "orders").select(
+        F.col("o_custkey").cast("string").alias("path"), F.lit(0).alias("sheet_idx"), F.lit("S").alias("sheet"), row.alias("row"), F.lit(2).alias("col"),
+        F.col("o_orderkey").alias("seq"), F.lit("shared").alias("t"), F.lit("0").alias("si"), F.when(anchor, "C1:C9").alias("ref"), F.lit(None).cast("string").alias("ca"),
+        F.when(anchor, body).alias("body"),
+    )
+    return ooxml.resolve_shared(raw).select(F.col("seq").alias("o_orderkey"), "formula", "formula_kind")
+
+
+@query("shared_formula_range", """
+WITH c AS (SELECT DISTINCT l_suppkey % 1000 AS book, CAST(l_partkey % 1000 AS INT) AS row, CAST(l_linenumber AS INT) AS col FROM lineitem),
+b AS (SELECT p_partkey % 1000 AS book, p_size * 10 AS r1, p_size * 10 + 60 AS r2, p_partkey AS seq, p_name FROM part)
+SELECT c.book, c.row, c.col, b.p_name AS body FROM c LEFT JOIN b ON c.book = b.book AND c.row BETWEEN b.r1 AND b.r2 AND c.col BETWEEN 2 AND 5
+QUALIFY row_number() OVER (PARTITION BY c.book, c.row, c.col ORDER BY b.seq) = 1""")
+def shared_formula_range(spark, root):
+    pending = table(spark, root, "lineitem").select(
+        (F.col("l_suppkey") % 1000).alias("book"), (F.col("l_partkey") % 1000).cast("int").alias("row"), F.col("l_linenumber").cast("int").alias("col")
+    ).distinct()
+    bodies = table(spark, root, "part").select(
+        (F.col("p_partkey") % 1000).alias("book"), (F.col("p_size") * 10).alias("row"), (F.col("p_size") * 10 + 60).alias("last_row"), F.lit(2).alias("col"), F.lit(5).alias("last_col"),
+        F.col("p_partkey").alias("seq"), F.encode("p_name", "UTF-8").alias("code"), F.lit(None).cast("binary").alias("extra"), F.lit(False).alias("array"),
+    )
+    return biff12.resolve_rectangles(pending, bodies, ["book"]).select("book", "row", "col", F.decode("body.code", "UTF-8").alias("body"))
+
+
+@query("last_write_wins", """
+SELECT path, sheet_idx, row_idx, col_idx, kind, v_int, v_num, v_str, v_bool, v_err FROM cells
+QUALIFY row_number() OVER (PARTITION BY path, sheet_idx, row_idx, col_idx ORDER BY seq DESC) = 1""")
+def last_write_wins(spark, root):
+    key, rest = ["path", "sheet_idx", "row_idx", "col_idx"], ["kind", "v_int", "v_num", "v_str", "v_bool", "v_err"]
+    return relations.last_write_wins(table(spark, root, "cells").select(*key, *rest, "seq"), key, "seq").drop("seq")
+
+
+@query("sheet_inventory", "SELECT path, sheet_idx, min(sheet) AS sheet, max(lower(part)) AS part, CAST(count(DISTINCT part) AS BIGINT) AS n_names FROM sheets GROUP BY path, sheet_idx")
+def sheet_inventory(spark, root):
+    return table(spark, root, "sheets").groupBy("path", "sheet_idx").agg(F.min("sheet").alias("sheet"), F.max(F.lower("part")).alias("part"), F.count_distinct("part").alias("n_names"))
+
+
+@query("cell_profile", """
+SELECT sheet, kind, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT path) AS BIGINT) AS books, CAST(sum(v_int) AS BIGINT) AS total, min(v_num) AS low, max(v_num) AS high FROM
+(SELECT * FROM cells QUALIFY row_number() OVER (PARTITION BY path, sheet_idx, row_idx, col_idx ORDER BY seq DESC) = 1) GROUP BY sheet, kind""")
+def cell_profile(spark, root):
+    key = ["path", "sheet_idx", "row_idx", "col_idx"]
+    own = relations.last_write_wins(table(spark, root, "cells").select(*key, "sheet", "kind", "v_int", "v_num", "seq"), key, "seq")
+    return own.groupBy("sheet", "kind").agg(F.count("*").alias("n"), F.count_distinct("path").alias("books"), F.sum("v_int").alias("total"), F.min("v_num").alias("low"), F.max("v_num").alias("high"))
+
+
+@query("link_traversal", """
+SELECT n_name, c_custkey, o_orderkey AS first_order, o_orderstatus FROM nation JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey
+QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY o_orderkey) = 1""")
+def link_traversal(spark, root):
+    first = table(spark, root, "orders").groupBy("o_custkey").agg(F.min_by(F.struct("o_orderkey", "o_orderstatus"), "o_orderkey").alias("o"))
+    linked = table(spark, root, "customer").join(first, F.col("c_custkey") == F.col("o_custkey")).join(table(spark, root, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return linked.select("n_name", "c_custkey", F.col("o.o_orderkey").alias("first_order"), "o.o_orderstatus")
+
+
+# ---- filters and pivots, evaluated ----
+
+
+def _custom(logic, *conditions):
+    kinds = {str: ("string", "v_str"), float: ("number", "v_num"), bool: ("bool", "v_bool")}
+    return {"type": "custom", "logic": logic, "conditions": [{"operator": o, "kind": kinds[type(v)][0], "v_num": None, "v_str": None, "v_bool": None, kinds[type(v)][1]: v} for o, v in conditions]}
+
+
+@query("filter_custom_and", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity > 10 AND l_quantity <= 40")
+def filter_custom_and(spark, root):
+    return evaluate.apply_filter_column(table(spark, root, "lineitem"), "l_quantity", _custom("and", (">", 10.0), ("<=", 40.0))).select("l_orderkey", "l_linenumber", "l_quantity")
+
+
+@query("filter_custom_or", "SELECT c_custkey, c_mktsegment FROM customer WHERE upper(c_mktsegment) LIKE 'BU%' OR upper(c_mktsegment) = 'MACHINERY'")
+def filter_custom_or(spark, root):
+    return evaluate.apply_filter_column(table(spark, root, "customer"), "c_mktsegment", _custom("or", ("=", "bu*"), ("=", "machinery"))).select("c_custkey", "c_mktsegment")
+
+
+@query("filter_discrete", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus IN ('F', 'P')")
+def filter_discrete(spark, root):
+    return evaluate.apply_filter_column(table(spark, root, "orders"), "o_orderstatus", {"type": "discrete", "values": ["f", "P", None]}).select("o_orderkey", "o_orderstatus")
+
+
+@query("filter_top10", "SELECT o_orderkey, o_totalprice FROM orders QUALIFY rank() OVER (ORDER BY o_totalprice DESC) <= 25")
+def filter_top10(spark, root):
+    return evaluate.apply_filter_column(table(spark, root, "orders"), "o_totalprice", {"type": "top10", "attrs": {"val": "25", "top": "1"}}).select("o_orderkey", "o_totalprice")
+
+
+@query("filter_dynamic_above_avg", "SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal > (SELECT avg(c_acctbal) FROM customer)")
+def filter_dynamic_above_avg(spark, root):
+    return evaluate.apply_filter_column(table(spark, root, "customer"), "c_acctbal", {"type": "dynamic", "attrs": {"type": "aboveAverage"}}).select("c_custkey", "c_acctbal")
+
+
+@query("pivot_eval", """
+SELECT l_returnflag, l_linestatus, sum(l_quantity) AS qty, CAST(count(l_orderkey) AS BIGINT) AS lines, max(l_discount) AS top, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS price FROM lineitem GROUP BY ALL""")
+def pivot_eval(spark, root):
+    rows = table(spark, root, "lineitem").withColumn("price", F.col("l_extendedprice").cast("decimal(18,2)"))
+    return evaluate.pivot_eval(rows, ["l_returnflag"], ["l_linestatus"], [("l_quantity", "sum", "qty"), ("l_orderkey", "count", "lines"), ("l_discount", "max", "top"), ("price", "sum", "price")]).withColumn(
+        "price", F.col("price").cast("double"))
+
+
+@query("pivot_eval_totals", """
+SELECT l_returnflag, l_linestatus, sum(l_quantity) AS qty, CAST(GROUPING(l_returnflag, l_linestatus) AS BIGINT) AS is_total FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)""")
+def pivot_eval_totals(spark, root):
+    return evaluate.pivot_eval(table(spark, root, "lineitem"), ["l_returnflag"], ["l_linestatus"], [("l_quantity", "sum", "qty")], totals=True)
+
+
+@query("pivot_grid", "SELECT l_returnflag, sum(l_quantity) FILTER (l_linestatus = 'F') AS F, sum(l_quantity) FILTER (l_linestatus = 'O') AS O FROM lineitem GROUP BY l_returnflag")
+def pivot_grid(spark, root):
+    return evaluate.pivot_grid(table(spark, root, "lineitem"), ["l_returnflag"], "l_linestatus", ["F", "O"], ("l_quantity", "sum"))
+
+
+@query("pivot_counts", """
+SELECT l_suppkey, CAST(count(*) FILTER (l_returnflag = 'A') AS BIGINT) AS fields, CAST(count(*) FILTER (l_returnflag = 'R') AS BIGINT) AS items FROM lineitem GROUP BY l_suppkey""")
+def pivot_counts(spark, root):
+    return table(spark, root, "lineitem").groupBy("l_suppkey").agg(F.count_if(F.col("l_returnflag") == "A").alias("fields"), F.count_if(F.col("l_returnflag") == "R").alias("items"))
+
+
+# ---- rendering ----
+
+
+@query("cellmap_json", """
+SELECT 'book' AS path, '{' || string_agg('"A' || CAST(n_nationkey + 1 AS VARCHAR) || '":"' || n_name || '"', ',' ORDER BY n_nationkey) || '}' AS cells FROM nation""")
+def cellmap_json(spark, root):
+    own = relations.to_cells(table(spark, root, "nation"), "book", "Nations", "n_nationkey", {"n_name": 0})
+    pairs = render.cell_map(own, F.col("v_str"))
+    return pairs.select("path", F.to_json(F.map_from_entries("cells")).alias("cells"))
+
+
+@query("sheet_markdown", """
+SELECT 'Nations' AS sheet, string_agg('- A' || CAST(n_nationkey + 1 AS VARCHAR) || ': ' || CAST(n_nationkey AS VARCHAR) || chr(10) || '- B' || CAST(n_nationkey + 1 AS VARCHAR) || ': "' || n_name || '"', chr(10) ORDER BY n_nationkey) AS markdown FROM nation""")
+def sheet_markdown(spark, root):
+    own = relations.to_cells(table(spark, root, "nation"), "book", "Nations", "n_nationkey", {"n_nationkey": 0, "n_name": 1}).withColumn("shown", F.coalesce(
+        F.when(F.col("kind") == "int", F.col("v_int").cast("string")), F.concat(F.lit('"'), "v_str", F.lit('"'))))
+    return render.sheet_markdown(own, F.col("shown")).select("sheet", "markdown")
+
+
+# ---- table -> workbook bytes -> relation ----
+
+
+def _values(columns, form):
+    def write(rows):
+        return getattr(writers, form)({"Data": generated.grid_of(rows, "row_", columns), "Empty": []})
+
+    return write
+
+
+def _value_roundtrip(form):
+    def run(spark, root):
+        book, row = generated.row_in_book("s_suppkey")
+        columns = ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"]
+        made = generated.books(table(spark, root, "supplier").withColumn("row_", row), book, "/made/{0}." + form, _values(columns, form))
+        own = relations.cells(made)
+        key = F.regexp_extract("path", r"/(\d+)\.", 1).cast("bigint") * generated.BOOK_ROWS + F.col("row")
+        return own.select(key.alias("s_suppkey"), "sheet", "col", "addr", "kind", "v_int", "v_num", "v_str")
+
+    return run
+
+
+_VALUE_SQL = "WITH rows_ AS (SELECT *, CAST(s_suppkey % 5000 AS INT) AS row FROM supplier) " + " UNION ALL ".join(
+    f"SELECT s_suppkey, 'Data' AS sheet, {k} AS col, chr({65 + k}) || CAST(row + 1 AS VARCHAR) AS addr, "
+    + ("'str' AS kind, NULL::BIGINT AS v_int, NULL::DOUBLE AS v_num, s_name AS v_str" if c == "s_name" else f"CASE WHEN {c} = floor({c}) THEN 'int' ELSE 'float' END AS kind, CASE WHEN {c} = floor({c}) THEN CAST({c} AS BIGINT) END AS v_int, CAST({c} AS DOUBLE) AS v_num, NULL AS v_str")
+    + f" FROM rows_ WHERE {c} IS NOT NULL" for k, c in enumerate(["s_suppkey", "s_name", "s_nationkey", "s_acctbal"])
+)
+for _form in ("xlsx", "xlsb"):
+    query(f"{_form}_value_roundtrip", _VALUE_SQL)(_value_roundtrip(_form))
+
+
+def _xlsx_formulas(rows):
+    out = []
+    for r, price in zip(rows["row_"].tolist(), rows["o_totalprice"].tolist()):
+        first = r % 100 == 0
+        out.append((r, 0, price, f"ROUND(B{r + 1},2)"))
+        out.append((r, 2, price, {"t": "shared", "si": r // 100, "ref": f"C{r + 1}:C{r + 100}", "text": f'A{r + 1}*$B$1&"A1"'} if first else {"t": "shared", "si": r // 100}))
+        if r % 1000 == 0:
+            out.append((r, 3, 1, {"t": "array", "ref": f"D{r + 1}", "text": f"SUM(A{r + 1}:A{r + 2}*2)"}))
+    return writers.xlsx({"Orders": out})
+
+
+def _xlsb_formulas(rows):
+    out = []
+    for r, price in zip(rows["row_"].tolist(), rows["o_totalprice"].tolist()):
+        code = writers.token_ref(r, 1) + writers.token_int(2) + writers.token_func(0x1B)
+        out.append((r, 0, price, writers.parsed(code)))
+        pending = writers.parsed(b"\x01" + (r - r % 100).to_bytes(4, "little"), (2).to_bytes(4, "little"))
+        shared = writers.token_ref(0, -2, 0x4C) + b"\x44" + (0).to_bytes(4, "little") + (1).to_bytes(2, "little") + b"\x05" + writers.token_text("A1") + b"\x08"
+        body = writers.record(biff12.SHARED_BODY, b"".join(x.to_bytes(4, "little") for x in (r, r + 99, 2, 2)) + writers.parsed(shared))
+        out.append((r, 2, price, (pending, body) if r % 100 == 0 else pending))
+        if r % 1000 == 0:
+            code = writers.token_area(r, r + 1, 0, 0) + writers.token_int(2) + b"\x05" + writers.token_func(4, 1)
+            body = writers.record(biff12.ARRAY_BODY, b"".join(x.to_bytes(4, "little") for x in (r, r, 3, 3)) + writers.parsed(code))
+            out.append((r, 3, 1, (writers.parsed(b"\x01" + r.to_bytes(4, "little"), (3).to_bytes(4, "little")), body)))
+    return writers.xlsb({"Orders": out})
+
+
+def _formula_roundtrip(form, write):
+    def run(spark, root):
+        book, row = generated.row_in_book("o_orderkey")
+        rows = table(spark, root, "orders").select("o_orderkey", "o_totalprice").withColumn("row_", row)
+        made = generated.books(rows, book, "/made/{0}." + form, write)
+        key = F.regexp_extract("path", r"/(\d+)\.", 1).cast("bigint") * generated.BOOK_ROWS + F.col("row")
+        return relations.formulas(made).select(key.alias("o_orderkey"), "col", "formula", "formula_kind")
+
+    return run
+
+
+_FORMULA_SQL = """
+WITH rows_ AS (SELECT o_orderkey, o_orderkey % 5000 AS r FROM orders), anchors AS (SELECT DISTINCT o_orderkey // 100 AS block FROM orders WHERE o_orderkey % 100 = 0)
+SELECT o_orderkey, 0 AS col, '=ROUND(B' || CAST(r + 1 AS VARCHAR) || ',2)' AS formula, 'normal' AS formula_kind FROM rows_
+UNION ALL SELECT o_orderkey, 2, '=A' || CAST(r + 1 AS VARCHAR) || '*$B$1&"A1"', 'shared' FROM rows_ WHERE o_orderkey // 100 IN (SELECT block FROM anchors)
+UNION ALL SELECT o_orderkey, 2, '={shared_formula}', 'unresolved' FROM rows_ WHERE o_orderkey // 100 NOT IN (SELECT block FROM anchors)
+UNION ALL SELECT o_orderkey, 3, '{=SUM(A' || CAST(r + 1 AS VARCHAR) || ':A' || CAST(r + 2 AS VARCHAR) || '*2)}', 'array' FROM rows_ WHERE r % 1000 = 0"""
+query("xlsx_formula_roundtrip", _FORMULA_SQL)(_formula_roundtrip("xlsx", _xlsx_formulas))
+query("xlsb_formula_roundtrip", _FORMULA_SQL)(_formula_roundtrip("xlsb", _xlsb_formulas))
+
+
+def _filter_book(form):
+    def write(rows):
+        name, key = rows["n_name"].iloc[0], int(rows["n_nationkey"].iloc[0])
+        if form == "xlsx":
+            tail = (
+                f'<autoFilter ref="A1:C{key + 2}"><filterColumn colId="0"><filters><filter val="{name}"/></filters></filterColumn>'
+                f'<filterColumn colId="2"><customFilters and="1"><customFilter operator="greaterThan" val="{key}"/><customFilter val="x*"/></customFilters></filterColumn></autoFilter>'
+            )
+        else:
+            tail = writers.filter_records((0, key + 1, 0, 2), [{"col_id": 0, "values": [name]}, {"col_id": 2, "logic": "and", "criteria": [(4, float(key)), (2, "x*")]}])
+        return getattr(writers, form)({"Other": [], "Filtered": [(0, 0, name)]}, {"Filtered": tail})
+
+    return write
+
+
+def _filter_roundtrip(form):
+    def run(spark, root):
+        made = generated.books(table(spark, root, "nation"), F.col("n_nationkey"), "/made/{0}." + form, _filter_book(form))
+        got = relations.auto_filters(made).select(F.regexp_extract("path", r"/(\d+)\.", 1).cast("int").alias("n_nationkey"), "sheet", "ref", F.explode("columns").alias("c"))
+        shown = F.transform("c.conditions", lambda x: F.concat_ws(" ", x["operator"], F.coalesce(x["v_str"], x["v_num"].cast("bigint").cast("string"))))
+        return got.select("n_nationkey", "sheet", "ref", F.col("c.col_id").cast("bigint").alias("col_id"), F.col("c.type").alias("type"), F.col("c.logic").alias("logic"),
+                          F.array_join(shown, "|").alias("conditions"), F.array_join("c.values", "|").alias("listed"))
+
+    return run
+
+
+_FILTER_SQL = """
+SELECT n_nationkey, 'Filtered' AS sheet, 'A1:C' || CAST(n_nationkey + 2 AS VARCHAR) AS ref, 0::BIGINT AS col_id, 'discrete' AS type, NULL AS logic, NULL AS conditions, n_name AS listed FROM nation
+UNION ALL SELECT n_nationkey, 'Filtered', 'A1:C' || CAST(n_nationkey + 2 AS VARCHAR), 2, 'custom', 'and', '> ' || CAST(n_nationkey AS VARCHAR) || '|= x*', NULL FROM nation"""
+for _form in ("xlsx", "xlsb"):
+    query(f"{_form}_filter_roundtrip", _FILTER_SQL)(_filter_roundtrip(_form))
+
+
+def _pivot_book(form):
+    def write(rows):
+        name, key = rows["n_name"].iloc[0], int(rows["n_nationkey"].iloc[0])
+        xml = (
+            f'<pivotTableDefinition xmlns="{writers.MAIN}" name="{name}" cacheId="{key}" dataCaption="Values"><location ref="A3:D{key + 9}" firstHeaderRow="1" firstDataRow="2" firstDataCol="1" rowPageCount="1" colPageCount="1"/>'
+            '<pivotFields count="2"><pivotField axis="axisRow"><items count="2"><item x="0"/><item t="default"/></items></pivotField><pivotField dataField="1"/></pivotFields>'
+            f'<rowFields count="1"><field x="0"/></rowFields><colFields count="1"><field x="-2"/></colFields><dataFields count="1"><dataField name="Sum of {name}" fld="1"/></dataFields></pivotTableDefinition>'
+        )
+        le = lambda *xs: b"".join(x.to_bytes(4, "little") for x in xs)
+        raw = writers.record(biff12.SX_VIEW, b"\0" * 28 + le(key) + writers.wide(name) + writers.wide("Values"))
+        raw += writers.record(biff12.SX_LOCATION, le(2, key + 8, 0, 3, 0, 1, 1, 1, 1))
+        raw += writers.record(biff12.SX_FIELD) + writers.record(biff12.SX_ITEM) * 2 + writers.record(biff12.SX_FIELD)
+        end = {"xlsx": "xml", "xlsb": "bin"}[form]
+        extra = {
+            f"xl/worksheets/_rels/sheet1.{end}.rels": writers.rels_xml({"rId1": f"../pivotTables/p1.{end}"}), f"xl/pivotTables/p1.{end}": xml if form == "xlsx" else raw,
+            f"xl/pivotTables/_rels/p1.{end}.rels": writers.rels_xml({"rId1": f"../pivotCache/pivotCacheDefinition1.{end}"}),
+        }
+        return getattr(writers, form)({"Pivot": [(0, 0, name)]}, extra=extra)
+
+    return write
+
+
+def _pivot_roundtrip(form):
+    def run(spark, root):
+        made = generated.books(table(spark, root, "nation"), F.col("n_nationkey"), "/made/{0}." + form, _pivot_book(form))
+        return relations.pivot_tables(made).select(
+            F.col("cache_id").alias("n_nationkey"), "name", "sheet", "data_caption", F.regexp_replace("part", r"\.\w+$", "").alias("part"),
+            F.regexp_replace("pivot_cache_definition", r"\.\w+$", "").alias("cache"), "pivot_fields", "pivot_items",
+            F.concat_ws(":", "location.rfx_geom.top_left", "location.rfx_geom.bottom_right").alias("body"), F.size("data_fields").alias("n_data"),
+        )
+
+    return run
+
+
+_PIVOT_SQL = """
+SELECT n_nationkey, n_name AS name, 'Pivot' AS sheet, 'Values' AS data_caption, 'xl/pivotTables/p1' AS part, 'xl/pivotCache/pivotCacheDefinition1' AS cache, 2 AS pivot_fields, 2 AS pivot_items,
+  'A3:D' || CAST(n_nationkey + 9 AS VARCHAR) AS body, {n} AS n_data FROM nation"""
+query("pivot_meta_roundtrip", _PIVOT_SQL.format(n=1))(_pivot_roundtrip("xlsx"))
+query("pivot_meta_roundtrip_xlsb", _PIVOT_SQL.format(n=0))(_pivot_roundtrip("xlsb"))
+
+
+@query("sheet_filter", "SELECT 'region' AS sheet, CAST(r_regionkey AS INT) AS row, r_name AS v_str FROM region")
+def sheet_filter(spark, root):
+    both = table(spark, root, "nation").select(F.lit("nation").alias("t"), F.col("n_nationkey").alias("k"), F.col("n_name").alias("n")).unionByName(
+        table(spark, root, "region").select(F.lit("region").alias("t"), F.col("r_regionkey").alias("k"), F.col("r_name").alias("n")))
+
+    def write(rows):
+        return writers.xlsx({t: generated.grid_of(own, "k", ["n"]) for t, own in rows.groupby("t")})
+
+    return relations.cells(generated.books(both, F.lit(0), "/made/{0}.xlsx", write), "region").select("sheet", "row", "v_str")
+
+
+@query("vba_modules_roundtrip", "SELECT DISTINCT path, CAST(module_id AS VARCHAR) AS module, vba_source_text AS source FROM vba_modules WHERE vba_source_text IS NOT NULL")
+def vba_modules_roundtrip(spark, root):
+    rows = table(spark, root, "vba_modules").select("path", "module_id", F.col("vba_source_text").alias("text")).filter("text is not null").distinct()
+
+    def write(own):
+        return writers.xlsx({"S": []}, extra={"xl/vbaProject.bin": writers.vba_project({str(m): t for m, t in zip(own["module_id"], own["text"])}, 65001)})
+
+    # modules of a workbook are dealt over workbooks of bounded size
+    book = F.concat_ws("#", "path", F.floor(F.col("module_id") / 500))
+    made = generated.books(rows, book, "{0}.xlsm", write)
+    return relations.vba_modules(made).select(F.element_at(F.split("path", "#"), 1).alias("path"), "module", "source")
+
+
+@query("ovba_roundtrip", "SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL")
+def ovba_roundtrip(spark, root):
+    @F.pandas_udf("string")
+    def there_and_back(texts):
+        return texts.map(lambda t: vba.decompress(writers.compress(t.encode())).decode())
+
+    return table(spark, root, "documents").select("doc_id", "text").filter("text is not null").distinct().select("doc_id", there_and_back("text").alias("text"))
+
+
+@query("metadata_scrub", "SELECT n_nationkey, '<a><lastModifiedBy></lastModifiedBy><Application></Application><title>' || n_name || '</title></a>' AS core FROM nation")
+def metadata_scrub(spark, root):
+    def write(rows):
+        name = rows["n_name"].iloc[0]
+        return writers.xlsx({"S": [(0, 0, name)]}, extra={"docProps/core.xml": f"<a><lastModifiedBy>{name}</lastModifiedBy><Application>x</Application><title>{name}</title></a>"})
+
+    made = generated.books(table(spark, root, "nation"), F.col("n_nationkey"), "/made/{0}.xlsx", write)
+    found = package.parts(scrub.strip_metadata(made), r"^docprops/core\.xml$")
+    return found.select(F.regexp_extract("path", r"/(\d+)\.", 1).cast("int").alias("n_nationkey"), F.col("text").alias("core"))
+
+
+@query("record_framing", "SELECT p_partkey, CAST(p_size AS INT) AS rec_type, p_name AS payload FROM part")
+def record_framing(spark, root):
+    book, _ = generated.row_in_book("p_partkey")
+
+    def write(rows):
+        parts = {f"xl/p{k}.bin": writers.record(int(t), n.encode()) for k, t, n in zip(rows["p_partkey"], rows["p_size"], rows["p_name"])}
+        return writers.package(parts)
+
+    made = generated.books(table(spark, root, "part"), book, "/made/{0}.xlsb", write)
+    return biff12.record_table(package.parts(made)).select(F.regexp_extract("part", r"(\d+)", 1).cast("bigint").alias("p_partkey"), "rec_type", F.decode("payload", "UTF-8").alias("payload"))
