@@ -145,9 +145,11 @@ def children(tree: DataFrame) -> DataFrame:
 
     The adjacency table is joined to itself, child to parent and parent to grandparent.
     """
-    up = tree.select(*KEY, F.col("node").alias("parent"), F.col("parent").alias("above"), F.col("label").alias("up"), F.col("ordinal").alias("up_pos"))
-    over = tree.select(*KEY, F.col("node").alias("above"), F.col("label").alias("top"), F.col("ordinal").alias("top_pos"))
-    linked = tree.filter("parent >= 0").join(up, [*KEY, "parent"]).join(over, [*KEY, "above"], "left")
+    # only objects have children, and only these labels have any that are entities
+    inner = tree.filter((F.col("kind") == "object") & F.col("label").isin("", *OBJECTS))
+    up = inner.select(*KEY, F.col("node").alias("parent"), F.col("parent").alias("above"), F.col("label").alias("up"), F.col("ordinal").alias("up_pos"))
+    over = inner.select(*KEY, F.col("node").alias("above"), F.col("label").alias("top"), F.col("ordinal").alias("top_pos"))
+    linked = tree.filter((F.col("parent") >= 0) & F.col("label").isin(*LISTS, *OBJECTS)).join(up, [*KEY, "parent"]).join(over, [*KEY, "above"], "left")
     label, at_root, under_column = F.col("label"), F.col("above") == -1, F.col("up") == "columns"
     entity = F.col("kind") == "object"
     named = (

@@ -33,7 +33,53 @@ def _tree(spark: SparkSession, root: str) -> DataFrame:
     return shred.nodes(shred.workbook_records(*(table(spark, root, t) for t in ("auto_filters", "pivot_tables", "raw_records"))))
 
 
-@query("p2_found")
+def _plain(x: str) -> str:
+    """SQL of a JSON value, or of what it holds as JSON text."""
+    return f"CASE WHEN json_type({x}) = 'VARCHAR' AND left(ltrim({x}->>'$'), 1) IN ('{{', '[') AND json_valid({x}->>'$') THEN CAST({x}->>'$' AS JSON) ELSE {x} END"
+
+
+def _listed(x: str) -> str:
+    """SQL of a JSON value as a list: a lone value is a list of one."""
+    p = _plain(x)
+    return f"CASE coalesce(json_type({p}), 'NULL') WHEN 'ARRAY' THEN CAST({p} AS JSON[]) WHEN 'NULL' THEN CAST([] AS JSON[]) ELSE [{p}] END"
+
+
+def _elements(name: str, source: str, keys: str, x: str, objects: bool = True) -> str:
+    """SQL of a CTE with the elements of a list, their position ``k`` and value ``e``."""
+    e = _plain("l[k + 1]") if objects else "l[k + 1]"
+    kept = "json_type(e) = 'OBJECT'" if objects else "e IS NOT NULL AND json_type(e) <> 'NULL'"
+    return (
+        f"{name} AS (SELECT * FROM (SELECT {keys}, k, {e} AS e FROM (SELECT {keys}, l, unnest(range(len(l))) AS k FROM "
+        f"(SELECT {keys}, {_listed(x)} AS l FROM {source}))) WHERE {kept})"
+    )
+
+
+_CHILD_SQL = f"""
+WITH r AS (
+  SELECT DISTINCT 'auto_filters' AS src, filter_id AS rec_id, CAST(json_object('columns', to_json(columns)) AS JSON) AS p FROM auto_filters
+  UNION SELECT DISTINCT 'pivot_tables', pivot_id, CAST(json_object('location', to_json(location), 'data_fields', to_json(data_fields), 'report_filters', to_json(report_filters), 'sx_filters', to_json(sx_filters)) AS JSON) FROM pivot_tables
+  UNION SELECT DISTINCT 'raw_records', rec_id, CAST(payload AS JSON) FROM raw_records WHERE json_valid(payload)),
+{_elements("c", "r", "src, rec_id", "(p->'columns')")},
+cc AS (SELECT src, rec_id, k AS parent, e AS c FROM c),
+{_elements("d", "cc", "src, rec_id, parent", "(c->'conditions')")},
+cf AS (SELECT src, rec_id, parent, {_plain("(c->'custom_filters')")} AS f FROM cc),
+{_elements("u", "cf", "src, rec_id, parent", "(f->'criteria')")},
+{_elements("v", "cc", "src, rec_id, parent", "(c->'values')", False)},
+{_elements("w", "cc", "src, rec_id, parent", "(c->'filters')", False)},
+{_elements("df", "r", "src, rec_id", "(p->'data_fields')")}, {_elements("rf", "r", "src, rec_id", "(p->'report_filters')")}, {_elements("sf", "r", "src, rec_id", "(p->'sx_filters')")},
+ss AS (SELECT src, rec_id, k AS parent, e AS c FROM sf), {_elements("sc", "ss", "src, rec_id, parent", "(c->'criteria')")},
+lo AS (SELECT src, rec_id, {_plain("(p->'location')")} AS l FROM r), ge AS (SELECT src, rec_id, l, {_plain("(l->'rfx_geom')")} AS g FROM lo),
+found AS (
+  SELECT src, rec_id, 'column' AS child, -1 AS parent_pos, k AS pos FROM c
+  UNION SELECT src, rec_id, 'condition', parent, k FROM d UNION SELECT src, rec_id, 'condition', parent, k FROM u
+  UNION SELECT src, rec_id, 'value', parent, k FROM v UNION SELECT src, rec_id, 'value', parent, k FROM w
+  UNION SELECT src, rec_id, 'data_field', -1, k FROM df UNION SELECT src, rec_id, 'report_filter', -1, k FROM rf UNION SELECT src, rec_id, 'sx_filter', -1, k FROM sf
+  UNION SELECT src, rec_id, 'criterion', parent, k FROM sc
+  UNION SELECT src, rec_id, 'location', -1, 0 FROM lo WHERE json_type(l) = 'OBJECT' UNION SELECT src, rec_id, 'rfx_geom', 0, 0 FROM ge WHERE json_type(l) = 'OBJECT' AND json_type(g) = 'OBJECT')
+SELECT src, rec_id, child, CAST(parent_pos AS INT) AS parent_pos, CAST(pos AS INT) AS pos FROM found"""
+
+
+@query("p2_found", _CHILD_SQL)
 def p2_found(spark, root):
     return shred.children(_tree(spark, root)).select("src", "rec_id", "child", "parent_pos", "pos").distinct()
 
