@@ -8,11 +8,14 @@ become candidates only if the sketches say that they can reach the threshold; th
 pairs are checked on the shingle sets themselves, so the result is exact up to the recall of
 the bands (at similarity 0.6: 1 - (1 - 0.6**3)**32 = 0.9996).
 
-Copies of one text are collapsed before anything is paired. A band bucket that very many
-distinct texts share is joined in salted blocks, each block against all of its bucket.
-
-Defined results: null and empty texts and texts under ``least_words`` words are left out;
-repeated rows count once; equal texts under different ids have similarity 1.
+Copies of one text are collapsed before anything is paired, so a bucket holds distinct texts
+only, and each of them carries no more than an id and its sketch. A pair is judged inside the
+join: what the sketches rule out is never written. Buckets that grow large are split over
+tasks by the adaptive skew join, which needs no key of their own.
+
+Defined results: rows without an id, null and empty texts and texts under ``least_words``
+words are left out; repeated rows count once; equal texts under different ids have
+similarity 1.
 """
 
 from __future__ import annotations
@@ -94,7 +97,7 @@ def sign(texts: DataFrame, width: int, least_words: int) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-    return texts.filter("text is not null").mapInArrow(run, SIGNED)
+    return texts.filter("id is not null and text is not null").mapInArrow(run, SIGNED)
 
 
 def similar_representatives(signed: DataFrame, threshold: float) -> DataFrame:
@@ -135,7 +138,8 @@ def _prepared(texts: DataFrame, width: int, least_words: int) -> tuple[DataFrame
     signed = cut(sign(texts.select("id", "text"), width, least_words))
     members = signed.select("id", "digest").distinct()
     heads = members.groupBy("digest").agg(F.min("id").alias("rep"))
-    own = signed.join(heads, "digest").filter("id = rep").drop("rep").dropDuplicates(["digest"])
+    # by id, not by digest: however many copies a text has, its shingles move once
+    own = signed.join(heads.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id", "digest"])
     return members.join(heads, "digest").select("id", "rep"), own
 
 

@@ -91,7 +91,15 @@ def p5_languages(spark, root):
     return code_language.natural_language(table(spark, root, "vba_modules"))
 
 
-@query("p6_found")
+_PAIRS_SQL = r"""
+WITH m AS (SELECT DISTINCT module_id, regexp_extract_all(lower(vba_source_text), '[^ \t\r\n]+') AS w FROM vba_modules WHERE vba_source_text IS NOT NULL),
+s AS (SELECT DISTINCT module_id, unnest(list_transform(range(1, len(w) - 1), lambda k: w[k] || ' ' || w[k + 1] || ' ' || w[k + 2])) AS g FROM m WHERE len(w) >= 40),
+n AS (SELECT module_id, count(*) AS n FROM s GROUP BY module_id),
+c AS (SELECT a.module_id AS x, b.module_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.module_id < b.module_id GROUP BY ALL)
+SELECT x AS module_id_a, y AS module_id_b FROM c JOIN n p ON p.module_id = x JOIN n q ON q.module_id = y WHERE 10 * c >= 6 * (p.n + q.n - c)"""
+
+
+@query("p6_found", _PAIRS_SQL)
 def p6_found(spark, root):
     return near_dup.near_duplicate_pairs(_modules(spark, root), 0.6, 3, 40).select(F.col("a").alias("module_id_a"), F.col("b").alias("module_id_b"))
 
@@ -106,7 +114,15 @@ def p7_pack(spark, root):
     return packing.pack_documents(table(spark, root, "documents"))
 
 
-@query("p8_found")
+_LEAKS_SQL = r"""
+WITH d AS (SELECT DISTINCT doc_id, regexp_extract_all(lower(text), '[\pL\pN]+') AS w FROM documents),
+i AS (SELECT DISTINCT item_id, regexp_extract_all(lower(text), '[\pL\pN]+') AS w FROM eval_items),
+dw AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 11), lambda k: hash(w[k:k + 12]))) AS h FROM d),
+iw AS (SELECT item_id, unnest(list_transform(range(1, len(w) - 11), lambda k: hash(w[k:k + 12]))) AS h FROM i)
+SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (h)"""
+
+
+@query("p8_found", _LEAKS_SQL)
 def p8_found(spark, root):
     return leakage.leaked_passages(table(spark, root, "documents"), table(spark, root, "eval_items")).filter("exact_run >= 13").select("doc_id", "item_id").distinct()
 
