@@ -35,3 +35,13 @@ def cut(df: DataFrame) -> DataFrame:
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a scan over the cluster's slots where it has fewer partitions than those.
+
+    Only an input of a few files comes that way, so what is moved is small; a large scan has
+    more partitions than slots and stays as it is.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots) if df._jdf.queryExecution().toRdd().getNumPartitions() < slots else df
