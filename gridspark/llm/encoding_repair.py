@@ -25,7 +25,6 @@ other columns are ignored.
 
 from __future__ import annotations
 
-import codecs
 import math
 import re
 from collections import Counter
@@ -35,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, spread
 from .vba_text import segments
 
 #: Encodings that text is written in, and encodings it is read in by mistake.
@@ -47,6 +46,7 @@ LOST = "lost"
 UNITS = "module_id bigint, field string, unit string"
 _NON_ASCII = re.compile(r"[^\x00-\x7f]")
 _WORD = re.compile(r"[A-Za-z?\u0080-\U0010ffff]*[^\x00-\x7f][A-Za-z?\u0080-\U0010ffff]*|[A-Za-z]*(?:(?<=[A-Za-z])\?+(?=[A-Za-z])|(?<![^\s\"'(])\?+(?=[a-z]{2}))[A-Za-z?]+")
+_CYRILLIC = re.compile(r"[\u0400-\u052f]")
 _LETTERS = re.compile(r"[A-Za-z]+")
 _REPAIR = re.compile(r"(?i)\b(?:replace|instr(?:rev)?|split|strcomp|substitute|\w*(?:fix|repair|clean|decode|mojibake|unmangle|correct)\w*)\s*\(")
 
@@ -79,21 +79,29 @@ def misread(text: str, pair: tuple[str, str]) -> str | None:
     return "".join(table[b] for b in raw)
 
 
-def reread(text: str, pair: tuple[str, str], errors: str = "strict") -> str | None:
-    """The inverse of ``misread``; None if the text can't come from it."""
-    if pair[1] in MULTIBYTE:
+def raw_of(text: str, reading: str) -> bytes | None:
+    """The bytes that look like ``text`` when read in an encoding; None if none do."""
+    if reading in MULTIBYTE:
         try:
-            raw = text.encode(pair[1])
+            return text.encode(reading)
         except UnicodeEncodeError:
             return None
-    else:
-        back = _reader(pair[1])[1]
-        try:
-            raw = bytes([back[c] for c in text])
-        except KeyError:
-            return None
+    back = _reader(reading)[1]
+    try:
+        return bytes([back[c] for c in text])
+    except KeyError:
+        return None
+
+
+def reread(text: str, pair: tuple[str, str], errors: str = "strict") -> str | None:
+    """The inverse of ``misread``; None if the text can't come from it."""
+    raw = raw_of(text, pair[1])
+    return None if raw is None else _decoded(raw, pair[0], errors)
+
+
+def _decoded(raw: bytes, writing: str, errors: str = "strict") -> str | None:
     try:
-        return raw.decode(pair[0], errors)
+        return raw.decode(writing, errors)
     except UnicodeDecodeError:
         return None
 
@@ -176,23 +184,27 @@ class Judge:
         """(restored, transformation), or None if the unit looks as written."""
         best = None
         before = self.usual(unit)
+        raws = {r: raw_of(unit, r) for r in READ}
+        hurt = sum(damage(w) > 0 for w in _words(unit)) > 1
+        gains: dict[str, float] = {}
         for pair in PAIRS:
-            after = whole = reread(unit, pair)
+            raw = raws[pair[1]]
+            after = whole = None if raw is None else _decoded(raw, pair[0])
             if after is None or after == unit:
                 after, whole = self._by_runs(unit, pair) if pair[0] == "utf-8" else None, None
-            if after is None or after == unit or not _NON_ASCII.search(after):
+            if after is None or after == unit or after.isascii():
+                continue
+            # one Latin letter for another: only where the words show damage, and more than one does
+            if not hurt and pair[0] not in MULTIBYTE and not _CYRILLIC.search(after):
                 continue
             name = f"{pair[0]}>{pair[1]}"
             margin = (0.5 if pair[0] in MULTIBYTE else 1.0) if name in self.learned else 2.0
-            if pair[0] not in MULTIBYTE and not any("Ѐ" <= c < "԰" for c in after):
-                # one Latin letter for another: only where the words show damage, and more than one does
-                if sum(damage(w) > 0 for w in _words(unit)) < 2:
-                    continue
             if pair[0] == "utf-8" and whole:  # a whole text that is valid UTF-8 by chance gets rarer with every byte
                 margin = max(-4.0, min(margin, 1.0) - 0.5 * (len(_NON_ASCII.findall(unit)) - 2))
-            gain = self.usual(after) - before
-            if gain >= margin and (best is None or gain > best[0]):
-                best = (gain, after, name)
+            if after not in gains:
+                gains[after] = self.usual(after) - before
+            if gains[after] >= margin and (best is None or gains[after] > best[0]):
+                best = (gains[after], after, name)
         if best is None:
             return self._damaged(unit, before)
         again = self.restore(best[1]) if best[2].startswith("utf-8>") else None
@@ -279,7 +291,7 @@ def field_units(modules: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-    return _fields(modules).mapInArrow(run, UNITS)
+    return spread(_fields(modules)).mapInArrow(run, UNITS)
 
 
 def _exploded(own: DataFrame, column: str, of) -> DataFrame:

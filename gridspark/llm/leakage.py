@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..session import spread
 from .tokens import WORD, mix
 
 #: Selected positions of a window. No span is over 13 words, so an exact run of 13 always hits.
@@ -160,7 +161,7 @@ def leaked_passages(documents: DataFrame, items: DataFrame, least: int = 13, gap
         ("doc_id", pa.int64()), ("item_id", pa.int32()), ("exact_run", pa.int32()), ("overlap_words", pa.int32()), ("substitutions", pa.int32()),
         ("share", pa.float64()), ("doc_word", pa.int32()), ("item_word", pa.int32()),
     ])
-    texts = documents.select("doc_id", "text").filter("text is not null")
+    texts = spread(documents.select("doc_id", "text").filter("text is not null"))
 
     def scan(index):
         def run(batches):

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, spread
 from .tokens import PLAIN, WordHash, mix
 
 ROWS, BANDS = 3, 32
@@ -97,7 +97,7 @@ def sign(texts: DataFrame, width: int, least_words: int) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-    return texts.filter("id is not null and text is not null").mapInArrow(run, SIGNED)
+    return spread(texts.filter("id is not null and text is not null")).mapInArrow(run, SIGNED)
 
 
 def similar_representatives(signed: DataFrame, threshold: float) -> DataFrame:

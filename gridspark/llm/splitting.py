@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
 from .tokens import TOKEN
 
 PIECES = (
@@ -138,4 +139,4 @@ def split_documents(documents: DataFrame, limit: int = 1024, overlap: int = 64)
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-    return documents.select("doc_id", "text").filter(F.length("text") > limit).mapInArrow(run, PIECES)
+    return spread(documents.select("doc_id", "text").filter(F.length("text") > limit)).mapInArrow(run, PIECES)
