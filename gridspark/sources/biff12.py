@@ -22,6 +22,7 @@ from .package import find_part, package_format, with_paths
 ROW, RK, ERROR, BOOL, REAL, TEXT, SHARED_TEXT = 0x0000, 0x0002, 0x0003, 0x0004, 0x0005, 0x0006, 0x0007
 F_TEXT, F_NUMBER, F_BOOL, F_ERROR, ARRAY_BODY, SHARED_BODY = 0x0008, 0x0009, 0x000A, 0x000B, 0x01AA, 0x01AB
 SST_ITEM, NAME, SHEET = 0x0013, 0x0027, 0x009C
+LINKS, LINK_SELF, SHEET_LINKS = (0x0163, 0x0165, 0x0166), 0x0165, 0x016A
 SX_VIEW, SX_LOCATION, SX_FIELD, SX_ITEM, SX_FILTER, SX_FILTER_END = 0x0118, 0x013A, 0x011D, 0x011A, 0x0259, 0x025A
 FILTER, FILTER_END, FILTER_COLUMN, FILTER_COLUMN_END, LISTED, CUSTOM_BEGIN, CUSTOM = 0x00A1, 0x00A2, 0x00A3, 0x00A4, 0x00A7, 0x00AC, 0x00AE
 #: A filter's flag says that all its criteria must hold.
@@ -226,6 +227,24 @@ def sheet_rows(data: bytes) -> list[dict]:
     return out
 
 
+def link_rows(data: bytes) -> list[dict]:
+    """What the sheet numbers in formulas stand for: ``ixti`` -> sheet index, null outside this workbook.
+
+    A workbook without such a list gives no rows; its formulas number the sheets directly.
+    """
+    links, out = [], []
+    for _, kind, p, _ in records(data):
+        if kind in LINKS:
+            links.append(kind == LINK_SELF)
+        elif kind == SHEET_LINKS and len(p) >= 4:
+            n = min(struct.unpack_from("<I", p)[0], (len(p) - 4) // 12)
+            for k in range(n):
+                link, first, _ = struct.unpack_from("<Iii", p, 4 + 12 * k)
+                own = not links or link < len(links) and links[link]
+                out.append({"ixti": k, "sheet_idx": first if own and first >= 0 else None})
+    return out
+
+
 def name_rows(data: bytes) -> list[dict]:
     """Defined names, numbered from 1; a record too short for a name takes no number, one cut off later does."""
     out, idx = [], 0
@@ -251,10 +270,11 @@ SCHEMAS = {
     "sst": [("idx", pa.int32()), ("text", pa.string())],
     "sheets": [("sheet_idx", pa.int32()), ("sheet", pa.string()), ("rel_id", pa.string())],
     "names": [("idx", pa.int32()), ("name", pa.string())],
+    "links": [("ixti", pa.int32()), ("sheet_idx", pa.int32())],
     "records": [("seq", pa.int64()), ("rec_type", pa.int32()), ("payload", pa.binary()), ("problem", pa.string())],
 }
 DECODERS = {
-    "cells": cell_rows, "formulas": formula_rows, "filters": filter_rows, "pivots": pivot_rows, "sst": sst_rows, "sheets": sheet_rows, "names": name_rows,
+    "cells": cell_rows, "formulas": formula_rows, "filters": filter_rows, "pivots": pivot_rows, "sst": sst_rows, "sheets": sheet_rows, "names": name_rows, "links": link_rows,
     "records": lambda data: [{"seq": s, "rec_type": t, "payload": p, "problem": e} for s, t, p, e in records(data)],
 }
 _SPARK = {pa.int32(): "int", pa.int64(): "bigint", pa.float64(): "double", pa.string(): "string", pa.bool_(): "boolean", pa.binary(): "binary"}
@@ -349,8 +369,14 @@ def formulas(sheet_list: DataFrame, package_parts: DataFrame, functions: dict |
         )
     )
     order = Window.partitionBy("path")
+    links = decode(_binary(package_parts).filter("part_lc = 'xl/workbook.bin'"), "links", {"path": pa.string()}).groupBy("path").agg(
+        F.sort_array(F.collect_list(F.struct("ixti", "sheet_idx"))).alias("links")
+    )
     lists = (
-        sheet_list.filter("format = 'xlsb'").groupBy("path").agg(F.transform(F.sort_array(F.collect_list(F.struct("sheet_idx", "sheet"))), lambda x: x["sheet"]).alias("sheet_names"))
+        sheet_list.filter("format = 'xlsb'").groupBy("path")
+        .agg(F.transform(F.sort_array(F.collect_list(F.struct("sheet_idx", "sheet"))), lambda x: x["sheet"]).alias("in_order"))
+        .join(links, "path", "left")
+        .select("path", F.coalesce(F.transform("links", lambda x: F.try_element_at("in_order", x["sheet_idx"] + 1)), "in_order").alias("sheet_names"))
     )
     names = (
         defined_names(package_parts).withColumn("n", F.max("idx").over(order)).groupBy("path").agg(

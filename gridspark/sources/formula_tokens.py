@@ -86,7 +86,8 @@ class Machine:
         return f"{'' if relative_col else '$'}{letters(c)}{'' if relative_row else '$'}{row % MAX_ROWS + 1}"
 
     def sheet(self, index: int) -> str:
-        return (quoted_sheet(self.names.sheets[index]) if index < len(self.names.sheets) else f"[sheet{index}]") + "!"
+        known = index < len(self.names.sheets) and self.names.sheets[index]
+        return (quoted_sheet(known) if known else f"[sheet{index}]") + "!"
 
     def reference(self, offsets: bool = False, prefix: str = "") -> None:
         row, col = self.take("IH")

@@ -250,3 +250,27 @@ def test_stream(spark, tmp_path):
     (tmp_path / "in" / "b.xlsb").write_bytes(w.xlsb({"S": [(0, 0, 2), (1, 0, 3)]}))
     run()
     assert sorted(r.v_int for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 2, 3]
+
+
+def test_sheet_links(spark):
+    """A list of sheet links redirects the numbers in formulas; without one they are direct."""
+    formula = w.parsed(b"\x5a\x01\0" + w.token_ref(0, 0)[1:])
+    plain = w.xlsb({"First": [(0, 0, 1.0, formula)], "Second": []})
+    assert relations.formulas(books(spark, a_xlsb=plain)).first().formula == "=Second!A1"
+    strings = w.Strings()
+    book = b"".join(w.record(biff12.SHEET, struct.pack("<II", 0, k + 1) + w.wide(f"rId{k + 1}") + w.wide(n)) for k, n in enumerate(["First", "Second"]))
+    book += w.record(0x0163) + w.record(biff12.LINK_SELF) + w.record(biff12.SHEET_LINKS, struct.pack("<I", 3) + struct.pack("<Iii", 1, 1, 1) + struct.pack("<Iii", 1, 0, 0) + struct.pack("<Iii", 0, 0, 0))
+    linked = w.xlsb({"First": [(0, 0, 1.0, formula), (1, 0, 1.0, w.parsed(b"\x5a\x02\0" + w.token_ref(0, 0)[1:]))], "Second": []}, extra={"xl/workbook.bin": book})
+    assert sorted(r.formula for r in relations.formulas(books(spark, a_xlsb=linked)).collect()) == ["=First!A1", "=[sheet2]!A1"]
+
+
+def test_facade(spark, tmp_path):
+    from gridspark.plans.facade import Workbook, col_to_letter
+
+    made = w.xlsx({"A": CELLS, "B": []}, {"A": '<autoFilter ref="A1:B2"/>'}, {"xl/vbaProject.bin": w.vba_project({"M": "x"})})
+    (tmp_path / "a.xlsm").write_bytes(made)
+    with Workbook(spark, str(tmp_path / "a.xlsm")) as book:
+        assert book.sheet_names == ["A", "B"] and dict(book.iter_vba_modules()) == {"M": "x"} and col_to_letter(702) == "AAA"
+        grids = dict(book.iter_values())
+        assert grids["B"] == {} and grids["A"] == {(r, c): v for r, c, v in CELLS}
+        assert [f["ref"] for f in book.iter_filters()] == ["A1:B2"] and list(book.iter_pivot_tables()) == [] and dict(book.iter_formulas()) == {"A": {}, "B": {}}
