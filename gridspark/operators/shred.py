@@ -18,6 +18,7 @@ costs time and memory in proportion to its length.
 from __future__ import annotations
 
 import json
+import re
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -35,11 +36,66 @@ OBJECTS = frozenset((
 ))
 
 
+_TOKEN = re.compile(r'[ \t\r\n]*([{}\[\],:]|"(?:[^"\\\x00-\x1f]|\\.)*"|-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?|true|false|null)')
+
+
+def _loads(text: str) -> object:
+    """Strict JSON of any depth; ValueError if it is none."""
+    try:
+        return json.loads(text, parse_constant=_no_constant)
+    except RecursionError:
+        return _loads_deep(text)
+
+
+def _loads_deep(text: str) -> object:
+    """The same without recursion, for nesting beyond the interpreter's stack."""
+    open_: list = []  # containers around the place that is read
+    keys: list = []  # for each of them the key that waits for its value
+    root: list = []
+    at, wanted = 0, "value"
+    while wanted != "end":
+        m = _TOKEN.match(text, at)
+        if not m:
+            raise ValueError(f"no JSON at {at}")
+        token, at = m[1], m.end()
+        if token in "}]" and wanted in ("first", "more"):
+            if (token == "}") != isinstance(open_[-1], dict):
+                raise ValueError(f"unbalanced at {at}")
+            open_.pop()
+            keys.pop()
+            wanted = "more" if open_ else "end"
+        elif token == "," and wanted == "more":
+            wanted = "key" if isinstance(open_[-1], dict) else "value"
+        elif token == ":" and wanted == "colon":
+            wanted = "value"
+        elif token[0] == '"' and (wanted == "key" or wanted == "first" and isinstance(open_[-1], dict)):
+            keys[-1], wanted = json.loads(token), "colon"
+        elif token[0] not in "}],:" and (wanted == "value" or wanted == "first" and isinstance(open_[-1], list)):
+            value = {} if token == "{" else [] if token == "[" else json.loads(token)
+            if not open_:
+                root.append(value)
+            elif isinstance(open_[-1], dict):
+                open_[-1][keys[-1]] = value
+            else:
+                open_[-1].append(value)
+            if token in "{[":
+                open_.append(value)
+                keys.append(None)
+                wanted = "first"
+            else:
+                wanted = "more" if open_ else "end"
+        else:
+            raise ValueError(f"unexpected {token} at {at}")
+    if text[at:].strip(" \t\r\n"):
+        raise ValueError("text behind the value")
+    return root[0]
+
+
 def _text(value: object) -> object:
     """What JSON text in place of an object or list holds; the value itself if it is none."""
     while isinstance(value, str) and value.lstrip()[:1] in ("{", "[", '"'):
         try:
-            value = json.loads(value, parse_constant=_no_constant)
+            value = _loads(value)
         except ValueError:
             return value
     return value
@@ -68,8 +124,8 @@ def _scalar(value: object) -> str | None:
 def shred(payload: str | None) -> list[tuple[int, int, str, int, str, str | None]]:
     """``node, parent, label, ordinal, kind, scalar`` of one record; its root is node 0."""
     try:
-        root = _text(json.loads(payload, parse_constant=_no_constant)) if payload else None
-    except (ValueError, RecursionError):
+        root = _text(_loads(payload)) if payload else None
+    except ValueError:
         return []
     if not isinstance(root, dict):
         return []

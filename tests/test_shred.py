@@ -1,6 +1,8 @@
 import json
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from gridspark.operators import shred
 
@@ -87,3 +89,24 @@ def test_against_recursive_reading(spark):
 def test_text_that_only_looks_like_json(value, kept):
     rows = shred.shred(json.dumps({"columns": [{"values": value}]}))
     assert [r[5] for r in rows if r[2] == "values"] == [kept or "a"]
+
+
+def test_any_depth():
+    deep = lambda n: '{"columns": [' + '{"x": ' * n + "1" + "}" * n + "]}"
+    assert len(shred.shred(deep(30_000))) == 30_002
+    assert shred.shred(deep(30_000)[:-1]) == [] and shred.shred(deep(30_000) + "]") == []
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.recursive(st.none() | st.booleans() | st.integers() | st.floats(allow_nan=False, allow_infinity=False) | st.text(), lambda x: st.lists(x) | st.dictionaries(st.text(), x)), st.integers(0, 60))
+def test_both_readers_agree(value, cut):
+    text = json.dumps(value)
+    assert shred._loads_deep(text) == value
+    for part in (text[:cut], text + text[:cut]):
+        try:
+            want = json.loads(part)
+        except ValueError:
+            with pytest.raises(ValueError):
+                shred._loads_deep(part)
+        else:
+            assert shred._loads_deep(part) == want
