@@ -6,6 +6,8 @@ needs; pass ``sheet`` to decode only the sheets of that name.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from ..sources import biff12, ooxml, package, vba
 
 BOOK = r"^xl/(?:_rels/)?workbook\.(?:xml|bin)(?:\.rels)?$"
 STRINGS = r"^xl/sharedstrings\.(?:xml|bin)$"
-SHEET_DATA = r"^xl/(?!_rels/|pivot|theme|styles|sharedstrings|workbook|vbaproject)[^/]*/?[^/]*\.(?:xml|bin)$"
+FORMATS = ("xlsx", "xlsb")
 PIVOTS = r"/pivottables/|/pivottables/_rels/|^xl/worksheets/_rels/"
 
 CELLS = ["path", "sheet_idx", "sheet", "row", "col", "addr", "kind", "v_int", "v_num", "v_str", "v_bool", "v_err", "from_formula"]
@@ -47,25 +49,27 @@ def shared_strings(books: DataFrame) -> DataFrame:
     return ooxml.shared_strings(found).unionByName(biff12.shared_strings(found))
 
 
-def cells(books: DataFrame, sheet: str | None = None) -> DataFrame:
-    """The sparse typed grid in long form."""
-    wanted, found = sheets(books, sheet), _parts(books, SHEET_DATA, STRINGS)
-    return ooxml.cells(wanted, found).select(*CELLS).unionByName(biff12.cells(wanted, found).select(*CELLS))
+def cells(books: DataFrame, sheet: str | None = None, formats: tuple[str, ...] = FORMATS) -> DataFrame:
+    """The sparse typed grid in long form. No join and no shuffle.
+
+    Each format is a branch of its own over ``books``; where a corpus is read with a glob for
+    one format, name it in ``formats`` and its files are read once.
+    """
+    return _both({"xlsx": lambda: ooxml.cells(books, sheet), "xlsb": lambda: biff12.cells(books, sheet)}, formats, CELLS)
 
 
-def formulas(books: DataFrame, sheet: str | None = None, functions: dict | None = None) -> DataFrame:
+def formulas(books: DataFrame, sheet: str | None = None, functions: dict | None = None, formats: tuple[str, ...] = FORMATS) -> DataFrame:
     """Formula cells as text, shared ones resolved. ``functions`` replaces the table of worksheet functions."""
-    every, wanted, found = sheets(books), sheets(books, sheet), _parts(books, SHEET_DATA, BOOK)
-    decoded = biff12.formulas(every, found, functions)
-    if sheet is not None:
-        decoded = decoded.filter(F.col("sheet") == sheet)
-    return ooxml.formulas(wanted, found).select(*FORMULAS).unionByName(decoded.select(*FORMULAS))
+    return _both({"xlsx": lambda: ooxml.formulas(books, sheet), "xlsb": lambda: biff12.formulas(books, sheet, functions)}, formats, FORMULAS)
 
 
-def auto_filters(books: DataFrame, sheet: str | None = None) -> DataFrame:
+def auto_filters(books: DataFrame, sheet: str | None = None, formats: tuple[str, ...] = FORMATS) -> DataFrame:
     """One row per sheet that has a filter."""
-    wanted, found = sheets(books, sheet), _parts(books, SHEET_DATA)
-    return ooxml.auto_filters(wanted, found).select(*FILTERS).unionByName(biff12.auto_filters(wanted, found).select(*FILTERS))
+    return _both({"xlsx": lambda: ooxml.auto_filters(books, sheet), "xlsb": lambda: biff12.auto_filters(books, sheet)}, formats, FILTERS)
+
+
+def _both(branches: dict, formats: tuple[str, ...], columns: list[str]) -> DataFrame:
+    return reduce(DataFrame.unionByName, (branches[f]().select(*columns) for f in formats))
 
 
 def pivot_links(books: DataFrame, sheet: str | None = None) -> DataFrame:

@@ -11,12 +11,11 @@ import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.cells import ERROR_TEXT, FILTER_OPERATORS, UNKNOWN_ERROR, address
-from .formula_tokens import Names, decompile, letters
-from .package import find_part, package_format, with_paths
+from ..functions.cells import ERROR_TEXT, FILTER_OPERATORS, UNKNOWN_ERROR, address, package_format
+from .formula_tokens import decompile, letters
 
 # Record types.
 ROW, RK, ERROR, BOOL, REAL, TEXT, SHARED_TEXT = 0x0000, 0x0002, 0x0003, 0x0004, 0x0005, 0x0006, 0x0007
@@ -265,6 +264,7 @@ _LOCATION = pa.struct([
 SCHEMAS = {
     "cells": [("row", pa.int32()), ("col", pa.int32()), ("kind", pa.string()), ("v_int", pa.int64()), ("v_num", pa.float64()), ("v_str", pa.string()), ("v_bool", pa.bool_()), ("v_err", pa.string()), ("isst", pa.int64()), ("from_formula", pa.bool_())],
     "formulas": [("what", pa.string()), ("seq", pa.int64()), ("row", pa.int32()), ("col", pa.int32()), ("last_row", pa.int64()), ("last_col", pa.int64()), ("code", pa.binary()), ("extra", pa.binary()), ("array", pa.bool_())],
+    "formula_texts": [("row", pa.int32()), ("col", pa.int32()), ("formula", pa.string()), ("formula_kind", pa.string()), ("parse_error", pa.string())],
     "filters": [("ref", pa.string()), ("top_left", pa.string()), ("bottom_right", pa.string()), ("columns", pa.list_(pa.struct([("col_id", pa.int32()), ("type", pa.string()), ("logic", pa.string()), ("conditions", pa.list_(_CRITERION)), ("values", pa.list_(pa.string())), ("attrs", pa.map_(pa.string(), pa.string()))])))],
     "pivots": [("name", pa.string()), ("cache_id", pa.int32()), ("data_caption", pa.string()), ("pivot_fields", pa.int32()), ("pivot_items", pa.int32()), ("location", _LOCATION), ("sx_filters", pa.list_(pa.struct([("field_index", pa.int32()), ("filter_type", pa.int32()), ("criteria", pa.list_(_CRITERION))])))],
     "sst": [("idx", pa.int32()), ("text", pa.string())],
@@ -315,6 +315,8 @@ def _binary(package_parts: DataFrame) -> DataFrame:
 
 
 def sheets(package_parts: DataFrame, relations: DataFrame) -> DataFrame:
+    from .package import with_paths
+
     listed = decode(_binary(package_parts).filter("part_lc = 'xl/workbook.bin'"), "sheets", {"path": pa.string()})
     return with_paths(listed.withColumn("format", F.lit("xlsb")), relations, "xl/workbook.bin")
 
@@ -329,16 +331,80 @@ def shared_strings(package_parts: DataFrame) -> DataFrame:
     return decode(_binary(package_parts).filter("part_lc = 'xl/sharedstrings.bin'"), "sst", {"path": pa.string()})
 
 
-def _sheet_parts(sheet_list: DataFrame, package_parts: DataFrame) -> DataFrame:
-    return find_part(sheet_list.filter("format = 'xlsb'").withColumnRenamed("part", "sheet_part"), _binary(package_parts), "sheet_part")
+def decode_sheets(books: DataFrame, what: str, rows, sheet: str | None = None) -> DataFrame:
+    """``rows(package, data)`` of every binary sheet, decoded where its package is open: no join, no shuffle."""
+    from .package import _packages
 
+    schema = pa.schema([*_SHEET_KEYS.items(), *SCHEMAS[what]])
 
-def cells(sheet_list: DataFrame, package_parts: DataFrame) -> DataFrame:
-    raw = decode(_sheet_parts(sheet_list, package_parts), "cells", _SHEET_KEYS)
-    looked = raw.join(shared_strings(package_parts).withColumnRenamed("idx", "isst"), ["path", "isst"], "left")
-    return looked.withColumn("v_str", F.when(F.col("isst").isNotNull(), F.coalesce("text", F.lit(""))).otherwise(F.col("v_str"))).drop("isst", "text").withColumn(
-        "addr", address("row", "col")
-    )
+    def run(batches):
+        for path, package in _packages(batches):
+            for idx, name, data in package.wanted(sheet):
+                found = rows(package, data)
+                for at in range(0, len(found), 20_000):
+                    yield pa.RecordBatch.from_pylist([{"path": path, "sheet_idx": idx, "sheet": name, **r} for r in found[at : at + 20_000]], schema=schema)
+
+    binary = books.filter(package_format("path") == "xlsb").select("path", "content")
+    return binary.mapInArrow(run, ", ".join(f"`{f.name}` {_ddl(f.type)}" for f in schema))
+
+
+def cells(books: DataFrame, sheet: str | None = None) -> DataFrame:
+    """Values; a shared string out of range is ''."""
+    def rows(package, data):
+        strings = None
+        out = cell_rows(data)
+        for c in out:
+            k = c.pop("isst", None)
+            if k is not None:
+                strings = package.strings() if strings is None else strings
+                c["v_str"] = strings[k] if k < len(strings) else ""
+        return out
+
+    return decode_sheets(books, "cells", rows, sheet).drop("isst").withColumn("addr", address("row", "col"))
+
+
+def first_rectangles(pending: list[dict], bodies: list[dict]) -> list[dict | None]:
+    """For every cell the first body, in file order, whose rectangle holds it.
+
+    Bodies are kept by column, so a cell meets only those that reach over its own.
+    """
+    by_col: dict[int, list[dict]] = {}
+    wide_ones = []
+    for b in sorted(bodies, key=lambda b: b["seq"]):
+        if b["last_col"] - b["col"] > 64:
+            wide_ones.append(b)
+        else:
+            for c in range(b["col"], b["last_col"] + 1):
+                by_col.setdefault(c, []).append(b)
+    out = []
+    for p in pending:
+        near = next((b for b in by_col.get(p["col"], ()) if b["row"] <= p["row"] <= b["last_row"]), None)
+        far = next((b for b in wide_ones if b["row"] <= p["row"] <= b["last_row"] and b["col"] <= p["col"] <= b["last_col"]), None)
+        out.append(min((b for b in (near, far) if b), key=lambda b: b["seq"], default=None))
+    return out
+
+
+def formulas(books: DataFrame, sheet: str | None = None, functions: dict | None = None) -> DataFrame:
+    """Formulas as text; cells of shared bodies are resolved by their rectangle."""
+    def rows(package, data):
+        found = formula_rows(data)
+        names = package.names(functions)
+        pending, bodies = [r for r in found if r["what"] == "pending"], [r for r in found if r["what"] == "body"]
+        out = [(r, r, "normal") for r in found if r["what"] == "cell"]
+        out += [(r, b, "unresolved" if b is None else "array" if b["array"] else "shared") for r, b in zip(pending, first_rectangles(pending, bodies))]
+        texts = []
+        for r, source, kind in out:
+            text, problem = decompile(source["code"], source["extra"], r["row"], r["col"], names) if source else ("={shared_formula}", None)
+            text = f"=<parse_error:{problem}>" if problem else "{" + text + "}" if kind == "array" else text
+            texts.append({"row": r["row"], "col": r["col"], "formula": text, "formula_kind": kind, "parse_error": problem})
+        return texts
+
+    return decode_sheets(books, "formula_texts", rows, sheet).withColumn("addr", address("row", "col"))
+
+
+def token_streams(books: DataFrame, sheet: str | None = None) -> DataFrame:
+    """Formula cells and shared bodies before they are resolved, to look into files."""
+    return decode_sheets(books, "formulas", lambda _, data: formula_rows(data), sheet)
 
 
 def resolve_rectangles(pending: DataFrame, bodies: DataFrame, keys: list[str]) -> DataFrame:
@@ -356,54 +422,13 @@ def resolve_rectangles(pending: DataFrame, bodies: DataFrame, keys: list[str]) -
     return pending.join(first, [*keys, "row", "col"], "left")
 
 
-def formulas(sheet_list: DataFrame, package_parts: DataFrame, functions: dict | None = None) -> DataFrame:
-    """Formulas as text; cells of shared bodies are resolved by their rectangle."""
-    keys = ["path", "sheet_idx", "sheet"]
-    found = decode(_sheet_parts(sheet_list, package_parts), "formulas", _SHEET_KEYS)
-    pending = found.filter("what = 'pending'").select(*keys, "row", "col")
-    resolved = resolve_rectangles(pending, found.filter("what = 'body'"), keys)
-    ready = found.filter("what = 'cell'").select(*keys, "row", "col", "code", "extra", F.lit("normal").alias("formula_kind")).unionByName(
-        resolved.select(
-            *keys, "row", "col", "body.code", "body.extra",
-            F.when(F.col("body").isNull(), "unresolved").when(F.col("body.array"), "array").otherwise("shared").alias("formula_kind"),
-        )
-    )
-    order = Window.partitionBy("path")
-    links = decode(_binary(package_parts).filter("part_lc = 'xl/workbook.bin'"), "links", {"path": pa.string()}).groupBy("path").agg(
-        F.sort_array(F.collect_list(F.struct("ixti", "sheet_idx"))).alias("links")
-    )
-    lists = (
-        sheet_list.filter("format = 'xlsb'").groupBy("path")
-        .agg(F.transform(F.sort_array(F.collect_list(F.struct("sheet_idx", "sheet"))), lambda x: x["sheet"]).alias("in_order"))
-        .join(links, "path", "left")
-        .select("path", F.coalesce(F.transform("links", lambda x: F.try_element_at("in_order", x["sheet_idx"] + 1)), "in_order").alias("sheet_names"))
-    )
-    names = (
-        defined_names(package_parts).withColumn("n", F.max("idx").over(order)).groupBy("path").agg(
-            F.max("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("idx", "name"))).alias("by_idx"))
-        .select("path", F.transform(F.sequence(F.lit(1), "n"), lambda k: F.coalesce(F.try_element_at("by_idx", k), F.lit(""))).alias("defined"))
-    )
-    table = functions
-
-    @F.udf("struct<formula: string, problem: string>", useArrow=True)
-    def text_of(code, extra, row, col, sheet_names, defined):
-        if code is None:
-            return "={shared_formula}", None
-        known = Names(tuple(sheet_names or ()), tuple(defined or ())) if table is None else Names(tuple(sheet_names or ()), tuple(defined or ()), table)
-        return decompile(code, extra or b"", row, col, known)
-
-    texts = ready.join(lists, "path", "left").join(names, "path", "left").withColumn("t", text_of("code", "extra", "row", "col", "sheet_names", "defined"))
-    formula = F.when(F.col("t.problem").isNotNull(), F.concat(F.lit("=<parse_error:"), "t.problem", F.lit(">"))).when(
-        F.col("formula_kind") == "array", F.concat(F.lit("{"), "t.formula", F.lit("}"))
-    ).otherwise(F.col("t.formula"))
-    return texts.select(*keys, "row", "col", formula.alias("formula"), "formula_kind", F.col("t.problem").alias("parse_error")).withColumn("addr", address("row", "col"))
-
-
-def auto_filters(sheet_list: DataFrame, package_parts: DataFrame) -> DataFrame:
-    return decode(_sheet_parts(sheet_list, package_parts), "filters", _SHEET_KEYS)
+def auto_filters(books: DataFrame, sheet: str | None = None) -> DataFrame:
+    return decode_sheets(books, "filters", lambda _, data: filter_rows(data), sheet)
 
 
 def pivot_tables(pivots: DataFrame, package_parts: DataFrame) -> DataFrame:
+    from .package import find_part
+
     own = find_part(pivots, _binary(package_parts), "pivot_part")
     keys = {"path": pa.string(), "sheet": pa.string(), "pivot_part": pa.string(), "cache": pa.string()}
     empty = "array<struct<fld: int, type: string>>"

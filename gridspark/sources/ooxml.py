@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.cells import FILTER_OPERATOR_NAMES, address, col_of, row_of, shift_references, typed_number
-from .package import find_part, package_format, xml
+from .package import find_part, package_format, sheet_texts, xml
 
 SST_SCHEMA = "struct<si: array<struct<t: string, r: array<struct<t: string>>>>>"
 ROWS_SCHEMA = (
@@ -48,79 +48,74 @@ def shared_strings(package_parts: DataFrame) -> DataFrame:
     )
 
 
-def raw_cells(sheets: DataFrame, package_parts: DataFrame) -> DataFrame:
+def raw_cells(chunks: DataFrame) -> DataFrame:
     """Cells as written, in document order: ``seq`` is (chunk, row, cell)."""
-    rows = package_parts.filter("chunk_kind = 'rows'")
-    own = find_part(sheets.filter("format = 'xlsx'").withColumnRenamed("part", "sheet_part"), rows, "sheet_part")
     return (
-        own.select("path", "sheet_idx", "sheet", "chunk", xml("text", ROWS_SCHEMA).alias("x"))
-        .select("path", "sheet_idx", "sheet", "chunk", F.posexplode("x.sheetData.row").alias("ri", "r"))
-        .select("path", "sheet_idx", "sheet", "chunk", "ri", F.posexplode("r.c").alias("ci", "c"))
+        chunks.select("path", "sheet_idx", "sheet", "chunk", "strings", xml("text", ROWS_SCHEMA).alias("x"))
+        .select("path", "sheet_idx", "sheet", "chunk", "strings", F.posexplode("x.sheetData.row").alias("ri", "r"))
+        .select("path", "sheet_idx", "sheet", "chunk", "strings", "ri", F.posexplode("r.c").alias("ci", "c"))
         .select(
             "path", "sheet_idx", "sheet", F.struct("chunk", "ri", "ci").alias("seq"), row_of("c._r").alias("row"), col_of("c._r").alias("col"),
-            F.col("c._t").alias("t"), F.col("c.v").alias("v"), F.col("c.f").alias("f"), F.col("c.`is`").alias("inline"),
+            F.col("c._t").alias("t"), F.col("c.v").alias("v"), F.col("c.f").alias("f"), F.col("c.`is`").alias("inline"), "strings",
         )
         .filter("row is not null and col is not null")
     )
 
 
-def _last(df: DataFrame, *values: str) -> DataFrame:
-    """Of the rows of one cell the last one in document order."""
-    key = ["path", "sheet_idx", "sheet", "row", "col"]
-    return df.groupBy(*key).agg(F.max_by(F.struct(*values), "seq").alias("_x")).select(*key, "_x.*")
-
-
-def cells(sheets: DataFrame, package_parts: DataFrame) -> DataFrame:
+def cells(books: DataFrame, sheet: str | None = None) -> DataFrame:
     """The typed sparse grid. Cells without a value are absent; a shared string out of range is ''."""
-    raw = raw_cells(sheets, package_parts)
+    raw = raw_cells(sheet_texts(books, sheet, frames=False, strings=True))
     t = F.coalesce("t", F.lit("n"))
-    index = F.when(t == "s", F.trim("v").try_cast("int"))
-    looked = raw.withColumn("idx", index).join(shared_strings(package_parts), ["path", "idx"], "left")
     kind, v_int, v_num = typed_number("v")
     flag = F.lower(F.trim("v"))
     text = (
-        F.when(t == "inlineStr", _text(F.col("inline"))).when(t == "s", F.coalesce("text", F.lit("")))
-        .when(t.isin("str", "b", "e"), F.col("v")).otherwise(F.col("v"))
+        F.when(t == "inlineStr", _text(F.col("inline")))
+        .when(t == "s", F.coalesce(F.try_element_at("strings", F.trim("v").try_cast("int")), F.lit(""))).otherwise(F.col("v"))
     )
     is_bool = (t == "b") & flag.isin("0", "1", "true", "false")
     what = (
         F.when(t.isin("inlineStr", "s", "str"), "str").when(is_bool, "bool").when(t == "b", "str").when(t == "e", "error").otherwise(kind)
     )
-    typed = looked.filter((t == "inlineStr") | F.col("v").isNotNull()).select(
-        "path", "sheet_idx", "sheet", "row", "col", "seq", what.alias("kind"),
+    return raw.filter((t == "inlineStr") | F.col("v").isNotNull()).select(
+        "path", "sheet_idx", "sheet", "row", "col", address("row", "col").alias("addr"), what.alias("kind"),
         F.when(what == "int", v_int).alias("v_int"), F.when(what.isin("int", "float"), v_num).alias("v_num"), F.when(what == "str", text).alias("v_str"),
         F.when(what == "bool", flag.isin("1", "true")).alias("v_bool"), F.when(what == "error", F.col("v")).alias("v_err"),
         F.col("f").isNotNull().alias("from_formula"),
     )
-    return _last(typed, "kind", "v_int", "v_num", "v_str", "v_bool", "v_err", "from_formula").withColumn("addr", address("row", "col"))
 
 
-def formulas(sheets: DataFrame, package_parts: DataFrame) -> DataFrame:
+def formulas(books: DataFrame, sheet: str | None = None) -> DataFrame:
     """Formulas as text. A shared follower takes the latest earlier anchor with its index, moved to its place."""
-    raw = raw_cells(sheets, package_parts).filter("f is not null").select(
+    raw = raw_cells(sheet_texts(books, sheet, frames=False)).filter("f is not null").select(
         "path", "sheet_idx", "sheet", "row", "col", "seq", F.col("f._t").alias("t"), F.col("f._si").alias("si"), F.col("f._ref").alias("ref"),
         F.col("f._ca").alias("ca"), F.trim("f._VALUE").alias("body"),
     )
-    return _last(resolve_shared(raw), "formula", "formula_kind", "parse_error").withColumn("addr", address("row", "col"))
+    return resolve_shared(raw).withColumn("addr", address("row", "col"))
 
 
 def resolve_shared(raw: DataFrame) -> DataFrame:
-    """As-of join of followers with anchors by document order, as a window. Followers without an anchor stay, unresolved."""
-    anchor = F.when((F.col("t") == "shared") & F.col("ref").isNotNull() & (F.coalesce("body", F.lit("")) != ""), F.struct("row", "col", "body"))
-    earlier = Window.partitionBy("path", "sheet_idx", "si").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    plain = raw.filter("t is null or t <> 'shared'")
-    shared = raw.filter("t = 'shared'").withColumn("a", F.last(anchor, ignorenulls=True).over(earlier))
+    """As-of join of followers with anchors by document order, as a window. Followers without an anchor stay, unresolved.
+
+    Cells that share nothing pass through the same window, each as a group of its own, so that
+    the sheets are parsed once.
+    """
+    is_shared = F.coalesce(F.col("t") == "shared", F.lit(False))
     own = F.coalesce("body", F.lit("")) != ""
+    anchor = F.when(is_shared & F.col("ref").isNotNull() & own, F.struct("row", "col", "body"))
+    group = F.when(is_shared, F.concat(F.lit("s"), F.coalesce("si", F.lit("")))).otherwise(F.concat_ws(":", "row", "col"))
+    earlier = Window.partitionBy("path", "sheet_idx", "_group").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    linked = raw.filter(is_shared | own).withColumn("_group", group).withColumn("a", F.last(anchor, ignorenulls=True).over(earlier))
     moved = shift_references(F.col("a.body"), F.col("row") - F.col("a.row"), F.col("col") - F.col("a.col"))
     body = F.when(F.col("ca") == "1", F.regexp_replace("body", r"_xludf\.", "")).otherwise(F.col("body"))
-    done = shared.withColumn(
-        "formula", F.when(own, F.concat(F.lit("="), "body")).when(F.col("a").isNotNull(), F.concat(F.lit("="), moved)).otherwise("={shared_formula}")
-    ).withColumn("formula_kind", F.when(own | F.col("a").isNotNull(), "shared").otherwise("unresolved"))
-    rest = plain.filter(own).withColumn(
-        "formula", F.when(F.col("t") == "array", F.concat(F.lit("{="), body, F.lit("}"))).otherwise(F.concat(F.lit("="), body))
-    ).withColumn("formula_kind", F.when(F.col("t") == "array", "array").otherwise("normal"))
-    columns = ["path", "sheet_idx", "sheet", "row", "col", "seq", "formula", "formula_kind", F.lit(None).cast("string").alias("parse_error")]
-    return done.select(*columns).unionByName(rest.select(*columns))
+    array = F.coalesce(F.col("t") == "array", F.lit(False))
+    formula = (
+        F.when(array, F.concat(F.lit("{="), body, F.lit("}"))).when(own, F.concat(F.lit("="), F.when(is_shared, F.col("body")).otherwise(body)))
+        .when(F.col("a").isNotNull(), F.concat(F.lit("="), moved)).otherwise("={shared_formula}")
+    )
+    kind = F.when(array, "array").when(~is_shared, "normal").when(own | F.col("a").isNotNull(), "shared").otherwise("unresolved")
+    return linked.select(
+        "path", "sheet_idx", "sheet", "row", "col", "seq", formula.alias("formula"), kind.alias("formula_kind"), F.lit(None).cast("string").alias("parse_error")
+    )
 
 
 def _criterion(operator: Column, val: Column) -> Column:
@@ -136,10 +131,9 @@ def _criterion(operator: Column, val: Column) -> Column:
     )
 
 
-def auto_filters(sheets: DataFrame, package_parts: DataFrame) -> DataFrame:
-    """One row per sheet with a filter directly on it."""
-    frames = package_parts.filter("chunk_kind = 'frame'")
-    own = find_part(sheets.filter("format = 'xlsx'").withColumnRenamed("part", "sheet_part"), frames, "sheet_part")
+def auto_filters(books: DataFrame, sheet: str | None = None) -> DataFrame:
+    """One row per sheet with a filter directly on it. The rows of the sheets are not parsed."""
+    own = sheet_texts(books, sheet, frames=True)
 
     def column(c: Column) -> Column:
         custom, listed, top, dynamic = c["customFilters"], c["filters"], c["top10"], c["dynamicFilter"]

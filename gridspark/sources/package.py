@@ -16,11 +16,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.cells import package_format, resolve_path
+from .single import Package, last_cells, plain_xml, shared_indexes
 
 CHUNK_BYTES = 4 << 20
 PARTS = "path string, part string, part_lc string, namesakes array<string>, chunk int, chunk_kind string, data binary, text string, problem string"
-_PREFIX = re.compile(rb"<([A-Za-z_][\w.-]*):(?:worksheet|workbook|sst|Relationships|pivotTableDefinition)[\s>]")
-_SPACE = re.compile(rb"\s+xml:space\s*=\s*(?:\"[^\"]*\"|'[^']*')")
 _ROWS = re.compile(rb"<sheetData\s*>(.*)</sheetData\s*>", re.S)
 
 
@@ -29,14 +28,6 @@ def workbooks(spark: SparkSession, path: str, glob: str = "*.[xX][lL][sS][xXmMbB
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path).select("path", "content")
 
 
-def plain_xml(data: bytes) -> bytes:
-    """XML whose elements have no prefix, and whose text elements have no space attribute."""
-    found = _PREFIX.search(data[:4096])
-    if found:
-        data = re.sub(rb"<(/?)" + re.escape(found[1]) + rb":", rb"<\1", data)
-    return _SPACE.sub(b"", data)
-
-
 def sheet_chunks(data: bytes, chunk_bytes: int = CHUNK_BYTES) -> list[tuple[str, bytes]]:
     """('frame', everything but the rows), ('rows', ...) ... of a worksheet."""
     found = _ROWS.search(data)
@@ -79,7 +70,7 @@ def inflate(content: bytes | None, wanted: re.Pattern, chunk_bytes: int = CHUNK_
                 if low.endswith((".xml", ".rels")):
                     data = plain_xml(data)
                 if low.startswith("xl/worksheets/") and low.endswith(".xml"):
-                    out += [(part, low, names[low], k, kind, d, None) for k, (kind, d) in enumerate(sheet_chunks(data, chunk_bytes))]
+                    out += [(part, low, names[low], k, kind, d, None) for k, (kind, d) in enumerate(sheet_chunks(last_cells(data), chunk_bytes))]
                 else:
                     out.append((part, low, names[low], 0, "whole", data, None))
     except (zipfile.BadZipFile, ValueError, NotImplementedError) as e:
@@ -113,6 +104,48 @@ def parts(books: DataFrame, wanted: str = r"\.(?:xml|bin|rels)$", chunk_bytes: i
     return books.select("path", "content").mapInArrow(run, PARTS)
 
 
+SHEET_CHUNKS = "path string, sheet_idx int, sheet string, chunk int, text string, strings map<int, string>"
+
+
+def sheet_texts(books: DataFrame, sheet: str | None, frames: bool, strings: bool = False, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """Open XML worksheets: their frames, or their rows in chunks with the shared strings these refer to.
+
+    No join and no shuffle; with ``sheet`` only the sheets of that name are inflated.
+    """
+    schema = pa.schema([
+        ("path", pa.string()), ("sheet_idx", pa.int32()), ("sheet", pa.string()), ("chunk", pa.int32()), ("text", pa.string()), ("strings", pa.map_(pa.int32(), pa.string())),
+    ])
+
+    def run(batches):
+        for path, package in _packages(batches):
+            known = None
+            for idx, name, data in package.wanted(sheet):
+                for k, (kind, piece) in enumerate(sheet_chunks(data, chunk_bytes)):
+                    if (kind == "frame") != frames:
+                        continue
+                    own = []
+                    if strings and (used := shared_indexes(piece)):
+                        known = package.strings() if known is None else known
+                        own = [(i, known[i]) for i in used if i < len(known)]
+                    text = piece.removeprefix(b"\xef\xbb\xbf").decode("utf-8", "replace")
+                    yield pa.RecordBatch.from_pylist([{"path": path, "sheet_idx": idx, "sheet": name, "chunk": k, "text": text, "strings": own}], schema=schema)
+
+    return books.filter(package_format("path") == "xlsx").select("path", "content").mapInArrow(run, SHEET_CHUNKS)
+
+
+def _packages(batches):
+    """The readable packages of Arrow batches of (path, content)."""
+    for batch in batches:
+        for path, content in zip(batch.column(0), batch.column(1)):
+            data = content.as_py()
+            try:
+                package = Package(path.as_py(), data) if data else None
+            except (zipfile.BadZipFile, ValueError, NotImplementedError):
+                continue
+            if package:
+                yield path.as_py(), package
+
+
 def problems(books: DataFrame) -> DataFrame:
     """``path, part, problem`` of packages and parts that can't be read."""
     return parts(books).filter("problem is not null").select("path", "part", "problem")

@@ -1,97 +1,132 @@
-"""One workbook read in one task, for the data source: sheets and values."""
+"""One workbook package, read in one task: its sheets, strings and names, and its sheets' parts.
+
+Everything a sheet needs to be decoded (its name, shared strings, defined names) lies in the
+same file, so it is resolved where the file is open. A scan of sheets then needs no join and
+no shuffle, however large the corpus.
+"""
 
 from __future__ import annotations
 
+import io
 import posixpath
 import re
 import xml.etree.ElementTree as ET
+import zipfile
 from collections.abc import Iterator
 
+from ..functions.worksheet_functions import load
 from . import biff12
+from .formula_tokens import Names
+
+_PREFIX = re.compile(rb"<([A-Za-z_][\w.-]*):(?:worksheet|workbook|sst|Relationships|pivotTableDefinition)[\s>]")
+_SPACE = re.compile(rb"\s+xml:space\s*=\s*(?:\"[^\"]*\"|'[^']*')")
+_CELL = re.compile(rb"<c\s(?:[^>]*?\s)?r\s*=\s*[\"']([A-Z]+[0-9]+)[\"'][^>]*?(?:/>|>(?:.*?)</c>)", re.S)
+_SHARED = re.compile(rb"<c\s[^>]*?\bt\s*=\s*[\"']s[\"'][^>]*>(?:(?!</c>).)*?<v>\s*([0-9]+)", re.S)
+
+
+def plain_xml(data: bytes) -> bytes:
+    """XML whose elements have no prefix, and whose text elements have no space attribute."""
+    found = _PREFIX.search(data[:4096])
+    if found:
+        data = re.sub(rb"<(/?)" + re.escape(found[1]) + rb":", rb"<\1", data)
+    return _SPACE.sub(b"", data)
+
 
-_REF = re.compile(r"^([A-Z]+)(\d+)$")
+def last_cells(data: bytes) -> bytes:
+    """A worksheet in which every cell stands once: of cells with one address the last."""
+    addresses = [m[1] for m in _CELL.finditer(data)]
+    if len(set(addresses)) == len(addresses):
+        return data
+    last = {a: k for k, a in enumerate(addresses)}
+    place = iter(range(len(addresses)))
+    return _CELL.sub(lambda m: m[0] if last[m[1]] == next(place) else b"", data)
 
 
 def _tag(e: ET.Element) -> str:
     return e.tag.rpartition("}")[2]
 
 
-class Book:
-    def __init__(self, path: str, found: list[tuple]):
-        self.parts: dict[str, list[bytes]] = {}
-        for part, low, _, _, kind, data, _ in found:
-            if data is not None and kind != "frame":
-                self.parts.setdefault(low, []).append(data)
-        self.binary = not re.search(r"\.xls[xm]$", path, re.I)
+def _xml(data: bytes | None) -> ET.Element | None:
+    try:
+        return ET.fromstring(data) if data else None
+    except ET.ParseError:
+        return None
+
 
-    def _one(self, name: str) -> bytes:
-        return self.parts.get(name.lower(), [b""])[0]
+class Package:
+    """``zipfile.BadZipFile`` if the content is none. Damaged parts are as if absent; ``problems`` names them."""
+
+    def __init__(self, path: str, content: bytes):
+        self.zip = zipfile.ZipFile(io.BytesIO(content))
+        self.binary = not re.search(r"\.xls[xm]$", path, re.I)
+        self.book = "xl/workbook.bin" if self.binary else "xl/workbook.xml"
+        self.problems: list[tuple[str, str]] = []
+        self.members: dict[str, list[tuple[str, zipfile.ZipInfo]]] = {}
+        for info in self.zip.infolist():
+            name = info.filename.replace("\\", "/").lstrip("/")
+            self.members.setdefault(name.lower(), []).append((name, info))
 
-    def _xml(self, data: bytes) -> ET.Element | None:
+    def read(self, name: str | None) -> bytes | None:
+        """A part by its exact name, else the first that differs only in case."""
+        found = self.members.get((name or "").lstrip("/").lower())
+        if not found:
+            return None
+        info = next((i for n, i in found if n == name), found[0][1])
         try:
-            return ET.fromstring(data) if data else None
-        except ET.ParseError:
+            return self.zip.read(info)
+        except Exception as e:  # noqa: BLE001  a damaged part leaves the others readable
+            self.problems.append((info.filename, f"{type(e).__name__}: {e}"))
             return None
 
     def sheets(self) -> list[tuple[str, str | None]]:
-        book = "xl/workbook.bin" if self.binary else "xl/workbook.xml"
-        links = self._xml(self._one(f"xl/_rels/{book[3:]}.rels"))
-        targets = {e.get("Id"): e.get("Target") for e in links} if links is not None else {}
+        """Names and parts of the sheets in tab order."""
+        links = _xml(self.read(f"xl/_rels/{self.book[3:]}.rels"))
+        targets = {e.get("Id"): e.get("Target") for e in links if e.get("Id") and e.get("Target")} if links is not None else {}
         if self.binary:
-            listed = [(s["sheet"], s["rel_id"]) for s in biff12.sheet_rows(self._one(book))]
+            listed = [(s["sheet"], s["rel_id"]) for s in biff12.sheet_rows(self.read(self.book) or b"")]
         else:
-            root = self._xml(self._one(book))
+            root = _xml(self.read(self.book))
             found = [e for e in root.iter() if _tag(e) == "sheet"] if root is not None else []
             listed = [(e.get("name"), next((v for k, v in e.attrib.items() if k.endswith("}id")), None)) for e in found]
+            listed = [(n, r) for n, r in listed if n and r]
         out = []
         for name, rel in listed:
-            t = targets.get(rel)
-            out.append((name, t and (t.lstrip("/") if t.startswith("/") else posixpath.normpath(posixpath.join("xl", t)))))
-        return [(n, t) for n, t in out if n]
+            t = (targets.get(rel) or "").replace("\\", "/")
+            full = posixpath.normpath(t if t.startswith("/") else posixpath.join("/xl", t)).lstrip("/")
+            out.append((name, full if t else None))
+        return out
 
-    def cells(self, part: str | None) -> Iterator[dict]:
-        if not part:
-            return
+    def strings(self) -> list[str]:
+        """Shared strings; runs concatenated, phonetic runs dropped."""
         if self.binary:
-            strings = [r["text"] for r in biff12.sst_rows(self._one("xl/sharedStrings.bin"))]
-            for c in biff12.cell_rows(self._one(part)):
-                k = c.pop("isst", None)
-                yield c if k is None else c | {"v_str": strings[k] if k < len(strings) else ""}
-            return
-        root = self._xml(self._one("xl/sharedStrings.xml"))
-        strings = ["".join(t.text or "" for t in si.iter() if _tag(t) == "t") for si in root] if root is not None else []
-        grid: dict[tuple[int, int], dict] = {}
-        for chunk in self.parts.get(part.lower(), []):
-            sheet = self._xml(chunk)
-            for c in (e for e in sheet.iter() if _tag(e) == "c") if sheet is not None else ():
-                if (m := _REF.match(c.get("r", ""))) and (value := self._value(c, strings)):
-                    col = 0
-                    for ch in m[1]:
-                        col = col * 26 + ord(ch) - 64
-                    row = int(m[2]) - 1
-                    grid[row, col - 1] = {"row": row, "col": col - 1, "from_formula": any(_tag(e) == "f" for e in c), **value}
-        yield from grid.values()
-
-    @staticmethod
-    def _value(c: ET.Element, strings: list[str]) -> dict | None:
-        kind = c.get("t", "n")
-        v = next((e.text or "" for e in c if _tag(e) == "v"), None)
-        if kind == "inlineStr":
-            return {"kind": "str", "v_str": "".join(t.text or "" for t in c.iter() if _tag(t) == "t")}
-        if v is None:
-            return None
-        if kind == "s":
-            k = int(v) if v.strip().isdigit() else -1
-            return {"kind": "str", "v_str": strings[k] if 0 <= k < len(strings) else ""}
-        if kind == "b" and v.strip().lower() in ("0", "1", "true", "false"):
-            return {"kind": "bool", "v_bool": v.strip().lower() in ("1", "true")}
-        if kind == "e":
-            return {"kind": "error", "v_err": v}
-        if kind not in ("str", "b"):
-            try:
-                d = float(v) if re.fullmatch(r"\s*[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?\s*", v) else None
-            except ValueError:
-                d = None
-            if d is not None and abs(d) != float("inf"):
-                return biff12._number(d)
-        return {"kind": "str", "v_str": v}
+            return [r["text"] for r in biff12.sst_rows(self.read("xl/sharedStrings.bin") or b"")]
+        root = _xml(self.read("xl/sharedStrings.xml"))
+        return [rich_text(si) for si in root if _tag(si) == "si"] if root is not None else []
+
+    def names(self, functions: dict | None = None) -> Names:
+        """What formula tokens refer to by number."""
+        data = self.read(self.book) or b""
+        sheets = [s["sheet"] for s in biff12.sheet_rows(data)]
+        links = biff12.link_rows(data)
+        if links:
+            sheets = [sheets[x["sheet_idx"]] if x["sheet_idx"] is not None and x["sheet_idx"] < len(sheets) else "" for x in links]
+        defined = {r["idx"]: r["name"] for r in biff12.name_rows(data)}
+        return Names(tuple(sheets), tuple(defined.get(k + 1, "") for k in range(max(defined, default=0))), load() if functions is None else functions)
+
+    def wanted(self, sheet: str | None) -> Iterator[tuple[int, str, bytes]]:
+        """Index, name and data of the sheets; other sheets are not even inflated."""
+        for k, (name, part) in enumerate(self.sheets()):
+            if sheet is None or name == sheet:
+                data = self.read(part)
+                if data:
+                    yield k, name, data if self.binary else last_cells(plain_xml(data))
+
+
+def rich_text(item: ET.Element) -> str:
+    runs = [t.text or "" for r in item if _tag(r) == "r" for t in r if _tag(t) == "t"]
+    return "".join(runs) if runs else next((t.text or "" for t in item if _tag(t) == "t"), "")
+
+
+def shared_indexes(data: bytes) -> set[int]:
+    """Numbers of the shared strings that a piece of a worksheet refers to."""
+    return {int(m[1]) for m in _SHARED.finditer(data)}

@@ -11,12 +11,14 @@ from __future__ import annotations
 import glob
 import os
 import re
+import xml.etree.ElementTree as ET
+import zipfile
 from collections.abc import Iterator
 
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputPartition
 
-from . import biff12, package, vba
+from . import biff12, single, vba
 
 SCHEMAS = {
     "sheets": "path string, sheet_idx int, sheet string, part string",
@@ -58,34 +60,66 @@ class WorkbookReader(DataSourceReader):
     def read(self, partition: FilePartition) -> Iterator[tuple]:
         with open(partition.path, "rb") as f:
             content = f.read()
-        wanted = {"sheets": r"workbook\.(?:xml|bin)(?:\.rels)?$", "vba_modules": r"vbaproject\.bin$", "parts": "."}.get(self.entity, r"\.(?:xml|bin|rels)$")
-        found = package.inflate(content, re.compile(wanted))
+        try:
+            book = single.Package(partition.path, content)
+        except (zipfile.BadZipFile, ValueError):
+            return
+        path, only = partition.path, self.only.get("sheet")
         if self.entity == "parts":
-            sizes: dict[str, int] = {}
-            for part, _, _, _, _, data, _ in found:
-                sizes[part] = sizes.get(part, 0) + len(data or b"")
-            yield from ((partition.path, p, n) for p, n in sizes.items())
+            yield from ((path, name, info.file_size) for found in book.members.values() for name, info in found)
+        elif self.entity == "sheets":
+            yield from ((path, k, name, part) for k, (name, part) in enumerate(book.sheets()) if only is None or name == only)
         elif self.entity == "vba_modules":
-            for _, _, _, _, _, data, _ in found:
-                try:
-                    yield from ((partition.path, m["module"], m["module_type"], m["source"]) for m in vba.read_project(data) if m["source"] is not None)
-                except vba.Damaged:
-                    continue
+            try:
+                yield from ((path, m["module"], m["module_type"], m["source"]) for m in vba.read_project(book.read("xl/vbaProject.bin") or b"") if m["source"] is not None)
+            except vba.Damaged:
+                return
         else:
-            yield from self._sheets(partition.path, found)
-
-    def _sheets(self, path: str, found: list[tuple]) -> Iterator[tuple]:
-        from . import single
-
-        book = single.Book(path, found)
-        for idx, (sheet, part) in enumerate(book.sheets()):
-            if self.only.get("sheet", sheet) != sheet:
-                continue
-            if self.entity == "sheets":
-                yield path, idx, sheet, part
-            else:
-                for c in book.cells(part):
-                    yield (path, idx, sheet, c["row"], c["col"], c["kind"], *(c.get(k) for k in ("v_int", "v_num", "v_str", "v_bool", "v_err")), c["from_formula"])
+            strings = book.strings()
+            for idx, sheet, data in book.wanted(only):
+                for c in biff12.cell_rows(data) if book.binary else ooxml_cells(data, strings):
+                    k = c.pop("isst", None)
+                    if k is not None:
+                        c["v_str"] = strings[k] if k < len(strings) else ""
+                    yield (path, idx, sheet, c["row"], c["col"], c["kind"], *(c.get(n) for n in ("v_int", "v_num", "v_str", "v_bool", "v_err")), c["from_formula"])
+
+
+def ooxml_cells(data: bytes, strings: list[str]) -> Iterator[dict]:
+    try:
+        root = ET.fromstring(data)
+    except ET.ParseError:
+        return
+    tag = lambda e: e.tag.rpartition("}")[2]
+    for c in root.iter():
+        m = re.fullmatch(r"([A-Z]{1,3})([0-9]+)", c.get("r", "")) if tag(c) == "c" else None
+        if not m:
+            continue
+        col = 0
+        for ch in m[1]:
+            col = col * 26 + ord(ch) - 64
+        value = cell_value(c, strings, tag)
+        if value:
+            yield {"row": int(m[2]) - 1, "col": col - 1, "from_formula": any(tag(e) == "f" for e in c), **value}
+
+
+def cell_value(c: ET.Element, strings: list[str], tag) -> dict | None:
+    kind = c.get("t", "n")
+    v = next((e.text or "" for e in c if tag(e) == "v"), None)
+    if kind == "inlineStr":
+        return {"kind": "str", "v_str": next((single.rich_text(e) for e in c if tag(e) == "is"), "")}
+    if v is None:
+        return None
+    if kind == "s":
+        k = int(v) if v.strip().isdigit() else -1
+        return {"kind": "str", "v_str": strings[k] if 0 <= k < len(strings) else ""}
+    if kind == "b" and v.strip().lower() in ("0", "1", "true", "false"):
+        return {"kind": "bool", "v_bool": v.strip().lower() in ("1", "true")}
+    if kind == "e":
+        return {"kind": "error", "v_err": v}
+    number = re.fullmatch(r"\s*[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?\s*", v) if kind not in ("str", "b") else None
+    if number and abs(float(v)) != float("inf"):
+        return biff12._number(float(v))
+    return {"kind": "str", "v_str": v}
 
 
 class PushingReader(WorkbookReader):
