@@ -33,9 +33,7 @@ def _parts(books: DataFrame, *wanted: str) -> DataFrame:
 
 def sheets(books: DataFrame, sheet: str | None = None) -> DataFrame:
     """``path, format, sheet_idx, sheet, rel_id, part`` in tab order by ``sheet_idx``."""
-    found = _parts(books, BOOK)
-    links = package.rels(found)
-    every = package.ooxml_sheets(found, links).unionByName(biff12.sheets(found, links))
+    every = package.sheet_table(books)
     return every.filter(F.col("sheet") == sheet) if sheet is not None else every
 
 
@@ -73,8 +71,9 @@ def _both(branches: dict, formats: tuple[str, ...], columns: list[str]) -> DataF
 
 
 def pivot_links(books: DataFrame, sheet: str | None = None) -> DataFrame:
-    """Link traversal: sheet -> its relationships -> pivot parts -> the first cache definition.
+    """Link traversal as joins: sheet -> its relationships -> pivot parts -> the first cache definition.
 
+    For analyses of the links themselves; ``pivot_tables`` follows them inside each package.
     ``path, sheet_idx, sheet, pivot_part, cache``; of the sheets that share a part the first one.
     """
     links = package.rels(_parts(books, BOOK, PIVOTS))
@@ -94,9 +93,9 @@ def pivot_links(books: DataFrame, sheet: str | None = None) -> DataFrame:
     return out.filter(F.col("sheet") == sheet) if sheet is not None else out
 
 
-def pivot_tables(books: DataFrame, sheet: str | None = None) -> DataFrame:
-    links, found = pivot_links(books, sheet), _parts(books, PIVOTS)
-    return ooxml.pivot_tables(links, found).select(*PIVOT_COLUMNS).unionByName(biff12.pivot_tables(links, found).select(*PIVOT_COLUMNS))
+def pivot_tables(books: DataFrame, sheet: str | None = None, formats: tuple[str, ...] = FORMATS) -> DataFrame:
+    """Metadata of the pivot tables that sheets link to; nothing is shuffled."""
+    return _both({"xlsx": lambda: ooxml.pivot_tables(books, sheet), "xlsb": lambda: biff12.pivot_tables(books, sheet)}, formats, PIVOT_COLUMNS)
 
 
 def vba_modules(books: DataFrame) -> DataFrame:

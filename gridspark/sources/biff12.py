@@ -314,13 +314,6 @@ def _binary(package_parts: DataFrame) -> DataFrame:
     return package_parts.filter(package_format("path") == "xlsb")
 
 
-def sheets(package_parts: DataFrame, relations: DataFrame) -> DataFrame:
-    from .package import with_paths
-
-    listed = decode(_binary(package_parts).filter("part_lc = 'xl/workbook.bin'"), "sheets", {"path": pa.string()})
-    return with_paths(listed.withColumn("format", F.lit("xlsb")), relations, "xl/workbook.bin")
-
-
 def defined_names(package_parts: DataFrame) -> DataFrame:
     return decode(_binary(package_parts).filter("part_lc = 'xl/workbook.bin'"), "names", {"path": pa.string()}).select(
         "path", "idx", "name", F.lit(None).cast("string").alias("refers_to")
@@ -426,10 +419,10 @@ def auto_filters(books: DataFrame, sheet: str | None = None) -> DataFrame:
     return decode_sheets(books, "filters", lambda _, data: filter_rows(data), sheet)
 
 
-def pivot_tables(pivots: DataFrame, package_parts: DataFrame) -> DataFrame:
-    from .package import find_part
+def pivot_tables(books: DataFrame, sheet: str | None = None) -> DataFrame:
+    from .package import pivot_parts
 
-    own = find_part(pivots, _binary(package_parts), "pivot_part")
+    own = pivot_parts(books, sheet, "xlsb")
     keys = {"path": pa.string(), "sheet": pa.string(), "pivot_part": pa.string(), "cache": pa.string()}
     empty = "array<struct<fld: int, type: string>>"
     return decode(own, "pivots", keys).withColumnsRenamed({"pivot_part": "part", "cache": "pivot_cache_definition"}).withColumns({

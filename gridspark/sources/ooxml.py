@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.cells import FILTER_OPERATOR_NAMES, address, col_of, row_of, shift_references, typed_number
-from .package import find_part, package_format, sheet_texts, xml
+from .package import pivot_parts, sheet_texts, xml
 
 SST_SCHEMA = "struct<si: array<struct<t: string, r: array<struct<t: string>>>>>"
 ROWS_SCHEMA = (
@@ -161,14 +161,14 @@ def auto_filters(books: DataFrame, sheet: str | None = None) -> DataFrame:
     )
 
 
-def pivot_tables(pivots: DataFrame, package_parts: DataFrame) -> DataFrame:
-    """Metadata of the pivot parts that ``pivots`` (path, sheet, pivot_part, cache) links to sheets."""
+def pivot_tables(books: DataFrame, sheet: str | None = None) -> DataFrame:
+    """Metadata of the pivot parts that sheets link to."""
     number = lambda c: F.col(c).try_cast("int")
     indexes = lambda c: F.coalesce(F.filter(F.transform(c, lambda x: x["_x"].try_cast("int")), lambda x: x != -2), F.array().cast("array<int>"))
     ref = F.col("x.location._ref")
     first, last = F.element_at(F.split(ref, ":"), 1), F.element_at(F.split(ref, ":"), -1)
     return (
-        find_part(pivots, package_parts, "pivot_part").filter(package_format("path") == "xlsx")
+        pivot_parts(books, sheet, "xlsx")
         .select("path", "sheet", "pivot_part", "cache", xml("text", PIVOT_SCHEMA).alias("x"))
         .select(
             "path", "sheet", F.col("pivot_part").alias("part"), F.col("x._name").alias("name"), number("x._cacheId").alias("cache_id"),

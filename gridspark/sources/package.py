@@ -133,6 +133,43 @@ def sheet_texts(books: DataFrame, sheet: str | None, frames: bool, strings: bool
     return books.filter(package_format("path") == "xlsx").select("path", "content").mapInArrow(run, SHEET_CHUNKS)
 
 
+def sheet_table(books: DataFrame) -> DataFrame:
+    """``path, format, sheet_idx, sheet, rel_id, part`` of both formats, in one pass over the files."""
+    schema = pa.schema([
+        ("path", pa.string()), ("format", pa.string()), ("sheet_idx", pa.int32()), ("sheet", pa.string()), ("rel_id", pa.string()), ("part", pa.string()),
+    ])
+
+    def run(batches):
+        for path, package in _packages(batches):
+            kind = "xlsb" if package.binary else "xlsx"
+            rows = [{"path": path, "format": kind, "sheet_idx": k, "sheet": n, "rel_id": r, "part": p} for k, (n, p, r) in enumerate(package.sheet_links())]
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    return books.select("path", "content").mapInArrow(run, "path string, format string, sheet_idx int, sheet string, rel_id string, part string")
+
+
+PIVOT_PARTS = "path string, sheet string, pivot_part string, cache string, data binary, text string"
+
+
+def pivot_parts(books: DataFrame, sheet: str | None, kind: str) -> DataFrame:
+    """The pivot parts of one format with the sheet and the cache they are linked to."""
+    schema = pa.schema([
+        ("path", pa.string()), ("sheet", pa.string()), ("pivot_part", pa.string()), ("cache", pa.string()), ("data", pa.binary()), ("text", pa.string()),
+    ])
+
+    def run(batches):
+        for path, package in _packages(batches):
+            for name, part, cache in package.pivots(sheet):
+                data = package.read(part)
+                if data is not None:
+                    text = None if package.binary else plain_xml(data).decode("utf-8", "replace")
+                    yield pa.RecordBatch.from_pylist(
+                        [{"path": path, "sheet": name, "pivot_part": part, "cache": cache, "data": data if package.binary else None, "text": text}], schema=schema)
+
+    return books.filter(package_format("path") == kind).select("path", "content").mapInArrow(run, PIVOT_PARTS)
+
+
 def _packages(batches):
     """The readable packages of Arrow batches of (path, content)."""
     for batch in batches:
@@ -176,46 +213,14 @@ def rels(package_parts: DataFrame) -> DataFrame:
     )
 
 
-def find_part(wanted: DataFrame, package_parts: DataFrame, column: str, how: str = "inner") -> DataFrame:
-    """Join rows with the parts they name: the exact name, else the first one that differs only in case."""
-    found = package_parts.withColumnRenamed("path", "_path")
-    exact = (F.col("part") == F.col(column)) | (
-        ~F.array_contains("namesakes", F.col(column)) & (F.col("part") == F.element_at("namesakes", 1))
-    )
-    return wanted.join(
-        found, (F.col("path") == F.col("_path")) & (F.lower(F.col(column)) == F.col("part_lc")) & exact, how
-    ).drop("_path")
-
-
-WORKBOOK_SCHEMA = (
-    "struct<sheets: struct<sheet: array<struct<_name: string, `_r:id`: string, _sheetId: string>>>, "
-    "definedNames: struct<definedName: array<struct<_name: string, _VALUE: string>>>>"
-)
-
-
-def with_paths(sheet_list: DataFrame, relations: DataFrame, workbook_part: str) -> DataFrame:
-    """Sheets with the part that their relationship names; null where there is none."""
-    own = relations.filter(F.lower("source_part") == workbook_part.lower()).select("path", "rel_id", F.col("resolved").alias("part"))
-    return sheet_list.join(own, ["path", "rel_id"], "left").select("path", "format", "sheet_idx", "sheet", "rel_id", "part")
-
-
-def ooxml_sheets(package_parts: DataFrame, relations: DataFrame) -> DataFrame:
-    """Sheets of Open XML workbooks in tab order; entries without a name or id are left out."""
-    kept = (
-        package_parts.filter((F.col("part_lc") == "xl/workbook.xml") & (package_format("path") == "xlsx"))
-        .select("path", xml("text", WORKBOOK_SCHEMA).alias("x"))
-        .select("path", F.filter("x.sheets.sheet", lambda s: (s["_name"] != "") & (s["_r:id"] != "")).alias("s"))
-        .select("path", F.posexplode("s").alias("sheet_idx", "s"))
-        .select("path", F.lit("xlsx").alias("format"), "sheet_idx", F.col("s._name").alias("sheet"), F.col("s.`_r:id`").alias("rel_id"))
-    )
-    return with_paths(kept, relations, "xl/workbook.xml")
+NAMES_SCHEMA = "struct<definedNames: struct<definedName: array<struct<_name: string, _VALUE: string>>>>"
 
 
 def ooxml_defined_names(package_parts: DataFrame) -> DataFrame:
     """``path, idx`` (1-based)``, name, refers_to``."""
     return (
         package_parts.filter((F.col("part_lc") == "xl/workbook.xml") & (package_format("path") == "xlsx"))
-        .select("path", xml("text", WORKBOOK_SCHEMA).alias("x"))
+        .select("path", xml("text", NAMES_SCHEMA).alias("x"))
         .select("path", F.posexplode("x.definedNames.definedName").alias("idx", "n"))
         .select("path", (F.col("idx") + 1).alias("idx"), F.col("n._name").alias("name"), F.col("n._VALUE").alias("refers_to"))
     )

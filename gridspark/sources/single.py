@@ -78,10 +78,34 @@ class Package:
             self.problems.append((info.filename, f"{type(e).__name__}: {e}"))
             return None
 
+    def links(self, part: str) -> dict[str, str]:
+        """The relationships of a part, resolved, in order: id -> part. Of entries with one id the last holds."""
+        folder, name = posixpath.split(part)
+        root = _xml(self.read(f"{folder}/_rels/{name}.rels"))
+        out: dict[str, str] = {}
+        for e in root if root is not None else ():
+            rel, target = e.get("Id"), (e.get("Target") or "").replace("\\", "/")
+            if rel and target:
+                out[rel] = posixpath.normpath(target if target.startswith("/") else posixpath.join("/", folder, target)).lstrip("/")
+        return out
+
+    def pivots(self, sheet: str | None = None) -> Iterator[tuple[str, str, str | None]]:
+        """Sheet, pivot part and first cache definition; of the sheets that share a part the first one."""
+        seen = set()
+        for name, part, _ in self.sheet_links():
+            for target in self.links(part).values() if part else ():
+                if "/pivottables/" in target.lower() and target.lower() not in seen:
+                    seen.add(target.lower())
+                    if sheet is None or name == sheet:
+                        yield name, target, next((t for t in self.links(target).values() if "/pivotcache/pivotcachedefinition" in t.lower()), None)
+
     def sheets(self) -> list[tuple[str, str | None]]:
         """Names and parts of the sheets in tab order."""
-        links = _xml(self.read(f"xl/_rels/{self.book[3:]}.rels"))
-        targets = {e.get("Id"): e.get("Target") for e in links if e.get("Id") and e.get("Target")} if links is not None else {}
+        return [(name, part) for name, part, _ in self.sheet_links()]
+
+    def sheet_links(self) -> list[tuple[str, str | None, str]]:
+        """Name, part and relationship of the sheets in tab order."""
+        targets = self.links(self.book)
         if self.binary:
             listed = [(s["sheet"], s["rel_id"]) for s in biff12.sheet_rows(self.read(self.book) or b"")]
         else:
@@ -89,12 +113,7 @@ class Package:
             found = [e for e in root.iter() if _tag(e) == "sheet"] if root is not None else []
             listed = [(e.get("name"), next((v for k, v in e.attrib.items() if k.endswith("}id")), None)) for e in found]
             listed = [(n, r) for n, r in listed if n and r]
-        out = []
-        for name, rel in listed:
-            t = (targets.get(rel) or "").replace("\\", "/")
-            full = posixpath.normpath(t if t.startswith("/") else posixpath.join("/xl", t)).lstrip("/")
-            out.append((name, full if t else None))
-        return out
+        return [(name, targets.get(rel), rel) for name, rel in listed]
 
     def strings(self) -> list[str]:
         """Shared strings; runs concatenated, phonetic runs dropped."""

@@ -160,6 +160,8 @@ def test_names_and_links(spark):
     assert (got["xl/pivotTables/p1.xml"].sheet, got["xl/pivotTables/p1.xml"].cache_id, got["xl/pivotTables/p1.xml"].pivot_cache_definition) == ("One", 10, "xl/pivotCache/pivotCacheDefinition1.xml")
     assert got["xl/pivotTables/p1.xml"].location.rfx_geom.asDict() == {"top_left": "A13", "bottom_right": "E21"}
     assert got["xl/pivotTables/p2.xml"].name is None and len(got) == 2
+    links = {(r.sheet, r.pivot_part, r.cache) for r in relations.pivot_links(df).collect()}
+    assert links == {(r.sheet, r.part, r.pivot_cache_definition) for r in got.values()}
     assert sorted((r.idx, r.name) for r in relations.defined_names(df).collect()) == [(1, "first"), (1, "n1"), (2, "second")]
 
 
