@@ -9,6 +9,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.cells import col_of, row_of
+
 _COMPARE = {
     "<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b, "=": lambda a, b: a == b, "<>": lambda a, b: ~(a == b),
 }
@@ -85,6 +87,78 @@ def apply_autofilter(table: DataFrame, names: dict[int, str], columns: list[dict
     return out
 
 
+def _test(spec: Column, cell: Column, empty: Column) -> Column:
+    """Whether a cell passes a custom or discrete filter column; never null."""
+    def one(q: Column) -> Column:
+        sign = F.coalesce(q["operator"], F.lit("="))
+
+        def compare(a: Column, b: Column) -> Column:
+            tests = F.when(sign == "=", a == b).when(sign == "<>", a != b).when(sign == "<", a < b).when(sign == "<=", a <= b).when(sign == ">", a > b).otherwise(a >= b)
+            return F.coalesce(tests, sign == "<>")
+
+        text, wanted = F.lower(cell["v_str"]), F.lower(q["v_str"])
+        pattern = wanted
+        for a, b in (("\\", "\\\\"), ("%", "\\%"), ("_", "\\_"), ("~*", "\x01"), ("~?", "\x02"), ("~~", "~"), ("*", "%"), ("?", "_"), ("\x01", "*"), ("\x02", "?")):
+            pattern = F.replace(pattern, F.lit(a), F.lit(b))
+        like = F.coalesce(F.when(sign == "=", F.like(text, pattern, F.lit("\\"))).otherwise(~F.like(text, pattern, F.lit("\\"))), sign == "<>")
+        return (
+            F.when(q["kind"] == "blank", empty).when(q["kind"] == "nonblank", ~empty)
+            .when(q["kind"] == "number", compare(cell["v_num"], q["v_num"])).when(q["kind"] == "bool", compare(cell["v_bool"], q["v_bool"]))
+            .when(sign.isin("=", "<>"), like).otherwise(compare(text, wanted))
+        )
+
+    criteria = F.filter(F.coalesce(spec["conditions"], F.array()), lambda q: q["kind"].isNotNull())
+    custom = F.when(F.size(criteria) == 0, True).when(spec["logic"] == "and", F.forall(criteria, one)).otherwise(F.exists(criteria, one))
+    values = F.filter(F.coalesce(spec["values"], F.array().cast("array<string>")), lambda v: v.isNotNull())
+    shown = F.lower(F.coalesce(cell["v_str"], cell["v_err"], cell["v_int"].cast("string"), cell["v_bool"].cast("string")))
+    listed = F.coalesce(F.array_contains(F.transform(values, F.lower), shown), F.lit(False)) | (empty & F.array_contains(values, F.lit("")))
+    return F.when(spec["type"] == "custom", custom).when(spec["type"] == "discrete", listed).otherwise(True)
+
+
+def visible_rows(cells: DataFrame, auto_filters: DataFrame, key: str) -> DataFrame:
+    """``key, row``: the data rows that every filter of a corpus leaves visible in its own sheet.
+
+    ``cells`` holds each cell once (``path, sheet_idx, row, col`` and its typed values);
+    ``auto_filters`` is the relation of that name with an id. One join finds the cells inside
+    the filters' areas; per row they become a map, in which every filter column looks up its
+    cell. Averages and ranks are windows over one column of one area.
+
+    A row counts if it holds any cell inside the area. An absent cell is blank. Texts match
+    without regard to case, with wildcards; listed values match texts, whole numbers, errors and
+    truth values. Filters that need a clock or formats (dates, colours) let every row pass, as do
+    columns without criteria. Repeated rows of one id count once.
+    """
+    area = auto_filters.dropDuplicates([key]).select(
+        key, "path", "sheet_idx", row_of("top_left").alias("r1"), col_of("top_left").alias("c1"), row_of("bottom_right").alias("r2"), col_of("bottom_right").alias("c2"), "columns",
+    )
+    own = cells.select("path", "sheet_idx", "row", "col", F.struct("v_int", "v_num", "v_str", "v_bool", "v_err").alias("v"))
+    rows = (
+        own.join(area.drop("columns"), ["path", "sheet_idx"])
+        .filter("row > r1 and row <= r2 and col between c1 and c2")
+        .groupBy(key, "row", "c1").agg(F.map_from_entries(F.collect_list(F.struct("col", "v"))).alias("cells"))
+    )
+    specs = rows.join(area.select(key, "columns"), key).select(key, "row", "c1", "cells", F.posexplode_outer("columns").alias("k", "spec"))
+    cell = F.try_element_at("cells", F.col("c1") + F.col("spec.col_id"))
+    found = specs.select(key, "row", "k", "spec", cell.alias("v"))
+    empty = F.col("v").isNull() | (
+        F.col("v.v_num").isNull() & F.col("v.v_bool").isNull() & F.col("v.v_err").isNull() & (F.coalesce("v.v_str", F.lit("")) == "")
+    )
+    attr = lambda name, default: F.coalesce(F.try_element_at("spec.attrs", F.lit(name)), F.lit(default))
+    # only filters that compare with the whole column form groups; other rows stand alone
+    among = F.coalesce(F.col("spec.type").isin("top10", "dynamic"), F.lit(False))
+    group = Window.partitionBy(key, "k", F.when(among, F.lit(-1)).otherwise(F.col("row")))
+    number, n = F.col("v.v_num"), attr("val", "10").try_cast("double")
+    order = group.orderBy(F.when(attr("top", "1").isin("0", "false"), number).otherwise(-number).asc_nulls_last())
+    seen = found.withColumns({"mean": F.avg(number).over(group), "numbers": F.count(number).over(group), "rank": F.rank().over(order)})
+    most = F.when(attr("percent", "0").isin("1", "true"), F.greatest(F.lit(1.0), F.floor(F.col("numbers") * n / 100).cast("double"))).otherwise(n)
+    dynamic = F.when(attr("type", "") == "aboveAverage", number > F.col("mean")).when(attr("type", "") == "belowAverage", number < F.col("mean")).otherwise(True)
+    passes = (
+        F.when(F.col("spec.type") == "top10", number.isNotNull() & (F.col("rank") <= most)).when(F.col("spec.type") == "dynamic", F.coalesce(dynamic, F.lit(False)))
+        .otherwise(F.coalesce(_test(F.col("spec"), F.col("v"), empty), F.lit(True)))
+    )
+    return seen.groupBy(key, "row").agg(F.bool_and(passes).alias("visible")).filter("visible").select(key, "row")
+
+
 # Subtotal names of data fields.
 SUBTOTALS = {
     "sum": F.sum, "count": F.count, "countNums": F.count, "average": F.avg, "max": F.max, "min": F.min, "product": F.product,

@@ -312,8 +312,51 @@ def link_traversal(spark, root):
 # ---- filters and pivots, evaluated ----
 
 
+_LIKE = "replace(replace(replace(replace(replace(lower({p}), '\\', '\\\\'), '%', '\\%'), '_', '\\_'), '*', '%'), '?', '_')"
+_VISIBLE_SQL = rf"""
+WITH v AS (
+  SELECT path, sheet_idx, row_idx AS r, col_idx AS c, v_num, v_str, v_bool, coalesce(v_str, v_err, CAST(v_int AS VARCHAR), upper(CAST(v_bool AS VARCHAR))) AS shown,
+    (v_num IS NULL AND v_bool IS NULL AND v_err IS NULL AND coalesce(v_str, '') = '') AS empty
+  FROM cells QUALIFY row_number() OVER (PARTITION BY path, sheet_idx, row_idx, col_idx ORDER BY seq DESC) = 1),
+a AS (
+  SELECT filter_id, path, sheet_idx, columns, CAST(regexp_extract(top_left, '[0-9]+') AS INT) - 1 AS r1, CAST(regexp_extract(bottom_right, '[0-9]+') AS INT) - 1 AS r2,
+    list_reduce(list_transform(string_split(regexp_extract(top_left, '[A-Z]+'), ''), lambda x: ascii(x) - 64), lambda x, y: x * 26 + y) - 1 AS c1,
+    list_reduce(list_transform(string_split(regexp_extract(bottom_right, '[A-Z]+'), ''), lambda x: ascii(x) - 64), lambda x, y: x * 26 + y) - 1 AS c2
+  FROM (SELECT DISTINCT ON (filter_id) * FROM auto_filters)),
+w AS (SELECT DISTINCT filter_id, a.path, a.sheet_idx, c1, r FROM a JOIN v ON v.path = a.path AND v.sheet_idx = a.sheet_idx AND r BETWEEN r1 + 1 AND r2 AND c BETWEEN c1 AND c2),
+s AS (SELECT filter_id, k, columns[k] AS f FROM (SELECT filter_id, columns, unnest(range(1, len(columns) + 1)) AS k FROM a)),
+x AS (
+  SELECT w.filter_id, w.r, k, f, v_num, v_str, v_bool, shown, coalesce(empty, true) AS empty, f.attrs['val'] AS n, coalesce(f.attrs['percent'], '0') IN ('1', 'true') AS share,
+    coalesce(f.attrs['top'], '1') NOT IN ('0', 'false') AS top
+  FROM w JOIN s USING (filter_id) LEFT JOIN v ON v.path = w.path AND v.sheet_idx = w.sheet_idx AND v.r = w.r AND v.c = c1 + f.col_id),
+y AS (
+  SELECT *, avg(v_num) OVER g AS mean, count(v_num) OVER g AS numbers, rank() OVER (PARTITION BY filter_id, k ORDER BY CASE WHEN top THEN -v_num ELSE v_num END NULLS LAST) AS rk
+  FROM x WINDOW g AS (PARTITION BY filter_id, k)),
+t AS (
+  SELECT filter_id, r, CASE f.type
+    WHEN 'custom' THEN (SELECT CASE WHEN count(*) = 0 THEN true WHEN coalesce(f.logic, 'or') = 'and' THEN bool_and(ok) ELSE bool_or(ok) END FROM (
+      SELECT CASE q.kind WHEN 'blank' THEN empty WHEN 'nonblank' THEN NOT empty
+        WHEN 'number' THEN coalesce(CASE o WHEN '=' THEN v_num = q.v_num WHEN '<>' THEN v_num <> q.v_num WHEN '<' THEN v_num < q.v_num WHEN '<=' THEN v_num <= q.v_num WHEN '>' THEN v_num > q.v_num ELSE v_num >= q.v_num END, o = '<>')
+        WHEN 'bool' THEN coalesce(CASE o WHEN '=' THEN v_bool = q.v_bool WHEN '<>' THEN v_bool <> q.v_bool WHEN '<' THEN v_bool < q.v_bool WHEN '<=' THEN v_bool <= q.v_bool WHEN '>' THEN v_bool > q.v_bool ELSE v_bool >= q.v_bool END, o = '<>')
+        ELSE coalesce(CASE o WHEN '=' THEN lower(v_str) LIKE {_LIKE.format(p="q.v_str")} ESCAPE '' WHEN '<>' THEN NOT lower(v_str) LIKE {_LIKE.format(p="q.v_str")} ESCAPE ''
+          WHEN '<' THEN lower(v_str) < lower(q.v_str) WHEN '<=' THEN lower(v_str) <= lower(q.v_str) WHEN '>' THEN lower(v_str) > lower(q.v_str) ELSE lower(v_str) >= lower(q.v_str) END, o = '<>') END AS ok
+      FROM (SELECT q, coalesce(q.operator, '=') AS o FROM (SELECT unnest(f.conditions) AS q) WHERE q.kind IS NOT NULL)))
+    WHEN 'discrete' THEN coalesce(list_contains(list_transform(f.values, lambda z: lower(z)), lower(shown)), false) OR empty AND coalesce(list_contains(f.values, ''), false)
+    WHEN 'top10' THEN v_num IS NOT NULL AND rk <= CASE WHEN share THEN greatest(1, floor(numbers * CAST(coalesce(n, '10') AS DOUBLE) / 100)) ELSE CAST(coalesce(n, '10') AS DOUBLE) END
+    WHEN 'dynamic' THEN CASE f.attrs['type'] WHEN 'aboveAverage' THEN coalesce(v_num > mean, false) WHEN 'belowAverage' THEN coalesce(v_num < mean, false) ELSE true END
+    ELSE true END AS pass FROM y)
+SELECT filter_id, r AS row_idx FROM w EXCEPT SELECT filter_id, r FROM t WHERE NOT pass"""
+
+
+@query("visible_rows", _VISIBLE_SQL)
+def visible_rows(spark, root):
+    key = ["path", "sheet_idx", "row_idx", "col_idx"]
+    own = relations.last_write_wins(table(spark, root, "cells").select(*key, "v_int", "v_num", "v_str", "v_bool", "v_err", "seq"), key, "seq")
+    return evaluate.visible_rows(own.withColumnsRenamed({"row_idx": "row", "col_idx": "col"}), table(spark, root, "auto_filters"), "filter_id").withColumnRenamed("row", "row_idx")
+
+
 def _custom(logic, *conditions):
-    kinds = {str: ("string", "v_str"), float: ("number", "v_num"), bool: ("bool", "v_bool")}
+    kinds = {str: ("text", "v_str"), float: ("number", "v_num"), bool: ("bool", "v_bool")}
     return {"type": "custom", "logic": logic, "conditions": [{"operator": o, "kind": kinds[type(v)][0], "v_num": None, "v_str": None, "v_bool": None, kinds[type(v)][1]: v} for o, v in conditions]}
 
 

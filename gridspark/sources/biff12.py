@@ -153,7 +153,7 @@ def criterion(p: bytes) -> dict | None:
     if p[0] == 0x08:
         return out | {"kind": "bool", "v_bool": bool(p[2])}
     if p[0] == 0x06:
-        return out | {"kind": "string", "v_str": wide(p, 10)[0]}
+        return out | {"kind": "text", "v_str": wide(p, 10)[0]}
     return out | {"kind": {0x0C: "blank", 0x0E: "nonblank"}[p[0]]} if p[0] in (0x0C, 0x0E) else None
 
 

@@ -124,9 +124,9 @@ def _criterion(operator: Column, val: Column) -> Column:
     sign = F.coalesce(F.try_element_at(table, F.coalesce(operator, F.lit("equal"))), operator)
     number = val.try_cast("double")
     blank = F.trim(F.coalesce(val, F.lit(""))) == ""
-    kind = F.when(blank & (sign == "<>"), "nonblank").when(blank, "blank").when(number.isNotNull(), "number").otherwise("string")
+    kind = F.when(blank & (sign == "<>"), "nonblank").when(blank, "blank").when(number.isNotNull(), "number").otherwise("text")
     return F.struct(
-        sign.alias("operator"), kind.alias("kind"), F.when(kind == "number", number).alias("v_num"), F.when(kind == "string", val).alias("v_str"),
+        sign.alias("operator"), kind.alias("kind"), F.when(kind == "number", number).alias("v_num"), F.when(kind == "text", val).alias("v_str"),
         F.lit(None).cast("boolean").alias("v_bool"),
     )
 

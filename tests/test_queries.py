@@ -37,7 +37,7 @@ def test_entry(spark):
 def test_filter_edges(spark):
     df = spark.createDataFrame([(1, "Apple", 5.0), (2, "apricot", 7.0), (3, None, None), (4, "", 7.0), (5, "b*d", 1.0)], "id int, s string, x double")
     ids = lambda spec, name: sorted(r.id for r in evaluate.apply_filter_column(df, name, spec).collect())
-    text = lambda op, v, kind="string": {"type": "custom", "logic": "or", "conditions": [{"operator": op, "kind": kind, "v_str": v, "v_num": None, "v_bool": None}, None]}
+    text = lambda op, v, kind="text": {"type": "custom", "logic": "or", "conditions": [{"operator": op, "kind": kind, "v_str": v, "v_num": None, "v_bool": None}, None]}
     assert ids(text("=", "ap*"), "s") == [1, 2] and ids(text("<>", "ap*"), "s") == [3, 4, 5] and ids(text("=", "b~*d"), "s") == [5]
     assert ids(text("=", None, "blank"), "s") == [3, 4] and ids(text("<>", None, "nonblank"), "s") == [1, 2, 5]
     assert ids({"type": "discrete", "values": ["APPLE", ""]}, "s") == [1, 3, 4] and ids({"type": "discrete", "values": []}, "s") == []

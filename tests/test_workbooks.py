@@ -175,7 +175,7 @@ def test_filters(spark):
     inner = w.record(biff12.SX_FILTER, b"\0" * 12) + w.filter_records((0, 1, 0, 1), []) + w.record(biff12.SX_FILTER_END)
     tail = inner + w.filter_records((0, 9, 0, 2), [{"col_id": 0, "criteria": [(2, None), (4, True), (3, "a")]}]) + inner
     (row,) = relations.auto_filters(books(spark, a_xlsb=w.xlsb({"S": []}, {"S": tail}))).collect()
-    assert row.ref == "A1:C10" and [(x.operator, x.kind) for x in row["columns"][0].conditions] == [("=", "blank"), (">", "bool"), ("<=", "string")]
+    assert row.ref == "A1:C10" and [(x.operator, x.kind) for x in row["columns"][0].conditions] == [("=", "blank"), (">", "bool"), ("<=", "text")]
 
 
 @settings(max_examples=100, deadline=None)
