@@ -390,11 +390,14 @@ def garbled_units(modules: DataFrame) -> DataFrame:
         return judged
 
     shape = "module_id bigint, field string, unit string, restored string, transformation string, evidence string"
+    # one pass over everything with all margins low leaves the few units that any judge could take
+    easy = context.broadcast(first.with_votes(f"{a}>{b}" for a, b in PAIRS))
+    suspects = cut(own.mapInArrow(run(easy), shape).select("module_id", "field", "unit"))
     # scripts that leave no skeleton have no twins: what wins by the wide margin there votes for the rest
-    sure = own.mapInArrow(run(context.broadcast(first)), shape).filter("evidence = 'learned'").select("unit", "transformation").distinct()
+    sure = suspects.mapInArrow(run(context.broadcast(first)), shape).filter("evidence = 'learned'").select("unit", "transformation").distinct()
     seconds = sure.groupBy("transformation").agg(F.count("*").alias("n")).filter(F.col("n") >= first.least_votes).collect()
     judge = context.broadcast(first.with_votes(r.transformation for r in seconds))
-    learned = own.mapInArrow(run(judge), shape)
+    learned = suspects.mapInArrow(run(judge), shape)
     by_twin = words.join(twins, "word").select(
         "module_id", "field", F.col("word").alias("unit"), F.col("clean").alias("restored"), "transformation", F.lit("twin").alias("evidence")
     )
