@@ -11,7 +11,7 @@ from .functions import cells
 from .operators import evaluate, relations, shred
 from .plans import generated, render, scrub
 from .session import cut, table
-from .sources import biff12, ooxml, package, vba
+from .sources import biff12, formula_tokens, ooxml, package, vba
 from .testing import writers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,10 +76,10 @@ found AS (
   UNION SELECT src, rec_id, 'data_field', -1, k FROM df UNION SELECT src, rec_id, 'report_filter', -1, k FROM rf UNION SELECT src, rec_id, 'sx_filter', -1, k FROM sf
   UNION SELECT src, rec_id, 'criterion', parent, k FROM sc
   UNION SELECT src, rec_id, 'location', -1, 0 FROM lo WHERE json_type(l) = 'OBJECT' UNION SELECT src, rec_id, 'rfx_geom', 0, 0 FROM ge WHERE json_type(l) = 'OBJECT' AND json_type(g) = 'OBJECT')
-SELECT src, rec_id, child, CAST(parent_pos AS INT) AS parent_pos, CAST(pos AS INT) AS pos FROM found"""
+"""
 
 
-@query("p2_found", _CHILD_SQL)
+@query("p2_found", _CHILD_SQL + "SELECT src, rec_id, child, CAST(parent_pos AS INT) AS parent_pos, CAST(pos AS INT) AS pos FROM found")
 def p2_found(spark, root):
     return shred.children(_tree(spark, root)).select("src", "rec_id", "child", "parent_pos", "pos").distinct()
 
@@ -110,8 +110,24 @@ def _entity(child: str) -> Query:
     return run
 
 
+#: SQL of the elements of an entity: parent's position, own position, object.
+_ELEMENTS = {
+    "column": "SELECT src, rec_id, -1 AS a, k AS b, e FROM c",
+    "condition": "SELECT src, rec_id, parent AS a, k AS b, e FROM d UNION ALL SELECT src, rec_id, parent, k, e FROM u",
+    "location": "SELECT src, rec_id, -1 AS a, 0 AS b, l AS e FROM lo WHERE json_type(l) = 'OBJECT'",
+    "rfx_geom": "SELECT src, rec_id, 0 AS a, 0 AS b, g AS e FROM ge WHERE json_type(l) = 'OBJECT' AND json_type(g) = 'OBJECT'",
+    "data_field": "SELECT src, rec_id, -1 AS a, k AS b, e FROM df", "report_filter": "SELECT src, rec_id, -1 AS a, k AS b, e FROM rf",
+    "sx_filter": "SELECT src, rec_id, -1 AS a, k AS b, e FROM sf", "criterion": "SELECT src, rec_id, parent AS a, k AS b, e FROM sc",
+}
+
+
+def _entity_sql(child: str) -> str:
+    fields = ", ".join(f"TRY_CAST(e->>'{n}' AS {'VARCHAR' if t == 'string' else t}) AS {n}" for n, t in ENTITIES[child].items())
+    return _CHILD_SQL + f"SELECT DISTINCT src, rec_id, CAST(a AS INT) AS parent_pos, CAST(b AS INT) AS pos, {fields} FROM ({_ELEMENTS[child]})"
+
+
 for _child in ENTITIES:
-    QUERIES[f"p2_{_child}s"] = _entity(_child)
+    query(f"p2_{_child}s", _entity_sql(_child))(_entity(_child))
 
 
 # ---- addresses, numbers, paths: expressions ----
@@ -582,6 +598,64 @@ query("pivot_meta_roundtrip", _PIVOT_SQL.format(n=1))(_pivot_roundtrip("xlsx"))
 query("pivot_meta_roundtrip_xlsb", _PIVOT_SQL.format(n=0))(_pivot_roundtrip("xlsb"))
 
 
+@query("defined_names_roundtrip", "SELECT n_nationkey, f AS format, CAST(1 AS INT) AS idx, 'name_' || n_name AS name FROM nation, (SELECT unnest(['xlsx', 'xlsb']) AS f)")
+def defined_names_roundtrip(spark, root):
+    def book(form):
+        def write(rows):
+            name = f"name_{rows['n_name'].iloc[0]}"
+            return getattr(writers, form)({"S": []}, names={name: "S!$A$1"} if form == "xlsx" else [name])
+
+        return generated.books(table(spark, root, "nation"), F.col("n_nationkey"), "/made/{0}." + form, write)
+
+    return relations.defined_names(book("xlsx").unionByName(book("xlsb"))).select(
+        F.regexp_extract("path", r"/(\d+)\.", 1).cast("int").alias("n_nationkey"), F.element_at(F.split("path", r"\."), -1).alias("format"), "idx", "name"
+    )
+
+
+@query("shared_strings_roundtrip", "SELECT DISTINCT c_nationkey, f AS format, c_name AS text FROM customer, (SELECT unnest(['xlsx', 'xlsb']) AS f)")
+def shared_strings_roundtrip(spark, root):
+    rows = table(spark, root, "customer").select("c_nationkey", "c_name", F.pmod("c_custkey", F.lit(100000)).cast("int").alias("row_"))
+
+    def book(form):
+        return generated.books(rows, F.col("c_nationkey"), "/made/{0}." + form, lambda own: getattr(writers, form)({"S": generated.grid_of(own, "row_", ["c_name"])}))
+
+    return relations.shared_strings(book("xlsx").unionByName(book("xlsb"))).select(
+        F.regexp_extract("path", r"/(\d+)\.", 1).cast("int").alias("c_nationkey"), F.element_at(F.split("path", r"\."), -1).alias("format"), "text"
+    )
+
+
+@query("relationships", "SELECT n_nationkey, 'rId1' AS rel_id, 'worksheets/sheet1.xml' AS target, 'xl/worksheets/sheet1.xml' AS resolved FROM nation UNION ALL SELECT n_nationkey, 'p', '../pivotTables/p' || CAST(n_nationkey AS VARCHAR) || '.xml', 'xl/pivotTables/p' || CAST(n_nationkey AS VARCHAR) || '.xml' FROM nation")
+def relationships(spark, root):
+    def write(rows):
+        return writers.xlsx({"S": []}, extra={"xl/worksheets/_rels/sheet1.xml.rels": writers.rels_xml({"p": f"../pivotTables/p{rows['n_nationkey'].iloc[0]}.xml"})})
+
+    made = generated.books(table(spark, root, "nation"), F.col("n_nationkey"), "/made/{0}.xlsx", write)
+    return package.rels(package.parts(made, r"\.rels$")).select(F.regexp_extract("path", r"/(\d+)\.", 1).cast("int").alias("n_nationkey"), "rel_id", "target", "resolved")
+
+
+@query("decompile", """
+SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN '=ROUND(A' || CAST(p_size AS VARCHAR) || ',' || CAST(p_size AS VARCHAR) || ')' WHEN 1 THEN '=IF($B$' || CAST(p_size AS VARCHAR) || '>1,"' || p_brand || '",)'
+  WHEN 2 THEN '=-(' || CAST(p_size AS VARCHAR) || '+0.5)%' WHEN 3 THEN '=SUM(C1:D' || CAST(p_size AS VARCHAR) || ')&TRUE' ELSE '=#N/A' END AS formula FROM part""")
+def decompile(spark, root):
+    @F.udf("string", useArrow=True)
+    def text(key, size, brand):
+        w = writers
+        code = {
+            0: lambda: w.token_ref(size - 1, 0) + w.token_int(size) + w.token_func(0x1B),
+            1: lambda: w.token_ref(size - 1, 1, relative=False) + w.token_int(1) + b"\x0d" + w.token_text(brand) + b"\x16" + w.token_func(1, 3),
+            2: lambda: w.token_int(size) + w.token_number(0.5) + b"\x03\x15\x13\x14", 3: lambda: w.token_area(0, size - 1, 2, 3) + b"\x19\x10\0\0" + b"\x1d\x01\x08", 4: lambda: b"\x1c\x2a",
+        }[key % 5]()
+        return formula_tokens.decompile(code, b"", 0, 0, formula_tokens.Names())[0]
+
+    return table(spark, root, "part").select("p_partkey", text("p_partkey", "p_size", "p_brand").alias("formula"))
+
+
+@query("references_unmoved", "SELECT DISTINCT formula, formula AS again FROM formulas WHERE formula IS NOT NULL")
+def references_unmoved(spark, root):
+    texts = table(spark, root, "formulas").select("formula").filter("formula is not null").distinct()
+    return texts.select("formula", cells.shift_references("formula", F.lit(0), F.lit(0)).alias("again"))
+
+
 @query("sheet_filter", "SELECT 'region' AS sheet, CAST(r_regionkey AS INT) AS row, r_name AS v_str FROM region")
 def sheet_filter(spark, root):
     both = table(spark, root, "nation").select(F.lit("nation").alias("t"), F.col("n_nationkey").alias("k"), F.col("n_name").alias("n")).unionByName(
