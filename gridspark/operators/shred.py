@@ -177,9 +177,17 @@ def nodes(records: DataFrame) -> DataFrame:
     return once.select("src", "rec_id", F.xxhash64("payload").alias("variant"), "payload").mapInArrow(run, NODES)
 
 
-def as_records(table: DataFrame, src: str, key: str) -> DataFrame:
-    """A typed nested table as records: everything but the key becomes the payload."""
-    nested = [f for f in table.columns if f not in (key, "path", "ingest_ts")]
+#: Columns of the typed tables that make up a record.
+FILTER_FIELDS = ("sheet", "sheet_idx", "ref", "top_left", "bottom_right", "columns")
+PIVOT_FIELDS = (
+    "sheet", "part", "name", "cache_id", "data_caption", "pivot_cache_definition", "pivot_fields", "pivot_items", "location", "row_fields", "col_fields",
+    "data_fields", "report_filters", "sx_filters",
+)
+
+
+def as_records(table: DataFrame, src: str, key: str, fields: tuple[str, ...]) -> DataFrame:
+    """A typed nested table as records: the fields it has become the payload."""
+    nested = [f for f in fields if f in table.columns]
     return table.select(
         F.lit(src).alias("src"), F.col(key).cast("bigint").alias("rec_id"),
         F.to_json(F.struct(*nested), {"ignoreNullFields": "false"}).alias("payload"),
@@ -190,8 +198,8 @@ def workbook_records(auto_filters: DataFrame, pivot_tables: DataFrame, raw_recor
     """The three deliveries of filter and pivot records in one shape."""
     raw = raw_records.select(F.lit("raw_records").alias("src"), F.col("rec_id").cast("bigint").alias("rec_id"), "payload")
     return (
-        as_records(auto_filters, "auto_filters", "filter_id")
-        .unionByName(as_records(pivot_tables, "pivot_tables", "pivot_id"))
+        as_records(auto_filters, "auto_filters", "filter_id", FILTER_FIELDS)
+        .unionByName(as_records(pivot_tables, "pivot_tables", "pivot_id", PIVOT_FIELDS))
         .unionByName(raw)
     )
 

@@ -6,7 +6,6 @@ import struct
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 MAGIC = bytes.fromhex("d0cf11e0a1b11ae1")
 END, FREE = 0xFFFFFFFE, 0xFFFFFFFF

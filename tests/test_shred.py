@@ -110,3 +110,13 @@ def test_both_readers_agree(value, cut):
                 shred._loads_deep(part)
         else:
             assert shred._loads_deep(part) == want
+
+
+def test_clashing_columns_of_typed_tables(spark):
+    from pyspark.sql import functions as F
+
+    filters, pivots, raw = (spark.read.parquet(f"{DATA}/sf0.001/{t}.parquet") for t in ("auto_filters", "pivot_tables", "raw_records"))
+    found = lambda *ts: {tuple(r) for r in shred.children(shred.nodes(shred.workbook_records(*ts))).select("src", "rec_id", "child", "parent_pos", "pos").collect()}
+    more = lambda t: t.withColumns({c: F.lit('{"columns": [{}]}') for c in ("payload2", "src", "variant", "label", "sx_filters" if "columns" in t.columns else "conditions")})
+    assert found(more(filters), more(pivots), raw.withColumns({c: F.lit("x") for c in ("src", "columns", "node")})) == found(filters, pivots, raw)
+    assert found(filters.limit(0), pivots.limit(0), raw.limit(0)) == set()
