@@ -35,7 +35,25 @@ def test_near_duplicates_against_brute_force(spark):
     got = {tuple(r) for r in QUERIES["p6_found"](spark, f"{DATA}/sf0.01").collect()}
     assert got == want and want
     groups = {r.module_id: r.group_id for r in QUERIES["p6_groups"](spark, f"{DATA}/sf0.01").collect()}
-    assert set(groups) == set(ids) and all(groups[a] == groups[b] for a, b in want)
+    parent = {i: i for i in ids}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in want:
+        x, y = sorted((root(a), root(b)))
+        parent[y] = x
+    assert groups == {i: root(i) for i in ids}
+
+
+def test_long_chains_form_one_group(spark):
+    """Every text is like its two neighbours only."""
+    words = [f"w{k}" for k in range(3000)]
+    df = spark.createDataFrame([(i, " ".join(words[30 * i : 30 * i + 200])) for i in range(60)], "id bigint, text string")
+    groups = {r.id: (r.group_id, r.n_links) for r in near_dup.near_duplicate_groups(df, 0.6, 3, 40).collect()}
+    assert {g for g, _ in groups.values()} == {0} and groups[0][1] == 1 and groups[30][1] == 2
 
 
 def test_odd_sketch_estimates():
