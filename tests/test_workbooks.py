@@ -276,3 +276,11 @@ def test_facade(spark, tmp_path):
         grids = dict(book.iter_values())
         assert grids["B"] == {} and grids["A"] == {(r, c): v for r, c, v in CELLS}
         assert [f["ref"] for f in book.iter_filters()] == ["A1:B2"] and list(book.iter_pivot_tables()) == [] and dict(book.iter_formulas()) == {"A": {}, "B": {}}
+
+
+@pytest.mark.parametrize("relation", ["sheets", "cells", "formulas", "auto_filters", "pivot_tables", "vba_modules", "defined_names", "shared_strings", "pivot_links"])
+def test_schemas(spark, relation):
+    from gridspark import schemas
+
+    got = getattr(relations, relation)(books(spark, a_xlsx=w.xlsx({"S": CELLS})))
+    assert got.dtypes == [(f.name, f.dataType.simpleString()) for f in schemas.schema(relation).fields]
