@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,3 +46,24 @@ def spread(df: DataFrame) -> DataFrame:
     """
     slots = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(slots) if df._jdf.queryExecution().toRdd().getNumPartitions() < slots else df
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application.
+
+    Spark distributes the archive itself, so executors need neither an installation nor a path.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_gridspark_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="gridspark-code-")
+    archive = os.path.join(folder, "gridspark_code.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for at, _, files in os.walk(here):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(at, f)
+                    z.write(full, os.path.join("gridspark", os.path.relpath(full, here)))
+    context.addPyFile(archive)
+    context._gridspark_shipped = True
