@@ -20,5 +20,8 @@ def spark(tmp_path_factory):
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
+    from gridspark.session import ship
+
+    ship(session)
     yield session
     session.stop()
