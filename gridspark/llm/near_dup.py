@@ -90,7 +90,7 @@ def sign(texts: DataFrame, width: int, least_words: int) -> DataFrame:
                 shingles = shingle_hashes(h, width)
                 minima = samples(shingles)
                 digest = mix(np.cumsum(mix(h + np.arange(len(h), dtype=np.uint64)))[-1:] + np.uint64(len(h)))
-                band = np.zeros(BANDS, np.uint64)
+                band = np.arange(BANDS, dtype=np.uint64)  # keys of different bands never meet
                 for r in range(ROWS):
                     band = mix(band * np.uint64(31) + minima[r::ROWS] + np.uint64(r))
                 rows.append((i, int(digest.view(np.int64)[0]), shingles.tobytes(), band.view(np.int64).tolist(), odd_sketch(minima).tolist()))
@@ -100,18 +100,22 @@ def sign(texts: DataFrame, width: int, least_words: int) -> DataFrame:
     return spread(texts.filter("id is not null and text is not null")).mapInArrow(run, SIGNED)
 
 
-def similar_representatives(signed: DataFrame, threshold: float) -> DataFrame:
-    """Exact ``a < b, similarity`` of the distinct texts at or over the threshold."""
-    light = signed.select("id", "sketch", F.posexplode("bands").alias("band", "key"))
+def similar_representatives(light: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Exact ``a < b, similarity`` of the distinct texts at or over the threshold.
+
+    ``light`` has the band keys and sketches of one text of each kind, ``sets`` (id, shingles)
+    the shingles of all: these move only to meet the pairs that passed.
+    """
+    words = [f"s{k}" for k in range(SKETCH_LONGS)]
+    light = light.select("id", *(F.col("sketch")[k].alias(w) for k, w in enumerate(words)), F.explode("bands").alias("key"))
     a, b = light.alias("a"), light.alias("b")
-    differing = sum((F.bit_count(F.col("a.sketch")[k].bitwiseXOR(F.col("b.sketch")[k])) for k in range(SKETCH_LONGS)), F.lit(0))
+    differing = sum((F.bit_count(F.col(f"a.{w}").bitwiseXOR(F.col(f"b.{w}"))) for w in words), F.lit(0))
     pairs = (
-        a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")))
+        a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")))
         .filter(differing <= most_differing_bits(threshold))
         .select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
         .distinct()
     )
-    sets = signed.select("id", "shingles")
     both = (
         pairs.join(sets.withColumnsRenamed({"id": "b", "shingles": "set_b"}), "b")
         .join(sets.withColumnsRenamed({"id": "a", "shingles": "set_a"}), "a")
@@ -130,23 +134,23 @@ def similar_representatives(signed: DataFrame, threshold: float) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
-    return both.select("a", "b", "set_a", "set_b").mapInArrow(run, "a bigint, b bigint, similarity double")
+    return both.select("a", "b", "set_a", "set_b").mapInArrow(run, "a bigint, b bigint, similarity double").distinct()
 
 
-def _prepared(texts: DataFrame, width: int, least_words: int) -> tuple[DataFrame, DataFrame]:
-    """(id -> representative, signatures of the representatives), written once."""
+def _prepared(texts: DataFrame, width: int, least_words: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(id -> representative, bands and sketches of the representatives, shingles of all), written once."""
     signed = cut(sign(texts.select("id", "text"), width, least_words))
     members = signed.select("id", "digest").distinct()
     heads = members.groupBy("digest").agg(F.min("id").alias("rep"))
-    # by id, not by digest: however many copies a text has, its shingles move once
-    own = signed.join(heads.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id", "digest"])
-    return members.join(heads, "digest").select("id", "rep"), own
+    # by id, not by digest: a text with very many copies makes no hot key
+    own = signed.select("id", "digest", "bands", "sketch").join(heads.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id", "digest"])
+    return members.join(heads, "digest").select("id", "rep"), own, signed.select("id", "shingles")
 
 
 def near_duplicate_links(texts: DataFrame, threshold: float = 0.8, width: int = 5, least_words: int = 0) -> tuple[DataFrame, DataFrame]:
     """``members`` (id, rep) and ``links`` between representatives (a, b, similarity)."""
-    members, own = _prepared(texts, width, least_words)
-    return members, similar_representatives(own, threshold)
+    members, own, sets = _prepared(texts, width, least_words)
+    return members, similar_representatives(own, sets, threshold)
 
 
 def near_duplicate_pairs(texts: DataFrame, threshold: float = 0.8, width: int = 5, least_words: int = 0) -> DataFrame:
