@@ -1,10 +1,12 @@
 """Text that was decoded with a wrong character encoding: find it and restore it.
 
 (1) Words that hold non-ASCII characters (or a question mark between letters) are joined with
-their twins: words that are equal once everything outside ASCII is stripped. The twin most
-records hold is taken as clean. (2) Character alignment of a word with its clean twin infers
-the transformation: which encoding was read as which, or which characters were lost. Words
-that align under a transformation are garbled, and vote for it. (3) The transformations
+their twins: words that are equal once everything outside ASCII is stripped. Every twin without
+lost characters may be the clean one. (2) Character alignment of a word with each such twin infers
+the transformation: which encoding was read as which, or which characters were lost. Where one
+byte was read as another, both directions may align: signs of damage decide, then what the other
+pairs say of the transformation, and the number of module families (copies count once) only if
+both are silent. Garbled words vote for their transformation. (3) The transformations
 learned that way are applied to the remaining records, those without a twin (scripts that
 leave nothing when stripped, rare words): the inverse is accepted if the restored characters
 are much more usual between their neighbours, by counts over the whole corpus. A transformation
@@ -15,11 +17,13 @@ non-ASCII characters only that stand alone in a search or beside another such li
 
 Sizes: votes are bounded by the pairs of encodings, character counts by the characters of
 Unicode times a dozen classes of neighbours; both come to the driver and are broadcast. Words,
-twins and records stay distributed; a word's variants are aggregated, never gathered.
+twins and records stay distributed; what is held at once are the distinct words of one skeleton,
+each looked up in the others' misreadings, so time is linear in them.
 
 Defined results: null and empty fields give no rows; repeated rows count once; a field with a
 replacement character (U+FFFD) outside repair code is a case even if nothing can be restored;
-a tie between twins goes to the one without signs of damage, then to the smaller word;
+a word that aligns with several twins is restored to one that is not garbled itself, then to that
+with fewest signs of damage, then to that of more families, then to the smaller word;
 other columns are ignored.
 """
 
@@ -43,11 +47,16 @@ READ = ("cp1252", "cp437", "cp850", "mac_roman", "cp1250", "cp1251", "koi8-r", "
 MULTIBYTE = frozenset(("utf-8", "cp932", "gbk", "euc_jp", "big5", "euc_kr"))
 PAIRS = tuple((w, r) for w in WRITTEN for r in READ if w != r and not (r in ("gbk", "cp932") and w != "utf-8"))
 LOST = "lost"
-UNITS = "module_id bigint, field string, unit string"
+#: Of two opposite transformations one is believed if its pairs, less one, outnumber those of the other so many times.
+SURELY = 4
+UNITS = "module_id bigint, field string, unit string, family string"
 _NON_ASCII = re.compile(r"[^\x00-\x7f]")
 _WORD = re.compile(r"[A-Za-z?\u0080-\U0010ffff]*[^\x00-\x7f][A-Za-z?\u0080-\U0010ffff]*|[A-Za-z]*(?:(?<=[A-Za-z])\?+(?=[A-Za-z])|(?<![^\s\"'(])\?+(?=[a-z]{2}))[A-Za-z?]+")
 _CYRILLIC = re.compile(r"[\u0400-\u052f]")
 _LETTERS = re.compile(r"[A-Za-z]+")
+_GAP = re.compile(r"[^A-Za-z]+")
+_LOST_SIGN = re.compile("[?\ufffd]")
+_HURT = re.compile("[?\ufffd\x80-\x9f\u2500-\u259f]")
 _REPAIR = re.compile(r"(?i)\b(?:replace|instr(?:rev)?|split|strcomp|substitute|\w*(?:fix|repair|clean|decode|mojibake|unmangle|correct)\w*)\s*\(")
 
 
@@ -106,6 +115,11 @@ def _decoded(raw: bytes, writing: str, errors: str = "strict") -> str | None:
         return None
 
 
+def family_of(name: str | None) -> str:
+    """The name without what tells copies of a module apart."""
+    return re.sub(r"(?:_old|_new|Copy|_?\d+)+$", "", name or "")
+
+
 def skeleton(word: str) -> str:
     return "".join(_LETTERS.findall(word))
 
@@ -138,6 +152,41 @@ def align(word: str, clean: str) -> str | None:
     return None
 
 
+def misreadings(clean: str) -> dict[str, str]:
+    """Every form that ``align`` takes for the clean word misread whole, with the transformation."""
+    out: dict[str, str] = {}
+    for pair in PAIRS:
+        once = misread(clean, pair)
+        if once is None or once == clean:
+            continue
+        forms = [once, misread(once, pair)]
+        if pair[1] == "cp1252":
+            forms.append(misread(clean, (pair[0], "latin-1")))
+        for form in forms:
+            if form is not None and form != clean:
+                out.setdefault(form, f"{pair[0]}>{pair[1]}")
+    return out
+
+
+def oddness(word: str) -> tuple[int, int, int]:
+    """Signs that stand in no written word (characters lost, drawing signs, signs within letters), those that stand
+    in few, and capitals inside a small word: one of these may begin a part of a name, ``modÜbersicht``."""
+    hard = weak = capitals = 0
+    for k, c in enumerate(word):
+        if c < "\x80" and c != "?":
+            continue
+        left, right = word[k - 1 : k] if k else "", word[k + 1 : k + 2]
+        if _HURT.match(c) or not c.isalpha() and (
+            left.isalpha() and right.isalpha() and c not in "‘’–—·\xad…\xa0" or not k and c not in "«‹„‚“‘’¿¡§…–—" and re.match("[a-z]{3}", word[1:])
+        ):
+            hard += 1
+        elif c not in "Œœ" and damage(c):
+            weak += 1
+        elif left.islower() and c.isupper():
+            capitals += 1
+    return hard, weak + (capitals if capitals > 1 else 0), capitals
+
+
 def _class(c: str) -> str:
     if c < "\x80":
         return "a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else " " if c.isspace() else "."
@@ -272,83 +321,128 @@ def _exempt(text: str, segs: list, k: int) -> bool:
 def _fields(modules: DataFrame) -> DataFrame:
     fields = [F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in ("name", "vba_source_text")]
     return (
-        modules.select(F.col("module_id").cast("bigint").alias("module_id"), F.explode(F.array(*fields)).alias("x"))
-        .select("module_id", "x.field", "x.text")
+        modules.select(F.col("module_id").cast("bigint").alias("module_id"), F.col("name").alias("module"), F.explode(F.array(*fields)).alias("x"))
+        .select("module_id", "x.field", "x.text", "module")
         .filter(F.col("text").rlike(r"[^\x00-\x7f]|\?"))
     )
 
 
 def field_units(modules: DataFrame) -> DataFrame:
-    """``module_id, field, unit`` of every place that may hold garbled text."""
-    schema = pa.schema([("module_id", pa.int64()), ("field", pa.string()), ("unit", pa.string())])
+    """``module_id, field, unit, family`` of every place that may hold garbled text; copies of one module are a family."""
+    schema = pa.schema([("module_id", pa.int64()), ("field", pa.string()), ("unit", pa.string()), ("family", pa.string())])
 
     def run(batches):
         for batch in batches:
             rows = []
-            for i, field, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            for i, field, text, name in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                family = family_of(name)
                 own = {text} if field == "name" else {text[a:b].strip() for a, b in units(text)}
-                rows += [(i, field, u) for u in own if u and (not u.isascii() or _WORD.search(u))]
+                rows += [(i, field, u, family) for u in own if u and (not u.isascii() or _WORD.search(u))]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
     return spread(_fields(modules)).mapInArrow(run, UNITS)
 
 
-def _exploded(own: DataFrame, column: str, of) -> DataFrame:
-    """``module_id, field, <column>``: the distinct strings that ``of`` finds in a unit."""
-    schema = pa.schema([("module_id", pa.int64()), ("field", pa.string()), (column, pa.string())])
+def _exploded(own: DataFrame, column: str, of, *keys: str) -> DataFrame:
+    """The keys and ``<column>``: the distinct strings that ``of`` finds in a unit."""
+    schema = pa.schema([(c, pa.int64() if c == "module_id" else pa.string()) for c in (*keys, column)])
 
     def run(batches):
         for batch in batches:
-            rows = {(i, f, x) for i, f, u in zip(*(batch.column(k).to_pylist() for k in range(3))) for x in of(u)}
+            rows = {(*r[:-1], x) for r in zip(*(c.to_pylist() for c in batch.columns)) for x in of(r[-1])}
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-    return own.select("module_id", "field", "unit").mapInArrow(run, f"module_id bigint, field string, {column} string")
+    return own.select(*keys, "unit").mapInArrow(run, ", ".join(f"{f.name} {'bigint' if f.name == 'module_id' else 'string'}" for f in schema))
 
 
 def words_of(unit: str) -> list[str]:
     return [w for w in _WORD.findall(unit) if len(skeleton(w)) >= 2]
 
 
-def twin_words(words: DataFrame) -> DataFrame:
-    """``word, clean, transformation``: the words that align with the clean twin of their skeleton."""
-    counted = words.groupBy("word").agg(F.count("*").alias("n"))
-    keyed = counted.select(
-        "word", "n", F.regexp_replace("word", "[^A-Za-z]", "").alias("skeleton"),
-        F.regexp_replace("word", r"[^?\x{fffd}\x{80}-\x{9f}\x{2500}-\x{259f}]", "").alias("hurt"),
-    )
-    # a name may hold the capital of a letter that texts hold small: one twin of either kind
-    clean = keyed.filter("hurt = ''").groupBy("skeleton", F.col("word").rlike(r"^[\P{ASCII}&&\p{Lu}][a-z]").alias("capital")).agg(
-        F.max_by("word", F.struct("n", "word")).alias("clean"), F.max("n").alias("clean_n")
-    )
-    schema = pa.schema([("word", pa.string()), ("clean", pa.string()), ("transformation", pa.string())])
+def _one_byte(transformation: str) -> bool:
+    return transformation != LOST and not MULTIBYTE & set(transformation.split(">"))
+
+
+def aligned(variants: list[tuple[str, int]]) -> list[tuple]:
+    """``word, clean, transformation, back, one_byte, hard, weak, capitals, n, clean_n, odd`` of the pairs of one skeleton that align.
+
+    ``back`` is the transformation of the opposite direction, if that aligns too; ``hard``, ``weak`` and ``capitals``
+    are 1 if the word is the one with more signs of damage, -1 if the clean one is.
+    """
+    counts = dict(variants)
+    cleans = [w for w in counts if not _HURT.search(w)]
+    odd = {w: oddness(w) for w in counts}
+    pairs: dict[tuple[str, str], str] = {}
+    by_pattern: dict[str, list[str]] = {}
+    for clean in cleans:
+        by_pattern.setdefault(_GAP.sub("*", clean), []).append(clean)
+        forms = misreadings(clean)
+        pairs.update(((w, clean), forms[w]) for w in (forms.keys() & counts.keys()))
+    for w in counts:
+        if _LOST_SIGN.search(w):
+            gone = all(c in "?\ufffd" for c in w if c == "?" or c > "\x7f")
+            for clean in by_pattern.get(_GAP.sub("*", w), ()) if gone else cleans:
+                if (w, clean) not in pairs and (t := align(w, clean)):
+                    pairs[w, clean] = t
+    return [
+        (w, c, t, pairs.get((c, w)), _one_byte(t), *((x > y) - (x < y) for x, y in zip(odd[w], odd[c])), counts[w], counts[c], sum(odd[c][:2]))
+        for (w, c), t in pairs.items()
+    ]
+
+
+def _aligned_pairs(counted: DataFrame) -> DataFrame:
+    """``aligned`` over all skeletons."""
+    schema = pa.schema([
+        ("word", pa.string()), ("clean", pa.string()), ("transformation", pa.string()), ("back", pa.string()), ("one_byte", pa.bool_()),
+        ("hard", pa.int32()), ("weak", pa.int32()), ("capitals", pa.int32()), ("n", pa.int64()), ("clean_n", pa.int64()), ("odd", pa.int32()),
+    ])
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for w, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if t := align(w, c):
-                    rows.append((w, c, t))
+            rows = [r for own in batch.column(0).to_pylist() for r in aligned([(x["word"], x["n"]) for x in own])]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), schema)], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+    return (
+        counted.groupBy(F.regexp_replace("word", "[^A-Za-z]", "").alias("skeleton")).agg(F.collect_list(F.struct("word", "n")).alias("own"))
+        .filter("size(own) > 1").select("own")
+        .mapInArrow(run, "word string, clean string, transformation string, back string, one_byte boolean, hard int, weak int, capitals int, n bigint, clean_n bigint, odd int")
+    )
+
 
+def twin_words(own: DataFrame) -> DataFrame:
+    """``word, clean, transformation``: the garbled words of the units, each with the best of the clean twins it aligns with."""
+    words = _exploded(own, "word", words_of, "family").distinct()
+    pairs = cut(_aligned_pairs(words.groupBy("word").agg(F.count("*").alias("n"))))
+    # what damage says of a transformation over all its pairs; at most one row for a pair of encodings
+    known = pairs.filter("one_byte and coalesce(nullif(hard, 0), nullif(weak, 0), capitals) > 0").groupBy("transformation").agg(F.count("*").alias("known"))
+    garbled = (
+        pairs.join(F.broadcast(known), "transformation", "left")
+        .join(F.broadcast(known.select(F.col("transformation").alias("back"), F.col("known").alias("back_known"))), "back", "left")
+        .fillna(0, ["known", "back_known"])
+        .withColumn("learned", F.expr(f"case when known > {SURELY} * back_known + 1 then 1 when back_known > {SURELY} * known + 1 then -1 else 0 end"))
+        .withColumn("side", F.expr("case when hard <> 0 then hard when learned <> 0 then learned when weak <> 0 then weak else sign(clean_n - n) end"))
+        .filter("not one_byte or side > 0")
+    )
+    again = garbled.select(F.col("word").alias("clean"), F.lit(1).alias("again")).distinct()
     return (
-        keyed.join(clean, "skeleton")
-        .filter("word <> clean and (n < clean_n or hurt <> '')")
-        .select("word", "clean")
-        .mapInArrow(run, "word string, clean string, transformation string")
+        garbled.join(again, "clean", "left").fillna(0, ["again"])
+        .groupBy("word")
+        .agg(F.min_by(F.struct("clean", "transformation"), F.struct("again", "odd", -F.col("clean_n"), "clean")).alias("best"))
+        .select("word", "best.clean", "best.transformation")
     )
 
 
 def judge_of(own: DataFrame, twins: DataFrame) -> Judge:
-    """Character counts over all units, and the votes of the twins."""
+    """Character counts over the units, once for a family of copies, and the votes of the twins."""
     def count(batches):
         for batch in batches:
             c = Counter(f for u in batch.column(0).to_pylist() for f in set(features(u)))
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=["feature", "n"])
 
-    counts = own.select("unit").mapInArrow(count, "feature string, n bigint").groupBy("feature").agg(F.sum("n").alias("n"))
+    counts = own.select("family", "unit").distinct().select("unit").mapInArrow(count, "feature string, n bigint").groupBy("feature").agg(F.sum("n").alias("n"))
     votes = twins.filter(F.col("transformation") != LOST).groupBy("transformation").agg(F.count("*").alias("n"))
     return Judge({r.feature: r.n for r in counts.toLocalIterator()}, {r.transformation: r.n for r in votes.collect()})
 
@@ -359,8 +453,8 @@ def garbled_units(modules: DataFrame) -> DataFrame:
     ``evidence`` is 'twin', 'learned' or 'lost'; ``restored`` is null where nothing can be restored.
     """
     own = cut(field_units(modules))
-    words = _exploded(own, "word", words_of)
-    twins = cut(twin_words(words))
+    words = _exploded(own, "word", words_of, "module_id", "field")
+    twins = cut(twin_words(own))
     context = own.sparkSession.sparkContext
     first = judge_of(own, twins)
     schema = pa.schema([
@@ -394,9 +488,11 @@ def garbled_units(modules: DataFrame) -> DataFrame:
     easy = context.broadcast(first.with_votes(f"{a}>{b}" for a, b in PAIRS))
     suspects = cut(own.mapInArrow(run(easy), shape).select("module_id", "field", "unit"))
     # scripts that leave no skeleton have no twins: what wins by the wide margin there votes for the rest
-    sure = suspects.mapInArrow(run(context.broadcast(first)), shape).filter("evidence = 'learned'").select("unit", "transformation").distinct()
+    # these are judged by what is usual in the other units, however many of them there are
+    others = judge_of(own.join(suspects.select("unit").distinct(), "unit", "left_anti"), twins)
+    sure = suspects.mapInArrow(run(context.broadcast(others)), shape).filter("evidence = 'learned'").select("unit", "transformation").distinct()
     seconds = sure.groupBy("transformation").agg(F.count("*").alias("n")).filter(F.col("n") >= first.least_votes).collect()
-    judge = context.broadcast(first.with_votes(r.transformation for r in seconds))
+    judge = context.broadcast(others.with_votes(r.transformation for r in seconds))
     learned = suspects.mapInArrow(run(judge), shape)
     by_twin = words.join(twins, "word").select(
         "module_id", "field", F.col("word").alias("unit"), F.col("clean").alias("restored"), "transformation", F.lit("twin").alias("evidence")
@@ -422,6 +518,6 @@ def restore_fields(modules: DataFrame, garbled: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*rows), schema)], schema=schema)
 
     return (
-        _fields(modules).distinct().join(fixes, ["module_id", "field"]).select("module_id", "field", "text", "fixes")
+        _fields(modules).drop("module").distinct().join(fixes, ["module_id", "field"]).select("module_id", "field", "text", "fixes")
         .mapInArrow(run, "module_id bigint, field string, restored_text string, n_places int, complete boolean")
     )

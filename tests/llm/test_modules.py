@@ -145,6 +145,25 @@ def test_garbled_records(spark):
     assert restored == {0: "' Diese Prüfung zählt", 1: "' Die Prüfung fehlt", 2: "' Die Rückstellungen", 3: "' nichts �brig"}
 
 
+def test_a_third_of_the_rows_are_garbled_copies(spark):
+    clean = [f"' Die Prüfläufe {k} zählen" for k in range(3)] + [f"' Die täglichen Zahlen {k} für alle" for k in range(5)] + [f"x = {k} ' nothing" for k in range(8)]
+    for pair in (("mac_roman", "cp1252"), ("utf-8", "cp1252")):
+        wrong = encoding_repair.misread("' Die Prüfläufe und die täglichen Zahlen für alle", pair)
+        df = _frame(spark, clean + [wrong] * 8)
+        garbled = encoding_repair.garbled_units(df)
+        assert {r.module_id for r in garbled.collect()} == set(range(len(clean), len(clean) + 8)), pair
+        restored = {r.restored_text for r in encoding_repair.restore_fields(df, garbled).collect()}
+        assert restored == {"' Die Prüfläufe und die täglichen Zahlen für alle"}, pair
+
+
+def test_every_clean_twin_is_a_partner(spark):
+    clean = [f"' Bitte die Lücken {k} füllen" for k in range(9)] + [f"' Bäume {k} fällen" for k in range(4)]
+    assert encoding_repair.misread("fällen", ("cp850", "cp1252")) == "f„llen"
+    df = _frame(spark, clean + ["' nicht f„llen"])
+    got = {(r.module_id, r.unit, r.restored) for r in encoding_repair.garbled_units(df).collect()}
+    assert got == {(len(clean), "f„llen", "fällen")}
+
+
 def test_planted_garbling_is_found(spark):
     """Held out: clean modules are misread on purpose, and must be found and restored."""
     clean = [r for r in _modules(spark).select("module_id", "vba_source_text").distinct().collect() if r.vba_source_text and sum(c > "\x7f" for c in r.vba_source_text) > 30]
