@@ -358,7 +358,7 @@ def _exploded(own: DataFrame, column: str, of, *keys: str) -> DataFrame:
 
 
 def words_of(unit: str) -> list[str]:
-    return [w for w in _WORD.findall(unit) if len(skeleton(w)) >= 2]
+    return [w for w in _WORD.findall(unit) if len(skeleton(w)) >= 2 or not _LOST_SIGN.search(w)]
 
 
 def _one_byte(transformation: str) -> bool:
@@ -407,15 +407,47 @@ def _aligned_pairs(counted: DataFrame) -> DataFrame:
 
     return (
         counted.groupBy(F.regexp_replace("word", "[^A-Za-z]", "").alias("skeleton")).agg(F.collect_list(F.struct("word", "n")).alias("own"))
-        .filter("size(own) > 1").select("own")
+        .filter("size(own) > 1 and length(skeleton) > 1").select("own")
         .mapInArrow(run, "word string, clean string, transformation string, back string, one_byte boolean, hard int, weak int, capitals int, n bigint, clean_n bigint, odd int")
     )
 
 
+def _short_pairs(counted: DataFrame) -> DataFrame:
+    """``word, clean, transformation, shown, clean_n, odd`` of the words with under two ASCII letters (``là``, ``été``).
+
+    Their skeletons say too little (all of Chinese has the empty one), so a Latin word meets its misreadings
+    themselves. ``shown``: the word alone shows it, by signs that the clean one hasn't and in no Cyrillic reading.
+    """
+    schema = pa.schema([
+        ("word", pa.string()), ("clean", pa.string()), ("transformation", pa.string()), ("shown", pa.bool_()), ("clean_n", pa.int64()), ("odd", pa.int32()),
+    ])
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for clean, n in zip(*(c.to_pylist() for c in batch.columns)):
+                before = sum(oddness(clean)[:2])
+                for form, t in misreadings(clean).items():
+                    written, reading = t.split(">")
+                    worse = sum(oddness(form)[:2]) > before
+                    # a lone sign is no word, and one byte for another must leave a sign
+                    if reading not in MULTIBYTE and (written in MULTIBYTE or worse and skeleton(clean)):
+                        rows.append((form, clean, t, worse and written in MULTIBYTE and not _CYRILLIC.search(form), n, before))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+    short = counted.filter(F.length(F.regexp_replace("word", "[^A-Za-z]", "")) < 2)
+    forms = short.filter(F.col("word").rlike(r"^[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}]+$")).select("word", "n").mapInArrow(
+        run, "word string, clean string, transformation string, shown boolean, clean_n bigint, odd int"
+    )
+    return forms.join(short.select("word"), "word")
+
+
 def twin_words(own: DataFrame) -> DataFrame:
     """``word, clean, transformation``: the garbled words of the units, each with the best of the clean twins it aligns with."""
     words = _exploded(own, "word", words_of, "family").distinct()
-    pairs = cut(_aligned_pairs(words.groupBy("word").agg(F.count("*").alias("n"))))
+    counted = cut(words.groupBy("word").agg(F.count("*").alias("n")))
+    pairs = cut(_aligned_pairs(counted))
     # what damage says of a transformation over all its pairs; at most one row for a pair of encodings
     known = pairs.filter("one_byte and coalesce(nullif(hard, 0), nullif(weak, 0), capitals) > 0").groupBy("transformation").agg(F.count("*").alias("known"))
     garbled = (
@@ -425,7 +457,11 @@ def twin_words(own: DataFrame) -> DataFrame:
         .withColumn("learned", F.expr(f"case when known > {SURELY} * back_known + 1 then 1 when back_known > {SURELY} * known + 1 then -1 else 0 end"))
         .withColumn("side", F.expr("case when hard <> 0 then hard when learned <> 0 then learned when weak <> 0 then weak else sign(clean_n - n) end"))
         .filter("not one_byte or side > 0")
+        .select("word", "clean", "transformation", "clean_n", "odd")
     )
+    votes = garbled.groupBy("transformation").agg(F.countDistinct("word").alias("votes")).filter("votes > 1")
+    short = _short_pairs(counted).join(F.broadcast(votes), "transformation", "left").filter("shown or votes is not null")
+    garbled = garbled.unionByName(short.select(*garbled.columns))
     again = garbled.select(F.col("word").alias("clean"), F.lit(1).alias("again")).distinct()
     return (
         garbled.join(again, "clean", "left").fillna(0, ["again"])

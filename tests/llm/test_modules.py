@@ -164,6 +164,13 @@ def test_every_clean_twin_is_a_partner(spark):
     assert got == {(len(clean), "f„llen", "fällen")}
 
 
+def test_words_of_one_letter_have_twins(spark):
+    clean = [f"' là où {k} été" for k in range(6)] + [f"' są też błędy {k}, książki, usunąć" for k in range(6)]
+    twins = {(r.word, r.clean) for r in encoding_repair.twin_words(encoding_repair.field_units(_frame(spark, clean + ["' oÃ¹ Ã©tÃ©", "' s¹ b³êdy", "' ksi¹¿ki usun¹æ"]))).collect()}
+    assert twins == {("oÃ¹", "où"), ("Ã©tÃ©", "été"), ("s¹", "są"), ("b³êdy", "błędy"), ("ksi¹¿ki", "książki"), ("usun¹æ", "usunąć")}
+    assert not encoding_repair.garbled_units(_frame(spark, clean + ["' è vero", "' č 5", "' s¹ 在庫 ID"])).count()
+
+
 def test_planted_garbling_is_found(spark):
     """Held out: clean modules are misread on purpose, and must be found and restored."""
     clean = [r for r in _modules(spark).select("module_id", "vba_source_text").distinct().collect() if r.vba_source_text and sum(c > "\x7f" for c in r.vba_source_text) > 30]
