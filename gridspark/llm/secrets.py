@@ -88,6 +88,9 @@ _PICTURE_NAME = re.compile(r"(?:icon|png|gif|jpe?g|logo|image|img|picture|bitmap
 _WORDY = re.compile(r"^[a-z]+(?:-[a-z]+){2,}\d{1,4}$")
 _STRONG = re.compile(r"^[A-Z][a-z]{2,}[!#$%&*+?@^~]\d{2,}$")
 _OPAQUE = re.compile(r"^[A-Za-z0-9+/_=.!?~*-]+$")
+#: So short is only a part of a value, and counts only where a join of literals splits it off.
+_JOINED_BEFORE = re.compile(r'&\s*(?:_[ \t]*\r?\n\s*)?"\Z')
+_JOINED_AFTER = re.compile(r'"\s*&')
 #: A candidate (``value`` and what is known of it), or a piece of a file that may join it (``anchor``).
 CANDIDATES = "module_id bigint, family string, value string, part int, kind string, strength int, anchor string"
 
@@ -174,12 +177,20 @@ def _read_group(text: str, lines: Lines, group: list[Segment], following: Segmen
             head = before[:-1].rsplit("\n", 1)[-1].rstrip() + " "
 
     def add(a: int, v: str, kind: str, strength: int) -> None:
-        v = v.strip()
-        if plausible(v):
-            out.append(Found(a, v, 0, kind, strength))
+        """``a`` is a place in the joined value; what stands in several of its literals comes out in parts."""
+        a, v = a + len(v) - len(v.lstrip()), v.strip()
+        if not plausible(v):
+            return
+        at = n = 0
+        for s in group:
+            x, y = max(a - at, 0), min(a + len(v) - at, s.end - s.start)
+            if x < y:
+                out.append(Found(s.start + x, text[s.start + x : s.start + y], n, kind, strength))
+                n += 1
+            at += s.end - s.start
 
     joined = len(group) > 1
-    if (not joined or first.kind == "comment") and _TRIGGER.search(value):
+    if _TRIGGER.search(value):
         for pattern, kind, strength in (
             (_KNOWN, "known_format", 3), (_CONNECTION, "connection", 2), (_URL_USER, "url_user", 2), (_URL_QUERY, "url_query", 2),
             (_HEADER, "header", 2), (_JSON, "json", 2), (_COMMAND, "command", 2),
@@ -187,14 +198,14 @@ def _read_group(text: str, lines: Lines, group: list[Segment], following: Segmen
             for m in pattern.finditer(value):
                 g = 1 if pattern.groups else 0
                 if (kind != "header" or len(m[g]) >= 8) and (kind != "url_query" or opaque(m[g]) or _structured(m[g]) or "code=" not in m[0]):
-                    add(first.start + m.start(g), m[g], kind, strength)
+                    add(m.start(g), m[g], kind, strength)
     if first.kind == "comment":
         if (m := _SAID.search(value)) and not _CHECKSUM.search(value):
             g = 1 if m[1] else 2
             if _structured(m[g]) or len(m[g]) >= 6 and re.search(r"\d", m[g]) and re.search(r"[A-Za-z]", m[g]):
-                add(first.start + m.start(g), m[g], "said", 2)
+                add(m.start(g), m[g], "said", 2)
         elif (m := re.search(r"(\S+)\s*$", value)) and not _CHECKSUM.search(value) and (_WORDY.match(m[1]) or _STRONG.match(m[1])):
-            add(first.start + m.start(1), m[1], "said", 1)
+            add(m.start(1), m[1], "said", 1)
         return
     if not _BARE.fullmatch(value) or value.isalpha() and len(value) < 10:
         return
@@ -247,6 +258,8 @@ def _occurrences(automaton: ahocorasick.Automaton, text: str) -> list[tuple[int,
         a, b = last - len(v) + 1, last + 1
         if kind != "private_key" and (a and _joins(text[a - 1], v[0]) or b < len(text) and _joins(text[b], v[-1])):
             continue
+        if len(v) < 5 and not (_JOINED_BEFORE.search(text, max(0, a - 400), a) if part else _JOINED_AFTER.match(text, b)):
+            continue
         if kind == "private_key":
             begins = [m.start() for m in _BEGIN.finditer(text, max(0, a - 2000), a)]
             if not begins:

@@ -119,6 +119,22 @@ def test_credentials(spark):
         assert [c for c in before if c in '"\n&'] == [c for c in r.masked_text if c in '"\n&']
 
 
+def test_credentials_in_joined_literals(spark):
+    lines = [
+        'cn.Open "Provider=X;" & _\n  "User ID=svc_a;Password=Sofo*7885;"', 'cn.Open "Provider=X;Pwd=Mz" & "u#49" & _\n  "17;Uid=a"\nx = "Mz" + Mz',
+        'req.Add "Authorization", "Bearer " & "oASkvHsVK2jRd7LuWL5YFWz1kh"', 'u = "https://a.test/feed?fmt=csv" & "&api_key=Cdh9mJ5pH562P1wQY7tM1JyIrCx7u"',
+        'cs = "Uid=<user>;" & "Pwd=<password>;"', 'cs = "Server=a;Pwd=" & strPwd & ";Uid=b"',
+    ]
+    df = _frame(spark, lines)
+    found = secrets.find_credentials(df)
+    got = {(r.module_id, r.line_no, lines[r.module_id][r.start : r.start + r.length], r.part) for r in found.collect()}
+    assert got == {
+        (0, 2, "Sofo*7885", 0), (1, 1, "Mz", 0), (1, 1, "u#49", 1), (1, 2, "17", 2), (2, 1, "oASkvHsVK2jRd7LuWL5YFWz1kh", 0), (3, 1, "Cdh9mJ5pH562P1wQY7tM1JyIrCx7u", 0),
+    }
+    masked = {r.module_id: r.masked_text for r in secrets.mask_credentials(df, found).collect()}
+    assert masked[1] == 'cn.Open "Provider=X;Pwd=**" & "****" & _\n  "**;Uid=a"\nx = "Mz" + Mz'
+
+
 def test_shared_values_are_placeholders(spark):
     rows = [(i, f"Family{chr(65 + i)}x", 'strPwd = "Welcome123"') for i in range(12)] + [(50, "Own", 'strPwd = "Hape?6526"')]
     df = spark.createDataFrame(rows, "module_id bigint, name string, vba_source_text string")
