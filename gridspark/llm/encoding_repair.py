@@ -234,7 +234,9 @@ class Judge:
         best = None
         before = self.usual(unit)
         raws = {r: raw_of(unit, r) for r in READ}
-        hurt = sum(damage(w) > 0 for w in _words(unit)) > 1
+        words = _words(unit)
+        hurt = sum(damage(w) > 0 for w in words) > 1
+        lone = len(words) == 1 and "´" not in unit and oddness(words[0])[0] > 0  # a name, a short literal
         gains: dict[str, float] = {}
         for pair in PAIRS:
             raw = raws[pair[1]]
@@ -243,11 +245,12 @@ class Judge:
                 after, whole = self._by_runs(unit, pair) if pair[0] == "utf-8" else None, None
             if after is None or after == unit or after.isascii():
                 continue
-            # one Latin letter for another: only where the words show damage, and more than one does
-            if not hurt and pair[0] not in MULTIBYTE and not _CYRILLIC.search(after):
+            # one Latin letter for another: only where the words show damage, and more than one does or there is but one
+            latin = pair[0] not in MULTIBYTE and not _CYRILLIC.search(after)
+            if latin and not hurt and (not lone or oddness(after)[0]):
                 continue
             name = f"{pair[0]}>{pair[1]}"
-            margin = (0.5 if pair[0] in MULTIBYTE else 1.0) if name in self.learned else 2.0
+            margin = (0.5 if pair[0] in MULTIBYTE else 1.0) if name in self.learned and (hurt or not latin) else 2.0
             if pair[0] == "utf-8" and whole:  # a whole text that is valid UTF-8 by chance gets rarer with every byte
                 margin = max(-4.0, min(margin, 1.0) - 0.5 * (len(_NON_ASCII.findall(unit)) - 2))
             if after not in gains:

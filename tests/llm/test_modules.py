@@ -187,6 +187,12 @@ def test_words_of_one_letter_have_twins(spark):
     assert not encoding_repair.garbled_units(_frame(spark, clean + ["' è vero", "' č 5", "' s¹ 在庫 ID"])).count()
 
 
+def test_a_lone_damaged_word_is_found(spark):
+    clean = [f"' Die täglichen Prüfungen {k} der Rückgabe für alle" for k in range(20)]
+    df = _frame(spark, clean + ['s = "R\x81ckstellung"', "' d´accord", "' 20 m²", "' n° 5"])
+    assert {(r.module_id, r.unit, r.restored) for r in encoding_repair.garbled_units(df).collect()} == {(20, "R\x81ckstellung", "Rückstellung")}
+
+
 def test_planted_garbling_is_found(spark):
     """Held out: clean modules are misread on purpose, and must be found and restored."""
     clean = [r for r in _modules(spark).select("module_id", "vba_source_text").distinct().collect() if r.vba_source_text and sum(c > "\x7f" for c in r.vba_source_text) > 30]
