@@ -2,25 +2,33 @@
 
 Three steps. (1) Every literal and comment is read for values that stand where a credential
 would stand (a password of a connection, a token of a header, a key of a known format, a
-random constant). (2) The values are indexed corpus-wide with the number of their owners
-(module families; copies of one module count once): a value that many owners share is a
-placeholder and is suppressed, rare structured values are confirmed. (3) Every file is scanned
-again for the confirmed values with an Aho-Corasick automaton, wherever they stand.
+random constant). (2) Every file is scanned again, whole, for all those values with an
+Aho-Corasick automaton, also where literals joined by & split a value. (3) The places found are
+the index: the owners of a value are the workbooks that hold it, copies and edited copies of a
+module (near-duplicate groups) counting once, and a value that ``SHARED`` owners or more hold,
+times the strength of its place, is a placeholder or a common word and is suppressed.
 
-The confirmed values are never gathered in one place: a value and a file meet on a piece of
-text they share (equi-join), and an automaton is built per batch of files from the values
-that met them. The result's rows all come from that scan.
+A value of letters only, or that looks like a number or a cell address, counts where it stands as a
+credential or is a whole literal; any other value counts wherever it stands, unless it goes on in
+letters or digits.
+
+The automaton is a broadcast of at most ``BLOCK_CHARS`` characters of values; more values make
+more blocks, one after the other, each of which meets every file. The result does not depend on
+how the files are partitioned.
 
 Defined results: null and empty texts give no rows; a repeated row gives the same rows once;
-a private key counts once, at its BEGIN line; a value split over concatenated literals counts
-where its first part begins; other columns are ignored.
+a private key counts once, at its BEGIN line, and reaches to its END line; a value split over
+concatenated literals counts where its first part begins; without a column ``path`` every module
+is an owner of its own; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
+from functools import lru_cache, reduce
 from typing import NamedTuple
 
 import ahocorasick
@@ -29,14 +37,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut, spread
+from .near_dup import near_duplicate_groups
 from .vba_text import Lines, Segment, segments
 
-#: A value with so many owners (module families) is a placeholder.
+#: A value with so many owners, times the strength of its place, is a placeholder.
 SHARED = 8
+#: Characters of the values in one automaton (about 50 bytes of memory each).
+BLOCK_CHARS = 2_000_000
 
 #: Names under which credentials stand, in the languages of the corpus.
 _NAMES = (
-    "pass(?:word|wort|wd|phrase)?", "pwd", "pw", "kennwort", "senha", "mdp", "mot_?de_?passe", "contrase(?:ñ|n)a", "clave", "has[lł]o", "wachtwoord",
+    "pass(?:word|wort|wd|phrase)?", "pwd", r"(?<![a-z])pw(?![a-z])", r"(?-i:(?<=[a-z])P[wW](?![a-z]))", "kennwort", "senha", "mdp", "mot[_ ]?de[_ ]?passe", "contrase(?:ñ|n)a", "clave", "has[lł]o", "wachtwoord",
     "parola", "chiave", "пароль", "секрет", "ключ", "密码", "密碼", "密钥", "パスワード", "secret", "token", "api_?key", "access_?key", "private_?key", "credential",
 )
 _NAME = re.compile(rf"(?:{'|'.join(_NAMES)}|_key(?:_?b64)?)\w*$|^(?:{'|'.join(_NAMES)})", re.I)
@@ -64,41 +75,68 @@ _SAID = re.compile(
 _BEGIN = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----")
 _END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY-----")
 _BODY = re.compile(r"[A-Za-z0-9+/]{32,}={0,2}")
-#: Something of this stands in every text that one of the patterns above can match.
-_TRIGGER = re.compile(
-    r"(?i)pass|pwd|token|secret|key|sig=|code=|auth=|://|bearer|basic|apikey|akia|asia|k_live_|xox|gh[oprsu]_|github_pat|glpat|sg\.|eyj|-u|-user"
+#: A line that may stand between BEGIN and END: a piece of the body, a header of the key, or nothing.
+_KEY_LINE = re.compile(r"[A-Za-z0-9+/]{16,}|[A-Z][\w-]+: |^\W*$|vb(?:Cr)?Lf")
+#: Something of this stands, in small letters, in every text that one of the patterns above can match.
+_TRIGGERS = (
+    "pass", "pwd", "token", "secret", "key", "sig=", "code=", "auth=", "://", "bearer", "basic", "akia", "asia", "k_live_", "xox", "gho_", "ghp_", "ghr_", "ghs_", "ghu_",
+    "github_pat", "glpat", "sg.", "eyj", "-u", "-user", "credential", "pw", "kennwort", "senha", "mdp", "mot", "contrase", "clave", "has", "wachtwoord", "parola", "chiave",
+    "пароль", "секрет", "ключ", "密码", "密碼", "密钥", "パスワード",
 )
+
+
+@lru_cache(None)
+def _trigger_automaton() -> ahocorasick.Automaton:
+    automaton = ahocorasick.Automaton()
+    for word in _TRIGGERS:
+        automaton.add_word(word, len(word))
+    automaton.make_automaton()
+    return automaton
+
+
+def _triggers(text: str) -> list[int]:
+    """Where the trigger words end, in order."""
+    low = text.lower()
+    if len(low) != len(text):  # letters that are two in small
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    return [last for last, _ in _trigger_automaton().iter(low)]
+
+
 #: What stands before a literal that is given to a credential: a name, or a call's argument.
 _TARGET = re.compile(r"([\w.]+)\)?\s*(?:As\s+\w+\s*)?:?=\s*$", re.I)
 _KEYED = re.compile(r"\(\s*\"([^\"]+)\"\s*\)\s*=\s*$")
 _LOGIN = re.compile(r"\b\w*(?:login|logon|connect|signin|auth)\w*\s*\(?\s*(?:\w+\s*:?=\s*)?\"[^\"]*\"\s*,\s*$", re.I)
-_ACCOUNT = re.compile(r"\b\w+\s*\(?\s*\"svc_\w+\"\s*,\s*$", re.I)
+#: The password of an open connection: connection, user and password as arguments.
+_OPENED = re.compile(r"\.open\b\s*\(?\s*(?:\w+\s*:=\s*)?(?:\"[^\"]*\"|[\w.]+)\s*,\s*(?:[^,\"]*,\s*){0,2}\"[^\"]*\"\s*,\s*$", re.I)
 _PROTECT = re.compile(r"\b(?:un)?protect\s*\(?\s*(?:password\s*:=\s*)?$", re.I)
 _OPEN = re.compile(r"\bworkbooks\.open\b[^\"]*,\s*,\s*,\s*,\s*$", re.I)
+#: What stands for a value instead of being one.
 _PLACEHOLDER = re.compile(
-    r"^(?:<.*>|\[.*\]|\{.*\}|%.*%|\$\{?\w+\}?|[*xX.•#_-]+|n/?a|none|null|empty|your.*|my.?pass.*|change.?me.*|todo|tbd|example.*|dummy.*|sample.*|redacted.*|masked"
-    r"|(?:pass(?:word|wd)?|pwd|kennwort|senha|secret|token|key|user|usr)\d{0,3})$", re.I
+    r"^(?:<.*>|\[.*\]|\{.*\}|%.*%|\$\{?\w+\}?|[*xX.•#_-]+|n/?a|none|null|empty|your.*|my.?pass.*|change.?me.*|todo|tbd|example.*|.*EXAMPLE(?:KEY)?|dummy.*|sample.*|redacted.*|masked)$", re.I
 )
+_RUN = re.compile(r"(.)\1{7}")
+#: Names under which stands what is said of a credential, and not the credential.
+_ABOUT = re.compile(r"(?:label|prompt|caption|title|text|msg|message|field|column|col|header|name|type|path|file|sheet|range|cell|box|url|uri|char|len(?:gth)?)s?\d*$", re.I)
+_SECRET_NAME = re.compile(rf"(?:{'|'.join(n for n in _NAMES if 'key' not in n and n not in ('token', 'clave', 'chiave', 'ключ'))})", re.I)
 _PICTURE = re.compile(r"^(?:iVBOR|R0lGOD|/9j/|Qk[0-9A-Za-z]|UEsDB|JVBER|PHN2Z|data:)")
 #: No white space, and none of the signs of a path, a query or a format.
-_BARE = re.compile(r"[^\s\\:;<>]{5,}")
+_BARE = re.compile(r"[^\s\\:;<>]{4,}")
 _UUID = re.compile(r"^\{?[0-9A-F]{8}-(?:[0-9A-F]{4}-){3}[0-9A-F]{12}\}?$", re.I)
 _CHECKSUM = re.compile(r"\b(?:md5|sha-?\d*|crc\d*|checksum|hash|etag|digest|guid|uuid|thumbprint|fingerprint)\b", re.I)
 _PICTURE_NAME = re.compile(r"(?:icon|png|gif|jpe?g|logo|image|img|picture|bitmap)", re.I)
-_WORDY = re.compile(r"^[a-z]+(?:-[a-z]+){2,}\d{1,4}$")
-_STRONG = re.compile(r"^[A-Z][a-z]{2,}[!#$%&*+?@^~]\d{2,}$")
 _OPAQUE = re.compile(r"^[A-Za-z0-9+/_=.!?~*-]+$")
-#: So short is only a part of a value, and counts only where a join of literals splits it off.
-_JOINED_BEFORE = re.compile(r'&\s*(?:_[ \t]*\r?\n\s*)?"\Z')
-_JOINED_AFTER = re.compile(r'"\s*&')
-#: A candidate (``value`` and what is known of it), or a piece of a file that may join it (``anchor``).
-CANDIDATES = "module_id bigint, family string, value string, part int, kind string, strength int, anchor string"
+_JOIN = re.compile(r'"[ \t]*&\s*(?:_[ \t]*\r?\n\s*)?"')
+#: An account and what opens it, in a note: ``ERP: name / word value``.
+_NOTED = re.compile(r"^[^:/]{1,40}:\s*\S+\s*/\s*(?:\S+\s+){1,2}(\S+?)\s*$")
+_DULL = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[^\W\d_]+|[0-9.,#]+|[A-Z]{1,3}\d+")
+FOUND = "module_id bigint, owner string, line_no int, start int, length int, kind string, value string, part int, strength int"
 
 
 class Found(NamedTuple):
-    """``value`` as it stands in the file; ``part`` > 0 continues a value begun before."""
+    """``value`` at a place of the file; ``part`` > 0 continues a value begun before."""
 
     start: int
+    length: int
     value: str
     part: int
     kind: str
@@ -123,23 +161,19 @@ def opaque(value: str) -> bool:
 
 
 def plausible(value: str) -> bool:
-    """A literal that stands where a password stands and is one."""
-    return len(value) >= 5 and not _PLACEHOLDER.match(value) and not re.search(r"\s", value) and len(set(value)) > 3
+    """A literal that stands where a password stands and may be one."""
+    return len(value) >= 4 and len(set(value)) > 2 and not _PLACEHOLDER.match(value) and not _RUN.search(value) and not re.search(r"\s", value)
 
 
-def _structured(value: str) -> bool:
-    return bool(_WORDY.match(value) or _STRONG.match(value)) or opaque(value)
+def strong(value: str) -> bool:
+    """Letters and digits with signs or capitals between them: more than a name with a number."""
+    return len(value) >= 8 and bool(re.search(r"\d", value) and re.search(r"[^\W\d_]", value)) and (
+        bool(re.search(r"[^\w\s.:,/\\]", value)) or opaque(value) or len(re.findall(r"[a-z][A-Z0-9]|[A-Z][0-9]|[0-9][A-Za-z]", value)) > 2
+    )
 
 
-def candidates(text: str, segs: list[Segment] | None = None) -> list[Found]:
-    """Values in a file that may be credentials, with how sure their place makes it (1-3)."""
-    out: list[Found] = []
-    segs = segments(text) if segs is None else segs
-    keys = _private_keys(text, segs)
-    for begin, end, body in keys:
-        out.append(Found(begin, body, 0, "private_key", 3))
-    inside = lambda p: any(a <= p < b for a, b, _ in keys)
-    lines = Lines(text)
+def groups(text: str, segs: list[Segment]):
+    """Comments one by one, literals with all that are joined to them by &."""
     k = 0
     while k < len(segs):
         group = [segs[k]]
@@ -150,123 +184,160 @@ def candidates(text: str, segs: list[Segment] | None = None) -> list[Found]:
                 k += 1
                 group.append(segs[k])
         k += 1
-        if not inside(group[0].start):
-            _read_group(text, lines, group, segs[k] if k < len(segs) else None, out)
+        yield group, segs[k] if k < len(segs) else None
+
+
+def _parts(group: list[Segment], a: int, n: int) -> list[tuple[int, int]]:
+    """Where the characters a to a + n of joined literals stand in the file."""
+    out, at = [], 0
+    for s in group:
+        x, y = max(a - at, 0), min(a + n - at, s.end - s.start)
+        if x < y:
+            out.append((s.start + x, y - x))
+        at += s.end - s.start
+    return out
+
+
+def candidates(text: str) -> list[Found]:
+    """Values in a file that may be credentials, with how sure their place makes it (1-3)."""
+    out: list[Found] = []
+    segs = segments(text)
+    keys = _private_keys(text)
+    for begin, end, body in keys:
+        out.append(Found(begin, end - begin, body, 0, "private_key", 3))
+    lines, triggers = Lines(text), _triggers(text)
+    for group, following in groups(text, segs):
+        if keys and any(a <= group[0].start < b for a, b, _ in keys):
+            continue
+        # a trigger word may lie across a join
+        told = len(group) > 1 or bisect_left(triggers, group[0].start) < bisect_left(triggers, group[-1].end)
+        _read_group(text, lines, group, following, told, out)
     return out
 
 
-def _private_keys(text: str, segs: list[Segment]) -> list[tuple[int, int, str]]:
-    """(position of BEGIN, end, first line of the body) of the private keys that have a body."""
+def _private_keys(text: str) -> list[tuple[int, int, str]]:
+    """(position of BEGIN, end, first line of the body) of the private keys that have a body.
+
+    A key ends at its END line; without one before the next key, where its lines end.
+    """
     out = []
-    for m in _BEGIN.finditer(text):
-        end = _END.search(text, m.end())
-        stop = end.end() if end and end.start() - m.end() < 20_000 else m.end() + 400
-        body = _BODY.search(text, m.end(), stop)
-        if body and text.count("\n", m.end(), body.start()) <= 6:
+    begins = list(_BEGIN.finditer(text))
+    for k, m in enumerate(begins):
+        stop = begins[k + 1].start() if k + 1 < len(begins) else len(text)
+        end = _END.search(text, m.end(), stop)
+        if end:
+            stop = end.start()
+        else:
+            at = text.find("\n", m.end(), stop)
+            while at >= 0:
+                after = text.find("\n", at + 1, stop)
+                if not _KEY_LINE.search(text[at + 1 : after if after >= 0 else stop]):
+                    stop = at
+                    break
+                at = after
+        if body := _BODY.search(text, m.end(), stop):
             out.append((m.start(), stop, body.group()))
     return out
 
 
-def _read_group(text: str, lines: Lines, group: list[Segment], following: Segment | None, out: list[Found]) -> None:
+def _read_group(text: str, lines: Lines, group: list[Segment], following: Segment | None, told: bool, out: list[Found]) -> None:
     first = group[0]
     value = "".join(text[s.start : s.end] for s in group)
-    head = text[lines.start(first.start) : first.start - 1]
-    if not head.strip() and lines.start(first.start):  # the value stands on a continuation line
-        before = text[: lines.start(first.start)].rstrip("\r\n \t")
-        if before.endswith("_"):
-            head = before[:-1].rsplit("\n", 1)[-1].rstrip() + " "
 
     def add(a: int, v: str, kind: str, strength: int) -> None:
         """``a`` is a place in the joined value; what stands in several of its literals comes out in parts."""
         a, v = a + len(v) - len(v.lstrip()), v.strip()
-        if not plausible(v):
-            return
-        at = n = 0
-        for s in group:
-            x, y = max(a - at, 0), min(a + len(v) - at, s.end - s.start)
-            if x < y:
-                out.append(Found(s.start + x, text[s.start + x : s.start + y], n, kind, strength))
-                n += 1
-            at += s.end - s.start
-
-    joined = len(group) > 1
-    if _TRIGGER.search(value):
+        if plausible(v):
+            out.extend(Found(x, n, v, k, kind, strength) for k, (x, n) in enumerate(_parts(group, a, len(v))))
+
+    if told:
         for pattern, kind, strength in (
             (_KNOWN, "known_format", 3), (_CONNECTION, "connection", 2), (_URL_USER, "url_user", 2), (_URL_QUERY, "url_query", 2),
             (_HEADER, "header", 2), (_JSON, "json", 2), (_COMMAND, "command", 2),
         ):
             for m in pattern.finditer(value):
                 g = 1 if pattern.groups else 0
-                if (kind != "header" or len(m[g]) >= 8) and (kind != "url_query" or opaque(m[g]) or _structured(m[g]) or "code=" not in m[0]):
+                if (kind != "header" or len(m[g]) >= 8) and (kind != "url_query" or strong(m[g]) or "code=" not in m[0]):
                     add(m.start(g), m[g], kind, strength)
     if first.kind == "comment":
-        if (m := _SAID.search(value)) and not _CHECKSUM.search(value):
+        if told and (m := _SAID.search(value)):
             g = 1 if m[1] else 2
-            if _structured(m[g]) or len(m[g]) >= 6 and re.search(r"\d", m[g]) and re.search(r"[A-Za-z]", m[g]):
+            if len(m[g]) >= 6 and re.search(r"\d", m[g]) and re.search(r"[A-Za-z]", m[g]) and not _CHECKSUM.search(value):
                 add(m.start(g), m[g], "said", 2)
-        elif (m := re.search(r"(\S+)\s*$", value)) and not _CHECKSUM.search(value) and (_WORDY.match(m[1]) or _STRONG.match(m[1])):
+        elif "/" in value and (m := _NOTED.search(value)) and strong(m[1]) and "://" not in value and not _CHECKSUM.search(value):
             add(m.start(1), m[1], "said", 1)
         return
-    if not _BARE.fullmatch(value) or value.isalpha() and len(value) < 10:
+    if not _BARE.fullmatch(value):
         return
-    own = text[group[-1].end : following.start] if following else text[group[-1].end : group[-1].end + 80]
+    head = text[lines.start(first.start) : first.start - 1]
+    if not head.strip() and lines.start(first.start):  # the value stands on a continuation line
+        before = text[: lines.start(first.start)].rstrip("\r\n \t")
+        if before.endswith("_"):
+            head = before[:-1].rsplit("\n", 1)[-1].rstrip() + " "
+    own = text[group[-1].end : following.start] if following else ""
     note = text[following.start : following.end] if following and following.kind == "comment" and "\n" not in own else ""
-    if _CHECKSUM.search(note) or _CHECKSUM.search(head):
-        return
-    if head.lstrip().startswith("Attribute "):
-        return
-    target = (m := _TARGET.search(head)) and m[1].rsplit(".", 1)[-1] or (m := _KEYED.search(head)) and m[1] or ""
-    strength = 0
-    if _LOGIN.search(head) or _ACCOUNT.search(head) or _PROTECT.search(head) or _OPEN.search(head):
+    target, strength = "", 0
+    end = head.rstrip()[-1:]
+    mixed = lambda: bool(re.search(r"\d", value)) or opaque(value) or len(value) >= 10 and entropy(value) > 3
+    if end == "=":
+        target = (m := _TARGET.search(head)) and m[1].rsplit(".", 1)[-1] or (m := _KEYED.search(head)) and m[1] or ""
+    if (_LOGIN.search(head) or _OPEN.search(head) or _OPENED.search(head)) if end == "," else "protect" in head.lower() and _PROTECT.search(head):
         strength = 2
     elif target and _NAME.search(target) and not re.fullmatch(r"(?i)key", target):
-        strength = 2
+        # a plain word only under a name that says password, and not where it is said about one
+        word = _SECRET_NAME.search(target) and not _ABOUT.search(target) and not _NAME.search(value) and value.lower() not in target.lower()
+        strength = 2 if mixed() or word else 0
     elif note and _NAME.search(note.strip()):
-        strength = 2 if _structured(value) or len(value) >= 10 and entropy(value) > 3 else 0
-    elif not _PICTURE_NAME.search(target) and (_structured(value) and (joined or not _KNOWN.search(value))):
+        strength = 2 if len(value) >= 8 and mixed() else 0
+    elif opaque(value) and not _PICTURE_NAME.search(target) and (len(group) > 1 or not _KNOWN.search(value)):
         strength = 1
     if not strength or not plausible(value) or _PICTURE.match(value) or _UUID.match(value):
         return
-    if strength == 2 and not (re.search(r"\d", value) or _structured(value) or len(value) >= 10 and entropy(value) > 3):
+    if _CHECKSUM.search(note) or _CHECKSUM.search(head) or head.lstrip().startswith("Attribute "):
         return
     if any(f.start >= first.start and f.start < group[-1].end for f in out):
         return
-    for n, s in enumerate(group):
-        if s.end > s.start:
-            out.append(Found(s.start, text[s.start : s.end], n, "literal", strength))
-
-
-def pieces(value: str) -> list[str]:
-    """The parts of a value between delimiters that may join it with a file."""
-    return [p for p in re.split(r"[\s\"'(),;&:@/<>={}]+", value) if len(p) >= 4]
-
+    add(0, value, "literal", strength)
 
-def anchor(value: str) -> str:
-    return max(pieces(value) or [value], key=lambda p: (len(p), p))
 
+def _owned(table: list[tuple[str, str]]) -> ahocorasick.Automaton:
+    automaton = ahocorasick.Automaton()
+    for value, kind in table:
+        automaton.add_word(value, (value, kind, bool(_DULL.fullmatch(value))))
+    automaton.make_automaton()
+    return automaton
 
-_DULL = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9.,#]+|[A-Z]{1,3}\d+")
 
-
-def _family(name: str | None) -> str:
-    return re.sub(r"(?:_old|_new|Copy|_?\d+)+$", "", name or "")
-
-
-def _occurrences(automaton: ahocorasick.Automaton, text: str) -> list[tuple[int, int, str, int, str]]:
+def occurrences(automaton: ahocorasick.Automaton, text: str) -> list[tuple[int, int, str, int, str]]:
+    """``start, length, value, part, kind`` of the values wherever they stand in a text."""
     found = []
-    for last, (v, part, kind) in automaton.iter(text):
+    begins = None
+    for last, (v, kind, dull) in automaton.iter(text):
         a, b = last - len(v) + 1, last + 1
-        if kind != "private_key" and (a and _joins(text[a - 1], v[0]) or b < len(text) and _joins(text[b], v[-1])):
-            continue
-        if len(v) < 5 and not (_JOINED_BEFORE.search(text, max(0, a - 400), a) if part else _JOINED_AFTER.match(text, b)):
-            continue
         if kind == "private_key":
-            begins = [m.start() for m in _BEGIN.finditer(text, max(0, a - 2000), a)]
-            if not begins:
-                continue
-            found.append((begins[-1], b, v, part, kind))
+            if begins is None:
+                keys = _private_keys(text)
+                begins = [k[0] for k in keys]
+            k = bisect_right(begins, a) - 1
+            own = k >= 0 and a < keys[k][1]
+            found.append((keys[k][0], keys[k][1] - keys[k][0], keys[k][2], 0, kind) if own else (a, b - a, v, 0, kind))
+        elif dull and not (text[a - 1 : a] == '"' == text[b : b + 1]) or a and _joins(text[a - 1], v[0]) or b < len(text) and _joins(text[b], v[-1]):
+            continue
         else:
-            found.append((a, b, v, part, kind))
+            found.append((a, b - a, v, 0, kind))
+    if _JOIN.search(text):
+        for group, _ in groups(text, segments(text)):
+            if len(group) < 2:
+                continue
+            value = "".join(text[s.start : s.end] for s in group)
+            for last, (v, kind, dull) in automaton.iter(value):
+                a, b = last - len(v) + 1, last + 1
+                whole = not a and b == len(value)
+                if kind == "private_key" or dull and not whole or a and _joins(value[a - 1], v[0]) or b < len(value) and _joins(value[b], v[-1]):
+                    continue
+                parts = _parts(group, a, b - a)
+                if len(parts) > 1:
+                    found += [(x, n, v, k, kind) for k, (x, n) in enumerate(parts)]
     return found
 
 
@@ -274,81 +345,89 @@ def _joins(x: str, y: str) -> bool:
     return (x.isalnum() or x == "_") and (y.isalnum() or y == "_")
 
 
-def find_credentials(modules: DataFrame, shared: int = SHARED) -> DataFrame:
-    """One row per occurrence: ``module_id, line_no, start, length, kind, value_digest, part``.
+def _blocks(values: DataFrame, block_chars: int):
+    """Lists of (value, kind) of at most ``block_chars`` characters, fetched one by one."""
+    block, size = [], 0
+    for row in values.toLocalIterator():
+        if block and size + len(row.value) > block_chars:
+            yield block
+            block, size = [], 0
+        block.append((row.value, row.kind))
+        size += len(row.value)
+    if block:
+        yield block
+
+
+_FOUND_SCHEMA = pa.schema([
+    ("module_id", pa.int64()), ("owner", pa.string()), ("line_no", pa.int32()), ("start", pa.int32()), ("length", pa.int32()), ("kind", pa.string()),
+    ("value", pa.string()), ("part", pa.int32()), ("strength", pa.int32()),
+])
 
-    ``modules`` has ``module_id, name, vba_source_text``. The value itself is not returned.
-    """
-    texts = modules.select(
-        F.col("module_id").cast("bigint").alias("module_id"), F.col("name"), F.col("vba_source_text").alias("text")
-    ).filter("text is not null and text <> ''")
-    texts = spread(texts)
-    found_schema = pa.schema([
-        ("module_id", pa.int64()), ("family", pa.string()), ("value", pa.string()), ("part", pa.int32()), ("kind", pa.string()), ("strength", pa.int32()), ("anchor", pa.string()),
-    ])
-
-    def index(batches):
-        for batch in batches:
-            rows = []
-            for i, name, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                segs = segments(text)
-                found = candidates(text, segs)
-                rows += [(i, _family(name), f.value, f.part, f.kind, f.strength, None) for f in found]
-                own = {p for s in segs for p in pieces(text[s.start : s.end]) if not _DULL.fullmatch(p)}
-                own.update(anchor(f.value) for f in found)
-                rows += [(i, None, None, None, None, None, p) for p in own]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), found_schema)], schema=found_schema)
-
-    # one reading of the texts gives both sides of the join
-    indexed = cut(texts.select("module_id", "name", "text").mapInArrow(index, CANDIDATES))
-    values = (
-        indexed.filter("value is not null").groupBy("value")
-        .agg(
-            F.approx_count_distinct("family").alias("owners"), F.max("strength").alias("strength"), F.min("part").alias("part"), F.max("kind").alias("kind"),
-        )
-        .filter((F.col("owners") < shared) | (F.col("strength") == 3))
-    )
-    anchors = values.select("value", "part", "kind", _anchor_of("value").alias("anchor"))
-    at = (
-        indexed.filter("anchor is not null").select("module_id", "anchor").distinct()
-        .join(anchors, "anchor")
-        .groupBy("module_id")
-        .agg(F.collect_set(F.struct("value", "part", "kind")).alias("own_values"))
-    )
-    hit_schema = pa.schema([
-        ("module_id", pa.int64()), ("line_no", pa.int32()), ("start", pa.int32()), ("length", pa.int32()), ("kind", pa.string()), ("value", pa.string()), ("part", pa.int32()),
-    ])
 
-    def rescan(batches):
+def _rows(read):
+    """``read(text)`` -> (start, length, value, part, kind, strength) over batches of ``module_id, owner, text``."""
+    def run(batches):
         for batch in batches:
-            ids, all_texts, own = (batch.column(k).to_pylist() for k in range(3))
-            automaton = ahocorasick.Automaton()
-            for v in {(x["value"], x["part"], x["kind"]) for xs in own for x in xs}:
-                automaton.add_word(v[0], v)
-            automaton.make_automaton()
             rows = []
-            for i, text in zip(ids, all_texts):
-                lines = Lines(text)
-                for a, b, v, part, kind in _occurrences(automaton, text):
-                    rows.append((i, lines.of(a), a, b - a, kind, v, part))
+            for i, owner, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                found = read(text)
+                if found:
+                    lines = Lines(text)
+                    rows += [(i, owner, lines.of(a), a, n, kind, v, part, strength) for a, n, v, part, kind, strength in found]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), hit_schema)], schema=hit_schema)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _FOUND_SCHEMA)], schema=_FOUND_SCHEMA)
+
+    return run
+
+
+def find_credentials(modules: DataFrame, shared: int = SHARED, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """One row per occurrence: ``module_id, line_no, start, length, kind, part, value_digest``.
 
-    hits = texts.select("module_id", "text").join(at, "module_id").select("module_id", "text", "own_values").mapInArrow(
-        rescan, "module_id bigint, line_no int, start int, length int, kind string, value string, part int"
+    ``modules`` has ``module_id, vba_source_text`` and, to tell owners by, ``path``. The value itself is not returned.
+    """
+    owner = F.col("path").cast("string") if "path" in modules.columns else F.lit(None).cast("string")
+    texts = spread(
+        modules.select(
+            F.col("module_id").cast("bigint").alias("module_id"), F.coalesce(owner, F.concat(F.lit("module "), "module_id")).alias("owner"),
+            F.col("vba_source_text").alias("text"),
+        ).filter("text is not null and text <> ''")
     )
-    return hits.distinct().select(
-        "module_id", "line_no", "start", "length", "kind", "part", F.xxhash64("value").alias("value_digest")
+    first = cut(texts.mapInArrow(_rows(candidates), FOUND))
+    values = first.groupBy("value").agg(F.max("kind").alias("kind"))
+    context = modules.sparkSession.sparkContext
+    scans = [first]
+    for block in _blocks(values, block_chars):
+        held = context.broadcast(block)
+        made: list[ahocorasick.Automaton] = []
+
+        def rescan(text, held=held, made=made):
+            if not made:
+                made.append(_owned(held.value))
+            return [(*x, 0) for x in occurrences(made[0], text)]
+
+        scans.append(cut(texts.mapInArrow(_rows(rescan), FOUND)))
+        held.unpersist()
+    found = reduce(DataFrame.unionByName, scans)
+    owners = found.groupBy("value").agg(F.countDistinct("owner").alias("owners"), F.max("strength").alias("strength"), F.max("kind").alias("kind"))
+    wide = cut(owners.filter(F.col("owners") >= shared))
+    shared_values = _suppressed(modules, found.join(wide.select("value", "owners", F.col("strength").alias("most")), "value"), shared) if wide.limit(1).count() else wide
+    return (
+        found.join(shared_values.select("value"), "value", "left_anti")
+        .groupBy("module_id", "line_no", "start", "length", "part", "value").agg(F.max("kind").alias("kind"))
+        .select("module_id", "line_no", "start", "length", "kind", "part", F.xxhash64("value").alias("value_digest"))
     )
 
 
-def _anchor_of(column: str):
-    @F.pandas_udf("string")
-    def run(values):
-        return values.map(anchor)
-
-    return run(column)
+def _suppressed(modules: DataFrame, places: DataFrame, shared: int) -> DataFrame:
+    """``value`` of those that too many owners hold when edited copies of a module count once."""
+    ids = places.select("module_id").distinct()
+    texts = modules.select(F.col("module_id").cast("bigint").alias("id"), F.col("vba_source_text").alias("text")).join(ids.withColumnRenamed("module_id", "id"), "id", "left_semi")
+    kin = near_duplicate_groups(texts, 0.6, 3).select(F.col("id").alias("module_id"), "group_id").distinct()
+    return (
+        places.select("value", "module_id", "owners", "most").distinct().join(kin, "module_id", "left")
+        .groupBy("value").agg(F.countDistinct(F.coalesce("group_id", "module_id")).alias("kinds"), F.max("owners").alias("owners"), F.max("most").alias("most"))
+        .filter(F.least("kinds", "owners") >= shared * F.col("most"))
+    )
 
 
 def mask(text: str, places: list[tuple[int, int]]) -> str:
@@ -372,12 +451,11 @@ def mask_credentials(modules: DataFrame, found: DataFrame) -> DataFrame:
             for i, text, own in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 spans = []
                 for p in own:
-                    if p["kind"] != "private_key":
-                        spans.append((p["start"], p["length"]))
-                        continue
-                    end = _END.search(text, p["start"])
-                    stop = end.start() if end else p["start"] + p["length"]
-                    spans += [(m.start(), m.end() - m.start()) for m in re.finditer(r"[A-Za-z0-9+/]{12,}={0,2}", text[: stop]) if m.start() > p["start"] + 20]
+                    a, b = p["start"], p["start"] + p["length"]
+                    if p["kind"] == "private_key" and _BEGIN.match(text, a):
+                        spans += [(m.start(), m.end() - m.start()) for m in re.finditer(r"[A-Za-z0-9+/]{12,}={0,2}|(?<=[\"' ])[A-Za-z0-9+/]+={1,2}(?=\W)", text[:b]) if m.start() > a + 20]
+                    else:
+                        spans.append((a, b - a))
                 rows.append((i, mask(text, spans), len(own)))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
