@@ -275,6 +275,54 @@ def test_languages_held_out(spark):
     assert right > 5000 and wrong < 0.01 * right
 
 
+#: Written for this test: prose on matters that the tables do not speak of, labelled by whoever wrote it.
+PROSE = {
+    "en": ["Three ducks crossed the frozen pond before sunrise.", "His uncle repairs old clocks in a small workshop.", "Rain fell all week and the river rose quickly."],
+    "de": ["Drei Enten überquerten vor Sonnenaufgang den gefrorenen Teich.", "Sein Onkel repariert alte Uhren in einer kleinen Werkstatt.", "Es regnete die ganze Woche und der Fluss stieg schnell."],
+    "fr": ["Trois canards ont traversé l'étang gelé avant l'aube.", "Son oncle répare de vieilles horloges dans un petit atelier.", "Il a plu toute la semaine et la rivière montait vite."],
+    "es": ["Tres patos cruzaron el estanque helado antes del amanecer.", "Su tío arregla relojes antiguos en un taller pequeño.", "Llovió toda la semana y el río creció muy rápido."],
+    "pt": ["Três patos atravessaram o lago gelado antes do amanhecer.", "O tio dele conserta relógios antigos numa pequena oficina.", "Choveu a semana inteira e o rio subiu depressa."],
+    "it": ["Tre anatre attraversarono lo stagno ghiacciato prima dell'alba.", "Suo zio ripara vecchi orologi in una piccola bottega.", "Ha piovuto tutta la settimana e il fiume saliva in fretta."],
+    "nl": ["Drie eenden staken voor zonsopgang de bevroren vijver over.", "Zijn oom herstelt oude klokken in een kleine werkplaats.", "Het regende de hele week en de rivier steeg snel."],
+    "pl": ["Trzy kaczki przeszły przez zamarznięty staw przed świtem.", "Jego wujek naprawia stare zegary w małym warsztacie.", "Padało przez cały tydzień i rzeka szybko wezbrała."],
+    "ru": ["Три утки перешли замёрзший пруд до рассвета.", "Его дядя чинит старые часы в маленькой мастерской.", "Всю неделю шёл дождь, и река быстро поднялась."],
+    "ja": ["三羽のあひるが夜明け前に凍った池を渡った。", "おじは小さな工房で古い時計を直しています。", "一週間ずっと雨が降り、川の水がすぐに増えた。"],
+    "zh": ["三只鸭子在天亮以前走过结冰的池塘。", "他的叔叔在一间小作坊里修理旧钟表。", "整整一个星期都在下雨，河水很快就涨了。"],
+}
+
+
+def test_languages_of_prose_not_labelled_by_rule(spark):
+    model = code_language.fit_model(_modules(spark, "sf0.1"))
+    told = [(lang, t) for lang, own in PROSE.items() for t in own]
+    texts = [f"Sub A{k}()\n    Dim total{k} As Long\n    ' {t}\n    Range(\"A1\").Value = total{k}\nEnd Sub\n" for k, (_, t) in enumerate(told)]
+    got = [{x[0] for x in code_language.language_spans(t, p) if x[4]} for t, p in zip(texts, model.decode(texts))]
+    right = sum(g == {lang} for g, (lang, _) in zip(got, told))
+    assert right >= 0.85 * len(told), [(g, x) for g, x in zip(got, told) if g != {x[0]}]
+
+
+def test_long_files_in_pieces(spark):
+    texts = [r.vba_source_text for r in _modules(spark).select("vba_source_text").distinct().orderBy("vba_source_text").collect() if r.vba_source_text]
+    model = code_language.fit_model(_modules(spark))
+    whole = "\n".join(texts[:60])
+    at, code_language.PIECE = code_language.PIECE, 10**9
+    try:
+        (want,) = model.decode([whole])
+    finally:
+        code_language.PIECE = at
+    (got, short) = model.decode([whole, texts[0]])
+    assert len(whole) > 3 * code_language.PIECE and (got == want).all() and (short == model.decode([texts[0]])[0]).all()
+    assert [len(p) for p in model.decode(["", "a", "x" * (code_language.PIECE + 1)])] == [0, 1, code_language.PIECE + 1]
+
+
+def test_sample_has_the_least_hashes(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(code_language.Model, "fit", classmethod(lambda cls, texts: seen.append(texts)))
+    code_language.fit_model(_modules(spark, "sf0.1"), 50)
+    code_language.fit_model(_modules(spark, "sf0.1").repartition(40), 50)
+    code_language.fit_model(_modules(spark, "sf0.1").filter("false"), 50)
+    assert len(seen[0]) == 50 and seen[0] == seen[1] and seen[2] == []
+
+
 def test_language_of_sentences(spark):
     text = "\r\n".join([
         "Sub A()", "' Bitte hier nichts ändern, weil die Prüfwerte sonst nicht mehr passen.", "x = 1 ' zu kurz", 'MsgBox "文件无法保存，所以库存数量将重新读取。"',
