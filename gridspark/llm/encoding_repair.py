@@ -4,16 +4,20 @@
 their twins: words that are equal once everything outside ASCII is stripped. Every twin without
 lost characters may be the clean one. (2) Character alignment of a word with each such twin infers
 the transformation: which encoding was read as which, or which characters were lost. Where one
-byte was read as another, both directions may align: signs of damage decide, then what the other
-pairs say of the transformation, and the number of module families (copies count once) only if
-both are silent. Garbled words vote for their transformation. (3) The transformations
+byte was read as another, both directions may align: hard signs of damage decide (among them a
+Cyrillic letter or two within a Latin word), then a number of module families (copies count once)
+that is ``USUAL`` times the other's, then what the other pairs say of the transformation, and the
+plain number of families only if all are silent. Garbled words vote for their transformation. (3) The transformations
 learned that way are applied to the remaining records, those without a twin (scripts that
 leave nothing when stripped, rare words): the inverse is accepted if the restored characters
 are much more usual between their neighbours, by counts over the whole corpus. A transformation
 without votes stays possible but must win by a wider margin.
 
-Code that names garbled sequences in order to repair them is exempt: short literals of
-non-ASCII characters only that stand alone in a search or beside another such literal.
+Code that names garbled sequences in order to repair them is exempt: a literal of non-ASCII
+characters only in a call that searches, replaces or repairs, and a literal beside another one on
+its line of which one is the other misread.
+
+Units of text are judged once however often they occur, and joined with their places at the end.
 
 Sizes: votes are bounded by the pairs of encodings, character counts by the characters of
 Unicode times a dozen classes of neighbours; both come to the driver and are broadcast. Words,
@@ -49,10 +53,14 @@ PAIRS = tuple((w, r) for w in WRITTEN for r in READ if w != r and not (r in ("gb
 LOST = "lost"
 #: Of two opposite transformations one is believed if its pairs, less one, outnumber those of the other so many times.
 SURELY = 4
+#: Of two forms without a sign of loss the one that so many times as many families hold is the clean one.
+USUAL = 8
 UNITS = "module_id bigint, field string, unit string, family string"
 _NON_ASCII = re.compile(r"[^\x00-\x7f]")
 _WORD = re.compile(r"[A-Za-z?\u0080-\U0010ffff]*[^\x00-\x7f][A-Za-z?\u0080-\U0010ffff]*|[A-Za-z]*(?:(?<=[A-Za-z])\?+(?=[A-Za-z])|(?<![^\s\"'(])\?+(?=[a-z]{2}))[A-Za-z?]+")
 _CYRILLIC = re.compile(r"[\u0400-\u052f]")
+_CYRILLIC_RUN = re.compile(r"[\u0400-\u052f]+")
+_LATIN = re.compile(r"[A-Za-z\u00c0-\u024f]")
 _LETTERS = re.compile(r"[A-Za-z]+")
 _GAP = re.compile(r"[^A-Za-z]+")
 _LOST_SIGN = re.compile("[?\ufffd]")
@@ -172,6 +180,9 @@ def oddness(word: str) -> tuple[int, int, int]:
     """Signs that stand in no written word (characters lost, drawing signs, signs within letters), those that stand
     in few, and capitals inside a small word: one of these may begin a part of a name, ``modÜbersicht``."""
     hard = weak = capitals = 0
+    for m in _CYRILLIC_RUN.finditer(word):  # a letter or two among Latin ones; a longer run is a word with a prefix
+        if len(m[0]) < 3 and (_LATIN.match(word[m.start() - 1 : m.start()]) or _LATIN.match(word[m.end() : m.end() + 1])):
+            hard += len(m[0])
     for k, c in enumerate(word):
         if c < "\x80" and c != "?":
             continue
@@ -219,6 +230,10 @@ class Judge:
 
     def __init__(self, counts: dict[str, int], votes: dict[str, int], least_votes: int = 2):
         self.counts, self.least_votes, self.learned = counts, least_votes, {t for t, n in votes.items() if n >= least_votes}
+        self.alone: Counter = Counter()
+        for f, n in counts.items():
+            if f[0] == "<":
+                self.alone[f[-1]] += n
 
     def with_votes(self, transformations) -> Judge:
         out = Judge(self.counts, {}, self.least_votes)
@@ -226,6 +241,8 @@ class Judge:
         return out
 
     def usual(self, text: str) -> float:
+        if len(text) < 4 and not re.search(r"[\x00-\x7f]", text):  # a sign or two by themselves have no neighbours to tell by
+            return sum(math.log(self.alone.get(c, 0) + 0.3) for c in text) / len(text) if text else 9.0
         fs = features(text)
         return sum(math.log(self.counts.get(f, 0) + 0.3) for f in fs) / len(fs) if fs else 9.0
 
@@ -269,12 +286,12 @@ class Judge:
             if pair[0] not in MULTIBYTE or f"{pair[0]}>{pair[1]}" not in self.learned:
                 continue
             after = reread(unit, pair, "replace")
-            if not after or len(_NON_ASCII.findall(after)) < 4:
-                continue
-            if after.count("�") * 4 > len(_NON_ASCII.findall(after)):
+            n = len(_NON_ASCII.findall(after or ""))
+            if not n or after.count("�") * 4 > n:
                 continue
             gain = self.usual(after.replace("�", "")) - before
-            if gain >= 2.5 and (best is None or gain > best[0]):
+            # the fewer characters, the more each must gain
+            if gain >= 2.5 and gain * n >= 10 and (best is None or gain > best[0]):
                 best = (gain, after, f"{pair[0]}>{pair[1]}")
         return best and best[1:]
 
@@ -309,16 +326,17 @@ def _code_units(text: str, a: int, b: int) -> list[tuple[int, int]]:
 
 
 def _exempt(text: str, segs: list, k: int) -> bool:
-    """A literal that names a sequence: short, nothing but non-ASCII, and used to search or replace."""
-    bare = lambda s: s.kind == "literal" and 0 < s.end - s.start <= 6 and not re.search(r"[\x00-\x7f]", text[s.start : s.end])
-    if not bare(segs[k]):
-        return False
+    """A literal that names a sequence in order to search or replace it, or stands beside what it is misread as."""
+    own = text[segs[k].start : segs[k].end]
     line = text.rfind("\n", 0, segs[k].start) + 1
-    if _REPAIR.search(text, line, segs[k].start):
+    if not re.search(r"[\x00-\x7f]", own) and _REPAIR.search(text, line, segs[k].start):
         return True
-    return segs[k].end - segs[k].start <= 3 or any(
-        0 <= j < len(segs) and bare(segs[j]) and "\n" not in text[min(segs[k].end, segs[j].end) : max(segs[k].start, segs[j].start)] for j in (k - 1, k + 1)
-    )
+    for j in (k - 1, k + 1):
+        if 0 <= j < len(segs) and segs[j].kind == "literal" and "\n" not in text[min(segs[k].end, segs[j].end) : max(segs[k].start, segs[j].start)]:
+            other = text[segs[j].start : segs[j].end]
+            if own and other and (own in misreadings(other) or other in misreadings(own)):
+                return True
+    return False
 
 
 def _fields(modules: DataFrame) -> DataFrame:
@@ -347,17 +365,17 @@ def field_units(modules: DataFrame) -> DataFrame:
     return spread(_fields(modules)).mapInArrow(run, UNITS)
 
 
-def _exploded(own: DataFrame, column: str, of, *keys: str) -> DataFrame:
-    """The keys and ``<column>``: the distinct strings that ``of`` finds in a unit."""
-    schema = pa.schema([(c, pa.int64() if c == "module_id" else pa.string()) for c in (*keys, column)])
+def _exploded(own: DataFrame, column: str, of, key: str) -> DataFrame:
+    """The key and ``<column>``: the distinct strings that ``of`` finds in a unit."""
+    schema = pa.schema([(key, pa.string()), (column, pa.string())])
 
     def run(batches):
         for batch in batches:
-            rows = {(*r[:-1], x) for r in zip(*(c.to_pylist() for c in batch.columns)) for x in of(r[-1])}
+            rows = {(k, x) for k, unit in zip(*(c.to_pylist() for c in batch.columns)) for x in of(unit)}
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], schema=schema)
 
-    return own.select(*keys, "unit").mapInArrow(run, ", ".join(f"{f.name} {'bigint' if f.name == 'module_id' else 'string'}" for f in schema))
+    return own.select(F.col(key), F.col("unit").alias("_unit")).mapInArrow(run, f"{key} string, {column} string")
 
 
 def words_of(unit: str) -> list[str]:
@@ -446,9 +464,12 @@ def _short_pairs(counted: DataFrame) -> DataFrame:
     return forms.join(short.select("word"), "word")
 
 
-def twin_words(own: DataFrame) -> DataFrame:
-    """``word, clean, transformation``: the garbled words of the units, each with the best of the clean twins it aligns with."""
-    words = _exploded(own, "word", words_of, "family").distinct()
+def twin_words(known: DataFrame) -> DataFrame:
+    """``word, clean, transformation``: the garbled words of the units, each with the best of the clean twins it aligns with.
+
+    ``known`` (family, unit) has every unit once for a family of copies.
+    """
+    words = _exploded(known, "word", words_of, "family").distinct()
     counted = cut(words.groupBy("word").agg(F.count("*").alias("n")))
     pairs = cut(_aligned_pairs(counted))
     # what damage says of a transformation over all its pairs; at most one row for a pair of encodings
@@ -458,7 +479,7 @@ def twin_words(own: DataFrame) -> DataFrame:
         .join(F.broadcast(known.select(F.col("transformation").alias("back"), F.col("known").alias("back_known"))), "back", "left")
         .fillna(0, ["known", "back_known"])
         .withColumn("learned", F.expr(f"case when known > {SURELY} * back_known + 1 then 1 when back_known > {SURELY} * known + 1 then -1 else 0 end"))
-        .withColumn("side", F.expr("case when hard <> 0 then hard when learned <> 0 then learned when weak <> 0 then weak else sign(clean_n - n) end"))
+        .withColumn("side", F.expr(f"case when hard <> 0 then hard when n >= {USUAL} * clean_n then -1 when clean_n >= {USUAL} * n then 1 when learned <> 0 then learned when weak <> 0 then weak else sign(clean_n - n) end"))
         .filter("not one_byte or side > 0")
         .select("word", "clean", "transformation", "clean_n", "odd")
     )
@@ -474,14 +495,17 @@ def twin_words(own: DataFrame) -> DataFrame:
     )
 
 
-def judge_of(own: DataFrame, twins: DataFrame) -> Judge:
-    """Character counts over the units, once for a family of copies, and the votes of the twins."""
+def judge_of(weighed: DataFrame, twins: DataFrame) -> Judge:
+    """Character counts over the units (unit, families), once for a family of copies, and the votes of the twins."""
     def count(batches):
         for batch in batches:
-            c = Counter(f for u in batch.column(0).to_pylist() for f in set(features(u)))
+            c: Counter = Counter()
+            for unit, n in zip(*(batch.column(k).to_pylist() for k in range(2))):
+                for f in set(features(unit)):
+                    c[f] += n
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=["feature", "n"])
 
-    counts = own.select("family", "unit").distinct().select("unit").mapInArrow(count, "feature string, n bigint").groupBy("feature").agg(F.sum("n").alias("n"))
+    counts = weighed.select("unit", "families").mapInArrow(count, "feature string, n bigint").groupBy("feature").agg(F.sum("n").alias("n"))
     votes = twins.filter(F.col("transformation") != LOST).groupBy("transformation").agg(F.count("*").alias("n"))
     return Judge({r.feature: r.n for r in counts.toLocalIterator()}, {r.transformation: r.n for r in votes.collect()})
 
@@ -492,51 +516,47 @@ def garbled_units(modules: DataFrame) -> DataFrame:
     ``evidence`` is 'twin', 'learned' or 'lost'; ``restored`` is null where nothing can be restored.
     """
     own = cut(field_units(modules))
-    words = _exploded(own, "word", words_of, "module_id", "field")
-    twins = cut(twin_words(own))
+    known = own.select("family", "unit").distinct()
+    weighed = cut(known.groupBy("unit").agg(F.count("*").alias("families")))
+    twins = cut(twin_words(known))
     context = own.sparkSession.sparkContext
-    first = judge_of(own, twins)
-    schema = pa.schema([
-        ("module_id", pa.int64()), ("field", pa.string()), ("unit", pa.string()), ("restored", pa.string()), ("transformation", pa.string()), ("evidence", pa.string()),
-    ])
+    first = judge_of(weighed, twins)
+    schema = pa.schema([("unit", pa.string()), ("families", pa.int64()), ("restored", pa.string()), ("transformation", pa.string()), ("evidence", pa.string())])
 
     def run(judge):
         def judged(batches):
-            held: dict[str, tuple[str, str] | None] = {}
             for batch in batches:
                 rows = []
-                for i, f, u in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                for u, n in zip(*(batch.column(k).to_pylist() for k in range(2))):
                     if u.isascii():
                         continue
-                    if u not in held:
-                        if len(held) > 200_000:
-                            held.clear()
-                        held[u] = judge.value.restore(u)
-                    got = held[u]
-                    if got:
-                        rows.append((i, f, u, got[0], got[1], "learned"))
+                    if got := judge.value.restore(u):
+                        rows.append((u, n, got[0], got[1], "learned"))
                     elif "�" in u:
-                        rows.append((i, f, u, None, LOST, "lost"))
+                        rows.append((u, n, None, LOST, "lost"))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*rows), schema)], schema=schema)
 
         return judged
 
-    shape = "module_id bigint, field string, unit string, restored string, transformation string, evidence string"
+    shape = "unit string, families bigint, restored string, transformation string, evidence string"
     # one pass over everything with all margins low leaves the few units that any judge could take
     easy = context.broadcast(first.with_votes(f"{a}>{b}" for a, b in PAIRS))
-    suspects = cut(own.mapInArrow(run(easy), shape).select("module_id", "field", "unit"))
+    suspects = cut(spread(weighed).mapInArrow(run(easy), shape).select("unit", "families"))
     # scripts that leave no skeleton have no twins: what wins by the wide margin there votes for the rest
     # these are judged by what is usual in the other units, however many of them there are
-    others = judge_of(own.join(suspects.select("unit").distinct(), "unit", "left_anti"), twins)
-    sure = suspects.mapInArrow(run(context.broadcast(others)), shape).filter("evidence = 'learned'").select("unit", "transformation").distinct()
+    others = judge_of(weighed.join(suspects.select("unit"), "unit", "left_anti"), twins)
+    sure = suspects.mapInArrow(run(context.broadcast(others)), shape).filter("evidence = 'learned'").select("unit", "transformation")
     seconds = sure.groupBy("transformation").agg(F.count("*").alias("n")).filter(F.col("n") >= first.least_votes).collect()
     judge = context.broadcast(others.with_votes(r.transformation for r in seconds))
-    learned = suspects.mapInArrow(run(judge), shape)
-    by_twin = words.join(twins, "word").select(
-        "module_id", "field", F.col("word").alias("unit"), F.col("clean").alias("restored"), "transformation", F.lit("twin").alias("evidence")
+    learned = suspects.mapInArrow(run(judge), shape).select("unit", F.col("unit").alias("place"), "restored", "transformation", "evidence")
+    by_twin = _exploded(weighed, "word", words_of, "unit").join(twins, "word").select(
+        "unit", F.col("word").alias("place"), F.col("clean").alias("restored"), "transformation", F.lit("twin").alias("evidence")
+    )
+    return (
+        own.select("module_id", "field", "unit").join(by_twin.unionByName(learned), "unit")
+        .select("module_id", "field", F.col("place").alias("unit"), "restored", "transformation", "evidence").distinct()
     )
-    return by_twin.unionByName(learned).distinct()
 
 
 def restore_fields(modules: DataFrame, garbled: DataFrame) -> DataFrame:

@@ -262,6 +262,47 @@ def test_planted_garbling_is_found(spark):
     assert sum(restored[i] == right for i, (_, right) in planted.items()) >= 0.9 * len(planted)
 
 
+def test_every_pair_of_encodings_is_found(spark):
+    """Held out: texts and names of clean modules misread in every pair of encodings that can write them."""
+    modules = _modules(spark, "sf0.1").select("module_id", "name", "vba_source_text")
+    bad = {r.module_id for r in encoding_repair.garbled_units(modules).select("module_id").distinct().collect()}
+    rows = [r for r in modules.dropDuplicates(["module_id"]).orderBy("module_id").collect() if r.vba_source_text and r.module_id not in bad]
+    rows = [rows[k * 2003 % len(rows)] for k in range(len(rows))] if len(rows) % 2003 else rows
+    used, truth, wrong = set(), {}, []
+    for pair in encoding_repair.PAIRS:
+        for field in ("vba_source_text", "name"):
+            n = 0
+            for r in rows:
+                if n == 3:
+                    break
+                if r.module_id in used or r[field].isascii():
+                    continue
+                form = encoding_repair.misread(r[field], pair)
+                if form and form != r[field] and "\ufffd" not in form:
+                    used.add(r.module_id)
+                    n += 1
+                    truth[r.module_id, field] = r[field]
+                    wrong.append((r.module_id, form if field == "name" else r.name, r.vba_source_text if field == "name" else form))
+    clean = [tuple(r) for r in rows if r.module_id not in used]
+    df = spark.createDataFrame(wrong + clean, modules.schema).repartition(16)
+    garbled = encoding_repair.garbled_units(df)
+    got = {(r.module_id, r.field) for r in garbled.select("module_id", "field").distinct().collect()}
+    restored = {(r.module_id, r.field): r.restored_text for r in encoding_repair.restore_fields(df, garbled).collect()}
+    for field, least, right in (("vba_source_text", 0.98, 0.8), ("name", 0.93, 0.85)):
+        own = [k for k in truth if k[1] == field]
+        assert len(own) > 200 and sum(k in got for k in own) >= least * len(own)
+        assert sum(restored.get(k) == truth[k] for k in own) >= right * len(own)
+    assert len(got - truth.keys()) <= 0.01 * len(clean)
+
+
+def test_code_that_repairs_is_no_case(spark):
+    repair = ['s = Replace(s, "Ã¼", "ü")', 'x = Array("PrÃ¼fung", "Prüfung")', 'If InStr(s, "Ð") > 0 Then Stop', 's = FixText(s, "Ã¶Ã¤Ã¼", "öäü")']
+    cases = ['x = "Ã¼"', 'x = "PrÃ¼fung"', 'y = Array("PrÃ¼fung", "Sonne")']
+    clean = [f"' Die Prüfung {k} über die schönen Bäume für später" for k in range(12)]
+    df = _frame(spark, cases + repair + clean)
+    assert {r.module_id for r in encoding_repair.garbled_units(df).collect()} == set(range(len(cases)))
+
+
 def test_languages_held_out(spark):
     rows = [r.vba_source_text for r in _modules(spark, "sf0.1").filter("module_id % 7 = 3").select("vba_source_text").distinct().collect() if r.vba_source_text]
     model = code_language.fit_model(_modules(spark, "sf0.01"))
