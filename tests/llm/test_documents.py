@@ -65,7 +65,25 @@ def test_packing(spark):
         own.sort()
         assert sum(n for _, n in own) == sizes[d]
         assert len(own) == 1 or sizes[d] > 2048 and all(n == 2048 for _, n in own[:-1])
-    assert len(fill) <= 1.01 * sum(sizes.values()) / 2048 + 1
+    rest = [n % 2048 for n in sizes.values()]
+    least = sum(n // 2048 for n in sizes.values()) + -(-sum(rest) // 2048)
+    assert len(fill) == least  # no packing has fewer
+    blocks = packing.pack_documents(docs, block=250).groupBy("container").sum("n_tokens").collect()
+    assert len(blocks) <= least + 1 and sum(r[1] for r in blocks) == sum(sizes.values()) and max(r[1] for r in blocks) <= 2048
+
+
+def test_evolution_beats_best_fit():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    size = np.clip(rng.lognormal(6, 0.6, 3000), 20, 2000).astype(int).tolist()
+    founders = packing.evolve(size, [], 2048, np.random.default_rng(2), 20, 0)
+    out = packing.evolve(size, founders, 2048, np.random.default_rng(3), 20, 25)
+    least = packing.least_bins(size, 2048)
+    assert len(out[0]) == least < len(founders[0])
+    odd = [500, 700] * 40 + [0] * 5  # no set fills a container: nothing to gain, nothing lost
+    out = packing.evolve(odd, [], 2048, np.random.default_rng(3), 20, 25)
+    assert sorted(i for b in out[0] for i in b) == list(range(85)) and all(sum(odd[i] for i in b) <= 2048 for b in out[0])
 
 
 def test_evolution_never_loses_an_item_and_never_gets_worse():
