@@ -2,8 +2,11 @@
 
 Every value of a record becomes a node: ``node`` (its number in document order), ``parent``,
 ``label`` (the key it stands under), ``ordinal`` (its position in a list, else 0), ``kind`` and
-``scalar``. A list is no node of its own: its elements stand under the list's key. Entity
-tables come from joining the object nodes of one label with their scalar children, pivoted.
+``scalar``. A list is no node of its own: its elements stand under the list's key. Beside them
+stand the label and ordinal of the parent (``up``) and of the parent's parent (``top``), so the
+links between entities are a selection. Entity tables come from joining the object nodes of one
+label with their scalar children, pivoted: both sides come from one reading of the records and
+meet in one aggregate by object.
 
 Deliveries differ in shape; the shredder evens that out. A lone value in place of a list is
 a list of one; JSON text in place of an object or list stands for what it holds; null elements
@@ -24,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-NODES = "src string, rec_id bigint, variant bigint, node int, parent int, label string, ordinal int, kind string, scalar string"
+NODES = "src string, rec_id bigint, variant bigint, node int, parent int, label string, ordinal int, kind string, scalar string, up string, up_pos int, top string, top_pos int"
 KEY = ["src", "rec_id", "variant"]
 #: Keys whose value is a list.
 LISTS = frozenset((
@@ -121,8 +124,8 @@ def _scalar(value: object) -> str | None:
     return value if isinstance(value, str) else json.dumps(value)
 
 
-def shred(payload: str | None) -> list[tuple[int, int, str, int, str, str | None]]:
-    """``node, parent, label, ordinal, kind, scalar`` of one record; its root is node 0."""
+def shred(payload: str | None) -> list[tuple]:
+    """``node, parent, label, ordinal, kind, scalar, up, up_pos, top, top_pos`` of one record; its root is node 0."""
     try:
         root = _text(_loads(payload)) if payload else None
     except ValueError:
@@ -134,7 +137,9 @@ def shred(payload: str | None) -> list[tuple[int, int, str, int, str, str | None
     while todo:  # a stack, not recursion: depth is the data's
         parent, label, ordinal, value = todo.pop()
         node = len(rows)
-        rows.append((node, parent, label, ordinal, _kind(value), _scalar(value)))
+        up = rows[parent] if parent >= 0 else None
+        top = rows[up[1]] if up and up[1] >= 0 else None
+        rows.append((node, parent, label, ordinal, _kind(value), _scalar(value), *(up[2:4] if up else (None, None)), *(top[2:4] if top else (None, None))))
         if not isinstance(value, dict):
             continue
         children = []
@@ -161,6 +166,7 @@ def nodes(records: DataFrame) -> DataFrame:
     schema = pa.schema([
         ("src", pa.string()), ("rec_id", pa.int64()), ("variant", pa.int64()), ("node", pa.int32()), ("parent", pa.int32()),
         ("label", pa.string()), ("ordinal", pa.int32()), ("kind", pa.string()), ("scalar", pa.string()),
+        ("up", pa.string()), ("up_pos", pa.int32()), ("top", pa.string()), ("top_pos", pa.int32()),
     ])
 
     def run(batches):
@@ -204,17 +210,9 @@ def workbook_records(auto_filters: DataFrame, pivot_tables: DataFrame, raw_recor
     )
 
 
-def children(tree: DataFrame) -> DataFrame:
-    """The related table of all children: ``src, rec_id, variant, child, parent_pos, pos, node, kind, scalar``.
-
-    The adjacency table is joined to itself, child to parent and parent to grandparent.
-    """
-    # only objects have children, and only these labels have any that are entities
-    inner = tree.filter((F.col("kind") == "object") & F.col("label").isin("", *OBJECTS))
-    up = inner.select(*KEY, F.col("node").alias("parent"), F.col("parent").alias("above"), F.col("label").alias("up"), F.col("ordinal").alias("up_pos"))
-    over = inner.select(*KEY, F.col("node").alias("above"), F.col("label").alias("top"), F.col("ordinal").alias("top_pos"))
-    linked = tree.filter((F.col("parent") >= 0) & F.col("label").isin(*LISTS, *OBJECTS)).join(up, [*KEY, "parent"]).join(over, [*KEY, "above"], "left")
-    label, at_root, under_column = F.col("label"), F.col("above") == -1, F.col("up") == "columns"
+def _linked(tree: DataFrame) -> DataFrame:
+    """The adjacency table with ``child`` (null where a node is no entity), ``parent_pos`` and ``pos``."""
+    label, at_root, under_column = F.col("label"), F.col("parent") == 0, F.col("up") == "columns"
     entity = F.col("kind") == "object"
     named = (
         F.when(at_root & entity & (label == "columns"), "column")
@@ -235,23 +233,32 @@ def children(tree: DataFrame) -> DataFrame:
         .otherwise(F.col("up_pos"))
     )
     pos = F.when(F.col("child").isin("location", "rfx_geom"), 0).otherwise(F.col("ordinal"))
-    return (
-        linked.withColumn("child", named)
-        .filter("child is not null")
-        .select(*KEY, "child", parent_pos.cast("int").alias("parent_pos"), pos.cast("int").alias("pos"), "node", "kind", "scalar")
-    )
+    return tree.withColumn("child", named).withColumn("parent_pos", parent_pos.cast("int")).withColumn("pos", pos.cast("int"))
+
 
+def children(tree: DataFrame) -> DataFrame:
+    """The related table of all children: ``src, rec_id, variant, child, parent_pos, pos, node, kind, scalar``.
+
+    A selection of the adjacency table: no join and no exchange.
+    """
+    return _linked(tree).filter("child is not null").select(*KEY, "child", "parent_pos", "pos", "node", "kind", "scalar")
 
-def entities(tree: DataFrame, links: DataFrame, child: str, fields: dict[str, str]) -> DataFrame:
+
+def entities(tree: DataFrame, child: str, fields: dict[str, str]) -> DataFrame:
     """One row per object node of ``child``, its scalar children pivoted into typed columns.
 
-    ``fields`` maps a key of the object to a type; values of another type become null.
+    ``fields`` maps a key of the object to a type; values of another type become null. Objects and
+    scalars meet by the object's node in one aggregate, so the records are read once.
     """
-    own = links.filter(F.col("child") == child).select(*KEY, "parent_pos", "pos", "node")
-    scalars = tree.filter(F.col("label").isin(*fields) & (F.col("kind") != "object")).select(*KEY, F.col("parent").alias("node"), "label", "kind", "scalar")
-    value = lambda name, kind: F.first(F.when(F.col("label") == name, _typed(F.col("scalar"), F.col("kind"), kind)), True).alias(name)
-    pivoted = scalars.groupBy(*KEY, "node").agg(*(value(n, k) for n, k in fields.items()))
-    return own.join(pivoted, [*KEY, "node"], "left").select("src", "rec_id", "parent_pos", "pos", *fields).distinct()
+    own = (F.col("kind") == "object") & F.coalesce(F.col("child") == child, F.lit(False))
+    part = F.col("label").isin(*fields) & (F.col("kind") != "object")
+    rows = _linked(tree).withColumn("own", own).filter(own | part)
+    value = lambda name, kind: F.first(F.when(~F.col("own") & (F.col("label") == name), _typed(F.col("scalar"), F.col("kind"), kind)), True).alias(name)
+    return (
+        rows.groupBy(*KEY, F.when(F.col("own"), F.col("node")).otherwise(F.col("parent")).alias("object"))
+        .agg(F.max("own").alias("own"), *(F.first(F.when(F.col("own"), F.col(c)), True).alias(c) for c in ("parent_pos", "pos")), *(value(n, k) for n, k in fields.items()))
+        .filter("own").select("src", "rec_id", "parent_pos", "pos", *fields).distinct()
+    )
 
 
 def _typed(scalar: Column, kind: Column, wanted: str) -> Column:

@@ -35,7 +35,7 @@ def test_empty_table_and_deep_payload(spark):
 def test_entities_join_their_scalars(spark):
     payload = json.dumps({"data_fields": [{"name": "a", "fld": 1}, {"name": None, "fld": "x"}]})
     tree = shred.nodes(spark.createDataFrame([("s", 1, payload)], "src string, rec_id bigint, payload string"))
-    rows = shred.entities(tree, shred.children(tree), "data_field", {"name": "string", "fld": "int"}).orderBy("pos").collect()
+    rows = shred.entities(tree, "data_field", {"name": "string", "fld": "int"}).orderBy("pos").collect()
     assert [tuple(r) for r in rows] == [("s", 1, -1, 0, "a", 1), ("s", 1, -1, 1, None, None)]
 
 
