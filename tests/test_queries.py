@@ -1,6 +1,7 @@
 import duckdb
 import pytest
 
+from gridspark import literal_queries, workbook_queries  # noqa: F401
 from gridspark.operators import evaluate
 from gridspark.queries import ORACLES, QUERIES
 
