@@ -5,7 +5,8 @@ records is addressed without numbering them. 64 consecutive rows of one column s
 word; a term's bitmap is the set of its non-zero words, each with a parallel counter of
 calls. Words merge by bitwise or, and the document frequency is the sum of their
 cardinalities. Everything is a hash aggregate on longs; the formulas themselves are moved
-once, partitioned by word, and the word aggregate needs no second exchange.
+once, partitioned by word, and the word aggregate needs no second exchange. The vocabulary is
+written once and read for the total and for the marks.
 
 Defined results: of the rows of one cell the one with the highest ``seq`` counts (ties: the
 greatest formula); null coordinates form a coordinate of their own; a null formula and a
@@ -15,17 +16,17 @@ the ones named here are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 #: Quoted text, quoted sheet names, bracketed references (nested once); read left to right.
 HIDDEN = r"""("(?:[^"]|"")*"|'(?:[^']|'')*'|\[(?:[^\[\]]|\[[^\[\]]*\])*\])"""
 NAME = r"([\p{L}\p{M}\p{N}_.]+)\("
 PREFIX = r"^(?:@|_XLFN\.|_XLWS\.|_XLUDF\.)+"
 PARSE_ERROR = "=<parse_error:"
 WORD = 64
-#: The total is spread over so many groups, so that no vocabulary passes through one task.
-GROUPS = 64
 
 
 def called_names(formula: Column) -> Column:
@@ -60,24 +61,12 @@ def term_frequency(formulas: DataFrame, rare_below: int = 3, common_above: float
         .groupBy(*word, "term")
         .agg(F.bit_or("bit").alias("bits"), F.count("*").alias("calls"))
     )
-    terms = words.groupBy("term").agg(
-        F.sum("calls").alias("n_calls"), F.sum(F.bit_count("bits").cast("bigint")).alias("n_records")
-    )
-    grouped = terms.withColumn(
-        "grp",
-        F.explode(
-            F.when(F.col("term") == "", F.sequence(F.lit(0), F.lit(GROUPS - 1)))
-            .otherwise(F.array(F.pmod(F.hash("term"), F.lit(GROUPS))))
-        ),
-    )
-    total = F.max(F.when(F.col("term") == "", F.col("n_records"))).over(Window.partitionBy("grp"))
+    # the vocabulary, written once: its empty term, which every record holds, has the total
+    terms = cut(words.groupBy("term").agg(F.sum("calls").alias("n_calls"), F.sum(F.bit_count("bits").cast("bigint")).alias("n_records")))
+    total = terms.filter("term = ''").select(F.max("n_records")).scalar()
     mark = (
         F.when(F.col("n_records") < rare_below, "rare")
         .when(F.col("n_records") > F.col("total_records") * common_above, "common")
         .otherwise("kept")
     )
-    return (
-        grouped.withColumn("total_records", total)
-        .filter(F.col("term") != "")
-        .select("term", "n_calls", "n_records", "total_records", mark.alias("mark"))
-    )
+    return terms.filter("term <> ''").withColumn("total_records", total).select("term", "n_calls", "n_records", "total_records", mark.alias("mark"))
