@@ -9,8 +9,8 @@ pairs are checked on the shingle sets themselves, so the result is exact up to t
 the bands (at similarity 0.6: 1 - (1 - 0.6**3)**32 = 0.9996).
 
 Copies of one text are collapsed before anything is paired, so a bucket holds distinct texts
-only, and each of them carries no more than an id and its sketch. A pair is judged inside the
-join: what the sketches rule out is never written. Buckets that grow large are split over
+only, and each of them carries no more than an id into it. The pairs of ids, once each, then meet
+the two sketches, and what these rule out goes no further. Buckets that grow large are split over
 tasks by the adaptive skew join, which needs no key of their own.
 
 Defined results: rows without an id, null and empty texts and texts under ``least_words``
@@ -106,16 +106,21 @@ def similar_representatives(light: DataFrame, sets: DataFrame, threshold: float)
     ``light`` has the band keys and sketches of one text of each kind, ``sets`` (id, shingles)
     the shingles of all: these move only to meet the pairs that passed.
     """
-    words = [f"s{k}" for k in range(SKETCH_LONGS)]
-    light = light.select("id", *(F.col("sketch")[k].alias(w) for k, w in enumerate(words)), F.explode("bands").alias("key"))
-    a, b = light.alias("a"), light.alias("b")
-    differing = sum((F.bit_count(F.col(f"a.{w}").bitwiseXOR(F.col(f"b.{w}"))) for w in words), F.lit(0))
-    pairs = (
+    keys = light.select("id", F.explode("bands").alias("key"))
+    a, b = keys.alias("a"), keys.alias("b")
+    met = (
         a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")))
-        .filter(differing <= most_differing_bits(threshold))
         .select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
         .distinct()
     )
+    differing = sum((F.bit_count(F.col("sketch_a")[k].bitwiseXOR(F.col("sketch_b")[k])) for k in range(SKETCH_LONGS)), F.lit(0))
+    sketches = light.select("id", "sketch")
+    pairs = (
+        met.join(sketches.withColumnsRenamed({"id": "b", "sketch": "sketch_b"}), "b")
+        .join(sketches.withColumnsRenamed({"id": "a", "sketch": "sketch_a"}), "a")
+        .filter(differing <= most_differing_bits(threshold))
+        .select("a", "b")
+    )
     both = (
         pairs.join(sets.withColumnsRenamed({"id": "b", "shingles": "set_b"}), "b")
         .join(sets.withColumnsRenamed({"id": "a", "shingles": "set_a"}), "a")
