@@ -6,9 +6,12 @@ is a hit, also when words at ignored positions were changed. Around each hit the
 (document position minus item position) is verified: the longest run of equal words and the
 longest overlap that tolerates substitutions.
 
-The index of the test items is a broadcast of sorted hashes. Its size is checked: items are
-taken in blocks of at most ``block_chars`` characters of test text, and each block meets all
-documents. Every document is read in full, once per block, without a shuffle.
+Test items of at most ``block_chars`` characters together are a broadcast of sorted hashes, looked
+up while the documents are read, without a shuffle. More items are hashed where they lie: a bitmap
+of fixed size (``BITMAP_BITS``) of their hashes is broadcast, document hashes that miss it are never
+written, and the others are joined with those of the items; documents and items that met are
+brought together once and verified along the diagonals found. Either way every document is read in
+full and the result is the same.
 
 Defined results: null and empty texts have no words; a repeated row gives the same row once;
 items with equal texts are reported each; other columns are ignored.
@@ -16,20 +19,20 @@ items with equal texts are reported each; other columns are ignored.
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..session import spread
-from .tokens import WORD, mix
+from .tokens import WORD, WordHash, mix
 
 #: Selected positions of a window. No span is over 13 words, so an exact run of 13 always hits.
 MASKS = ((0, 1, 2, 4, 7, 8, 10), (0, 2, 3, 6, 7, 9, 12), (0, 1, 5, 6, 8, 11, 12))
 MASKS_SPAN = 13
-#: Words hashed at once.
+#: Words hashed at once, and bits of the bitmap of item hashes.
 CHUNK_WORDS = 400_000
+BITMAP_BITS = 1 << 26
 OVERLAPS = "doc_id bigint, item_id int, exact_run int, overlap_words int, substitutions int, share double, doc_word int, item_word int"
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
@@ -131,23 +134,82 @@ def overlaps(index: Index, docs: list[tuple[int, np.ndarray]], least: int, gap:
     for d, k, diagonal in index.hits(joined, starts):
         (doc, ids), (item, own) = docs[d], index.items[k]
         got = verify(ids, own, diagonal, gap)
-        key = (got[0], got[1], -got[3])
+        key = (got[0], got[1], -got[3], -got[4])
         if max(got[0], got[1]) >= least and ((d, k) not in best or key > best[d, k][0]):
             best[d, k] = (key, (doc, item, got[0], got[1], got[2], got[1] / len(own), got[3], got[4]))
     return [row for _, row in best.values()]
 
 
-def _blocks(items: DataFrame, block_chars: int):
-    """Lists of items, each of at most ``block_chars`` characters (one item at least), fetched one by one."""
-    block, size = [], 0
-    for row in items.select("item_id", "text").dropDuplicates().toLocalIterator():
-        if block and size + len(row.text or "") > block_chars:
-            yield block
-            block, size = [], 0
-        block.append((row.item_id, row.text))
-        size += len(row.text or "")
-    if block:
-        yield block
+_ROWS = pa.schema([
+    ("doc_id", pa.int64()), ("item_id", pa.int32()), ("exact_run", pa.int32()), ("overlap_words", pa.int32()), ("substitutions", pa.int32()),
+    ("share", pa.float64()), ("doc_word", pa.int32()), ("item_word", pa.int32()),
+])
+
+
+def _hashed(words_: list[str], known: WordHash) -> np.ndarray:
+    """64-bit hashes of words, as numbers that are never negative."""
+    return (known.of(words_) >> np.uint64(1)).astype(np.int64) if words_ else np.empty(0, np.int64)
+
+
+def _seed_rows(texts: DataFrame, bitmap=None) -> DataFrame:
+    """``seed, key, pos`` of every position of the texts (key, text) under every mask that the bitmap knows."""
+    schema = pa.schema([("seed", pa.int64()), ("key", pa.int64()), ("pos", pa.int32())])
+
+    def run(batches):
+        known = WordHash()
+        for batch in batches:
+            found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                ids = _hashed(words(text), known)
+                for k, mask in enumerate(MASKS):
+                    pos, h = seeds(ids, mask)
+                    h = mix(h + np.uint64(k))  # hashes of different masks never meet
+                    if bitmap is not None and len(h):
+                        at = h & np.uint64(BITMAP_BITS - 1)
+                        hit = (bitmap.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+                        pos, h = pos[hit], h[hit]
+                    found.append((h.view(np.int64), np.full(len(h), key, np.int64), pos.astype(np.int32)))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], schema=schema)
+
+    return texts.select("key", "text").mapInArrow(run, "seed bigint, key bigint, pos int")
+
+
+def _by_join(documents: DataFrame, items: DataFrame, least: int, gap: int) -> DataFrame:
+    """The same result by a join of hashes, for any number of items."""
+    docs = spread(documents.select("doc_id", "text").filter("text is not null")).withColumn("key", F.xxhash64("doc_id", "text"))
+    tests = items.select("item_id", "text").filter("text is not null").distinct().withColumn("key", F.xxhash64("item_id", "text"))
+    theirs = _seed_rows(tests)
+    low = F.col("seed").bitwiseAND(BITMAP_BITS - 1)
+    # at most BITMAP_BITS / 64 rows, whatever the items
+    held = theirs.groupBy(F.shiftright(low, 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(seed & 63 AS INT))")).alias("bits")).toPandas()
+    bitmap = np.zeros(BITMAP_BITS // 64, np.uint64)
+    bitmap[held["w"].to_numpy(np.int64)] = held["bits"].to_numpy(np.int64).view(np.uint64)
+    ours = _seed_rows(docs, documents.sparkSession.sparkContext.broadcast(bitmap))
+    met = (
+        ours.join(theirs.withColumnsRenamed({"key": "item_key", "pos": "item_pos"}), "seed")
+        .groupBy("key", "item_key").agg(F.collect_set(F.col("pos") - F.col("item_pos")).alias("diagonals"))
+        .join(docs.select("key", "doc_id", F.col("text").alias("doc_text")).distinct(), "key")
+        .join(tests.select(F.col("key").alias("item_key"), "item_id", F.col("text").alias("item_text")), "item_key")
+    )
+
+    def check(batches):
+        known = WordHash()
+        for batch in batches:
+            rows = []
+            for doc, item, doc_text, item_text, diagonals in zip(*(batch.column(k).to_pylist() for k in range(5))):
+                ids, own = _hashed(words(doc_text), known), _hashed(words(item_text), known)
+                best = None
+                for diagonal in sorted(diagonals):
+                    got = verify(ids, own, diagonal, gap)
+                    if max(got[0], got[1]) >= least and (best is None or (got[0], got[1], -got[3], -got[4]) > (best[0], best[1], -best[3], -best[4])):
+                        best = got
+                if best:
+                    rows.append((doc, item, best[0], best[1], best[2], best[1] / len(own), best[3], best[4]))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ROWS)], schema=_ROWS)
+
+    return met.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("item_id").cast("int").alias("item_id"), "doc_text", "item_text", "diagonals").mapInArrow(check, OVERLAPS).dropDuplicates()
 
 
 def leaked_passages(documents: DataFrame, items: DataFrame, least: int = 13, gap: int = 4, block_chars: int = 4_000_000) -> DataFrame:
@@ -157,10 +219,11 @@ def leaked_passages(documents: DataFrame, items: DataFrame, least: int = 13, gap
     single substitutions, ``share`` that overlap over the words of the item.
     """
     spark = documents.sparkSession
-    schema = pa.schema([
-        ("doc_id", pa.int64()), ("item_id", pa.int32()), ("exact_run", pa.int32()), ("overlap_words", pa.int32()), ("substitutions", pa.int32()),
-        ("share", pa.float64()), ("doc_word", pa.int32()), ("item_word", pa.int32()),
-    ])
+    size = items.select("item_id", "text").distinct().agg(F.sum(F.length("text"))).first()[0]
+    if not size:
+        return spark.createDataFrame([], OVERLAPS)
+    if size > block_chars:
+        return _by_join(documents, items, least, gap)
     texts = spread(documents.select("doc_id", "text").filter("text is not null"))
 
     def scan(index):
@@ -178,11 +241,9 @@ def leaked_passages(documents: DataFrame, items: DataFrame, least: int = 13, gap
                         rows += overlaps(own, held, least, gap)
                         held, n = [], 0
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ROWS)], schema=_ROWS)
 
         return run
 
-    parts = [texts.mapInArrow(scan(spark.sparkContext.broadcast(Index(block))), OVERLAPS) for block in _blocks(items, block_chars)]
-    if not parts:
-        return spark.createDataFrame([], OVERLAPS)
-    return reduce(DataFrame.unionByName, parts).dropDuplicates()
+    block = [(r.item_id, r.text) for r in items.select("item_id", "text").dropDuplicates().collect()]  # no more than block_chars
+    return texts.mapInArrow(scan(spark.sparkContext.broadcast(Index(block))), OVERLAPS).dropDuplicates()
