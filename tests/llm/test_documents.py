@@ -124,3 +124,25 @@ def test_overlap_tolerates_substitutions(spark):
     docs = spark.createDataFrame([(1, "before " + " ".join(doc)), (2, " ".join(item[:9]))], "doc_id bigint, text string")
     rows = leakage.leaked_passages(docs, spark.createDataFrame([(7, " ".join(item))], "item_id int, text string")).collect()
     assert [(r.doc_id, r.item_id, r.exact_run, r.overlap_words, r.substitutions, r.doc_word) for r in rows] == [(1, 7, 14, 40, 2, 1)]
+
+
+def test_join_of_hashes_gives_the_same(spark):
+    items = spark.read.parquet(f"{DATA}/sf0.01/eval_items.parquet")
+    docs = _docs(spark).unionByName(_docs(spark).limit(3))
+    one, many = (sorted(map(tuple, leakage.leaked_passages(docs, items, block_chars=n).collect())) for n in (4_000_000, 1))
+    assert one == many and one
+
+
+def test_changed_words_do_not_hide_a_leak(spark):
+    """Planted: 40 words of an item, of which one in five to twelve is another word."""
+    items = spark.read.parquet(f"{DATA}/sf0.01/eval_items.parquet")
+    rows, want = [], set()
+    for k, r in enumerate(items.orderBy("item_id").collect()):
+        ws = re.findall(r"[^\W_]+", r.text.lower())
+        if len(ws) >= 40:
+            step = 6 + k % 7
+            own = [f"changed{k}" if (j + 1) % step == 0 else w for j, w in enumerate(ws[:40])]
+            rows.append((k, " ".join([f"before{k}"] * 5 + own + [f"after{k}"] * 5)))
+            want.add((k, r.item_id))
+    got = {(r.doc_id, r.item_id) for r in leakage.leaked_passages(spark.createDataFrame(rows, "doc_id bigint, text string"), items).collect()}
+    assert len(want) > 30 and len(want & got) >= 0.9 * len(want)
