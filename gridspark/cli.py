@@ -13,10 +13,10 @@ def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="gridspark")
     p.add_argument("path")
     p.add_argument("sheet", nargs="?")
-    p.add_argument("--format", choices=("dict", "json", "markdown"), default="markdown")
+    p.add_argument("--format", choices=("dict", "json", "markdown"), default="dict")
     p.add_argument("--include", default="formulas,values,pivots", help="of " + ",".join(render.SECTIONS))
     a = p.parse_args(argv)
-    include = tuple(x.strip() for x in a.include.split(",") if x.strip())
+    include = tuple(x.strip().lower() for x in a.include.split(",") if x.strip())
     if unknown := set(include) - set(render.SECTIONS):
         p.error(f"unknown sections: {', '.join(sorted(unknown))}")
     from pyspark.sql import SparkSession

@@ -44,6 +44,25 @@ def criterion(value: Column, condition: dict[str, Any], numeric: bool) -> Column
     return F.coalesce(test, F.lit(sign == "<>"))
 
 
+def _edge_of_share(known: DataFrame, share: float, top: bool, accuracy: int = 10_000) -> DataFrame:
+    """The value of rank max(1, share of the rows) from one end, exactly, without a sort of all rows.
+
+    An approximate percentile brackets it, and the distinct values within the bracket are counted
+    from its outer end. All of it is one plan.
+    """
+    outer = F.desc if top else F.asc
+    near = (1 - share if top else share)
+    wide = 3 / accuracy
+    low, high = (F.lit(x) for x in (min(max(near - wide, 0.0), 1.0), min(max(near + wide, 0.0), 1.0)))
+    bracket = known.agg(F.percentile_approx("_v", low, accuracy).alias("a"), F.percentile_approx("_v", high, accuracy).alias("b"))
+    a, b = bracket.select("a").scalar(), bracket.select("b").scalar()
+    beyond = known.filter(F.col("_v") > b if top else F.col("_v") < a).agg(F.count("*")).scalar()
+    wanted = known.agg(F.greatest(F.lit(1), F.floor(F.count("*") * F.lit(share)))).scalar()
+    inside = known.filter((F.col("_v") >= a) & (F.col("_v") <= b)).groupBy("_v").agg(F.count("*").alias("n"))
+    counted = inside.withColumn("upto", F.sum("n").over(Window.orderBy(outer("_v"))))
+    return counted.filter(F.col("upto") + beyond >= wanted).agg((F.max if top else F.min)("_v"))
+
+
 def apply_filter_column(table: DataFrame, name: str, spec: dict[str, Any], among: DataFrame | None = None) -> DataFrame:
     """The rows of ``table`` that pass one filter column (a row of ``columns`` as a dict).
 
@@ -63,18 +82,15 @@ def apply_filter_column(table: DataFrame, name: str, spec: dict[str, Any], among
     among = table if among is None else among
     if kind == "top10":
         n, top = float(attrs.get("val", 10)), attrs.get("top", "1") not in ("0", "false")
-        if attrs.get("percent") in ("1", "true"):
-            n = max(1, int(among.filter(value.isNotNull()).count() * n / 100))
-        order = value.desc() if top else value.asc()
-        # the bound comes from a top-k, the rows from a filter: no window over the whole table
-        edge = among.filter(value.isNotNull()).orderBy(order).limit(int(n)).agg((F.min if top else F.max)(value).alias("_edge"))
-        bound = edge.first()["_edge"]
-        return table.filter(F.lit(False)) if bound is None else table.filter(value >= F.lit(bound) if top else value <= F.lit(bound))
+        known = among.filter(value.isNotNull()).select(value.alias("_v"))
+        edge = _edge_of_share(known, n / 100, top) if attrs.get("percent") in ("1", "true") else (
+            # the bound comes from a top-k, the rows from a filter: no window over the whole table
+            known.orderBy(F.desc("_v") if top else F.asc("_v")).limit(int(n)).agg((F.min if top else F.max)("_v"))
+        )
+        return table.filter(value >= edge.scalar() if top else value <= edge.scalar())
     if kind == "dynamic" and attrs.get("type") in ("aboveAverage", "belowAverage"):
-        mean = among.agg(F.avg(value).alias("m")).first()["m"]
-        if mean is None:
-            return table.filter(F.lit(False))
-        return table.filter(value > F.lit(mean) if attrs["type"] == "aboveAverage" else value < F.lit(mean))
+        mean = among.agg(F.avg(value)).scalar()
+        return table.filter(value > mean if attrs["type"] == "aboveAverage" else value < mean)
     return table
 
 

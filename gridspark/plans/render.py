@@ -13,7 +13,7 @@ from ..operators import relations
 def shown_value() -> Column:
     """A cell's value as JSON text."""
     return F.coalesce(
-        F.when(F.col("kind") == "int", F.col("v_int").cast("string")), F.when(F.col("kind") == "float", F.to_json(F.struct(F.col("v_num").alias("v")))).substr(6, 400),
+        F.when(F.col("kind") == "int", F.col("v_int").cast("string")), F.when(F.col("kind") == "float", F.regexp_extract(F.to_json(F.struct(F.col("v_num").alias("v"))), r"^\{\"v\":(.*)\}$", 1)),
         F.when(F.col("kind") == "bool", F.col("v_bool").cast("string")), F.to_json(F.array(F.coalesce("v_str", "v_err"))),
     )
 
@@ -43,7 +43,7 @@ def collect(books: DataFrame, include: tuple[str, ...], sheet: str | None = None
         rows = relations.cells(books, sheet).orderBy("sheet_idx", "row", "col").collect()
         out["values"] = _by_sheet(rows, lambda r: {"int": r.v_int, "float": r.v_num, "bool": r.v_bool, "error": r.v_err}.get(r.kind, r.v_str))
     if "pivots" in include:
-        out["pivots"] = [r.asDict(True) for r in relations.pivot_tables(books, sheet).drop("path").collect()]
+        out["pivot_tables"] = [r.asDict(True) for r in relations.pivot_tables(books, sheet).drop("path").collect()]
     if "filters" in include:
         out["filters"] = [r.asDict(True) for r in relations.auto_filters(books, sheet).drop("path", "sheet_idx").collect()]
     if "vba" in include:
@@ -68,7 +68,7 @@ def as_markdown(data: dict) -> str:
         for sheet, cells in data.get(section, {}).items():
             if cells:
                 out += [f"## {title}: {sheet}", *(f"- {a}: {v}" for a, v in cells.items()), ""]
-    for p in data.get("pivots", ()):
+    for p in data.get("pivot_tables", ()):
         where = (p.get("location") or {}).get("rfx_geom") or {}
         out += [f"## Pivot table: {p.get('name')}", f"- sheet: {p.get('sheet')}", f"- range: {where.get('top_left')}:{where.get('bottom_right')}", f"- fields: {p.get('pivot_fields')}", ""]
     for f in data.get("filters", ()):

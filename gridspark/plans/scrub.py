@@ -43,16 +43,33 @@ def strip_metadata(books: DataFrame) -> DataFrame:
     return books.select("path", "content").mapInArrow(run, "path string, content binary")
 
 
-def write_files(books: DataFrame, folder: str) -> None:
-    """Write packages below a folder that all executors reach, under their file names; one file per row."""
+def write_files(books: DataFrame, folder: str, root: str = "") -> None:
+    """Write packages below a folder that all executors reach, one file per row.
+
+    ``folder`` is a path or the URI of a file system (file, hdfs, s3, gs). A package keeps its path
+    relative to ``root``, so that workbooks of one name in different folders stay apart; two rows of
+    one path are one file.
+    """
+    base = _place(root)
+
     def save(rows):
         import os
 
-        os.makedirs(folder, exist_ok=True)
+        from pyarrow import fs
+
+        system, target = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), os.path.abspath(folder))
         for r in rows:
-            name = os.path.join(folder, os.path.basename(r.path))
-            with open(f"{name}.part", "wb") as f:
+            own = _place(r.path)
+            name = f"{target}/{own[len(base):].lstrip('/') if own.startswith(base) else own.lstrip('/')}"
+            system.create_dir(name.rpartition("/")[0], recursive=True)
+            part = f"{name}.{os.getpid()}.part"
+            with system.open_output_stream(part) as f:
                 f.write(r.content)
-            os.replace(f"{name}.part", name)  # a task that runs again replaces, never appends
+            system.move(part, name)  # a task that runs again replaces, never appends
 
     books.foreachPartition(save)
+
+
+def _place(path: str) -> str:
+    """A path without its scheme and host."""
+    return re.sub(r"^[A-Za-z][\w+.-]*:(?://[^/]*)?", "", path)

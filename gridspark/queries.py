@@ -427,6 +427,21 @@ def sheet_markdown(spark, root):
     return render.sheet_markdown(own, F.col("shown")).select("sheet", "markdown")
 
 
+@query("cell_values_shown", """
+SELECT path, sheet_idx, row_idx, col_idx, seq, kind, CASE kind WHEN 'int' THEN CAST(v_int AS DOUBLE) WHEN 'float' THEN v_num END AS number,
+  CASE WHEN kind = 'bool' THEN CAST(v_bool AS VARCHAR) WHEN kind NOT IN ('int', 'float') THEN coalesce(v_str, v_err) END AS text FROM cells""")
+def cell_values_shown(spark, root):
+    shown = render.shown_value()
+    numeric = F.col("kind").isin("int", "float")
+    text = F.when(F.col("kind") == "bool", shown).when(~numeric, F.get(F.from_json(shown, "array<string>"), F.lit(0)))
+    return table(spark, root, "cells").select("path", "sheet_idx", "row_idx", "col_idx", "seq", "kind", F.when(numeric, shown.cast("double")).alias("number"), text.alias("text"))
+
+
+@query("filter_top_percent", "SELECT o_orderkey, o_totalprice FROM orders QUALIFY rank() OVER (ORDER BY o_totalprice DESC) <= greatest(1, floor(count(*) OVER () * 0.07))")
+def filter_top_percent(spark, root):
+    return evaluate.apply_filter_column(table(spark, root, "orders"), "o_totalprice", {"type": "top10", "attrs": {"val": "7", "percent": "1", "top": "1"}}).select("o_orderkey", "o_totalprice")
+
+
 @query("references_unmoved", "SELECT DISTINCT formula, formula AS again FROM formulas WHERE formula IS NOT NULL")
 def references_unmoved(spark, root):
     texts = table(spark, root, "formulas").select("formula").filter("formula is not null").distinct()

@@ -11,7 +11,7 @@ from .package import pivot_parts, sheet_texts, xml
 SST_SCHEMA = "struct<si: array<struct<t: string, r: array<struct<t: string>>>>>"
 ROWS_SCHEMA = (
     "struct<sheetData: struct<row: array<struct<_r: string, c: array<struct<_r: string, _t: string, v: string, "
-    "f: struct<_VALUE: string, _t: string, _ref: string, _si: string, _ca: string>, `is`: struct<t: string, r: array<struct<t: string>>>>>>>>>"
+    "f: struct<_VALUE: string, _t: string, _ref: string, _si: string, _ca: string, _anchor: string>, `is`: struct<t: string, r: array<struct<t: string>>>>>>>>>"
 )
 FILTER_SCHEMA = (
     "struct<autoFilter: struct<_ref: string, filterColumn: array<struct<_colId: string, "
@@ -51,12 +51,12 @@ def shared_strings(package_parts: DataFrame) -> DataFrame:
 def raw_cells(chunks: DataFrame) -> DataFrame:
     """Cells as written, in document order: ``seq`` is (chunk, row, cell)."""
     return (
-        chunks.select("path", "sheet_idx", "sheet", "chunk", "strings", xml("text", ROWS_SCHEMA).alias("x"))
-        .select("path", "sheet_idx", "sheet", "chunk", "strings", F.posexplode("x.sheetData.row").alias("ri", "r"))
-        .select("path", "sheet_idx", "sheet", "chunk", "strings", "ri", F.posexplode("r.c").alias("ci", "c"))
+        chunks.select("path", "sheet_idx", "sheet", "chunk", "strings", "anchors", xml("text", ROWS_SCHEMA).alias("x"))
+        .select("path", "sheet_idx", "sheet", "chunk", "strings", "anchors", F.posexplode("x.sheetData.row").alias("ri", "r"))
+        .select("path", "sheet_idx", "sheet", "chunk", "strings", "anchors", "ri", F.posexplode("r.c").alias("ci", "c"))
         .select(
             "path", "sheet_idx", "sheet", F.struct("chunk", "ri", "ci").alias("seq"), row_of("c._r").alias("row"), col_of("c._r").alias("col"),
-            F.col("c._t").alias("t"), F.col("c.v").alias("v"), F.col("c.f").alias("f"), F.col("c.`is`").alias("inline"), "strings",
+            F.col("c._t").alias("t"), F.col("c.v").alias("v"), F.col("c.f").alias("f"), F.col("c.`is`").alias("inline"), "strings", "anchors",
         )
         .filter("row is not null and col is not null")
     )
@@ -85,26 +85,38 @@ def cells(books: DataFrame, sheet: str | None = None) -> DataFrame:
 
 
 def formulas(books: DataFrame, sheet: str | None = None) -> DataFrame:
-    """Formulas as text. A shared follower takes the latest earlier anchor with its index, moved to its place."""
-    raw = raw_cells(sheet_texts(books, sheet, frames=False)).filter("f is not null").select(
-        "path", "sheet_idx", "sheet", "row", "col", "seq", F.col("f._t").alias("t"), F.col("f._si").alias("si"), F.col("f._ref").alias("ref"),
-        F.col("f._ca").alias("ca"), F.trim("f._VALUE").alias("body"),
+    """Formulas as text. A shared follower takes the latest earlier anchor with its index, moved to its place.
+
+    Anchors are found where the package is open, so nothing is exchanged.
+    """
+    raw = raw_cells(sheet_texts(books, sheet, frames=False, anchors=True)).filter("f is not null").select(
+        "path", "sheet_idx", "sheet", "row", "col", "seq", F.col("f._t").alias("t"), F.col("f._ca").alias("ca"), F.trim("f._VALUE").alias("body"),
+        F.try_element_at("anchors", F.col("f._anchor").cast("int") + 1).alias("x"),
+    )
+    is_shared = F.coalesce(F.col("t") == "shared", F.lit(False))
+    linked = raw.filter(is_shared | (F.coalesce("body", F.lit("")) != "")).withColumn(
+        "a", F.when(F.col("x").isNotNull(), F.struct(row_of("x.cell").alias("row"), col_of("x.cell").alias("col"), F.col("x.body").alias("body")))
     )
-    return resolve_shared(raw).withColumn("addr", address("row", "col"))
+    return _formula_texts(linked).withColumn("addr", address("row", "col"))
 
 
 def resolve_shared(raw: DataFrame) -> DataFrame:
-    """As-of join of followers with anchors by document order, as a window. Followers without an anchor stay, unresolved.
+    """The same over a table of formula cells (``seq`` is document order): an as-of join as a window.
 
-    Cells that share nothing pass through the same window, each as a group of its own, so that
-    the sheets are parsed once.
+    Only cells that share something enter the window; the others pass by it.
     """
     is_shared = F.coalesce(F.col("t") == "shared", F.lit(False))
     own = F.coalesce("body", F.lit("")) != ""
-    anchor = F.when(is_shared & F.col("ref").isNotNull() & own, F.struct("row", "col", "body"))
-    group = F.when(is_shared, F.concat(F.lit("s"), F.coalesce("si", F.lit("")))).otherwise(F.concat_ws(":", "row", "col"))
-    earlier = Window.partitionBy("path", "sheet_idx", "_group").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    linked = raw.filter(is_shared | own).withColumn("_group", group).withColumn("a", F.last(anchor, ignorenulls=True).over(earlier))
+    anchor = F.when(F.col("ref").isNotNull() & own, F.struct("row", "col", "body"))
+    earlier = Window.partitionBy("path", "sheet_idx", "si").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    shared = raw.filter(is_shared).withColumn("a", F.last(anchor, ignorenulls=True).over(earlier))
+    return _formula_texts(raw.filter(~is_shared & own).withColumn("a", F.lit(None).cast(shared.schema["a"].dataType)).unionByName(shared))
+
+
+def _formula_texts(linked: DataFrame) -> DataFrame:
+    """Texts and kinds of formula cells with their anchor ``a`` (row, col, body), if they share one."""
+    is_shared = F.coalesce(F.col("t") == "shared", F.lit(False))
+    own = F.coalesce("body", F.lit("")) != ""
     moved = shift_references(F.col("a.body"), F.col("row") - F.col("a.row"), F.col("col") - F.col("a.col"))
     body = F.when(F.col("ca") == "1", F.regexp_replace("body", r"_xludf\.", "")).otherwise(F.col("body"))
     array = F.coalesce(F.col("t") == "array", F.lit(False))

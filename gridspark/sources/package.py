@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.cells import package_format, resolve_path
-from .single import Package, last_cells, plain_xml, shared_indexes
+from .single import Package, last_cells, link_shared, plain_xml, shared_indexes
 
 CHUNK_BYTES = 4 << 20
 PARTS = "path string, part string, part_lc string, namesakes array<string>, chunk int, chunk_kind string, data binary, text string, problem string"
@@ -104,31 +104,35 @@ def parts(books: DataFrame, wanted: str = r"\.(?:xml|bin|rels)$", chunk_bytes: i
     return books.select("path", "content").mapInArrow(run, PARTS)
 
 
-SHEET_CHUNKS = "path string, sheet_idx int, sheet string, chunk int, text string, strings map<int, string>"
+SHEET_CHUNKS = "path string, sheet_idx int, sheet string, chunk int, text string, strings map<int, string>, anchors array<struct<n: int, cell: string, body: string>>"
 
 
-def sheet_texts(books: DataFrame, sheet: str | None, frames: bool, strings: bool = False, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """Open XML worksheets: their frames, or their rows in chunks with the shared strings these refer to.
+def sheet_texts(books: DataFrame, sheet: str | None, frames: bool, strings: bool = False, chunk_bytes: int = CHUNK_BYTES, anchors: bool = False) -> DataFrame:
+    """Open XML worksheets: their frames, or their rows in chunks with the shared strings and formulas these refer to.
 
     No join and no shuffle; with ``sheet`` only the sheets of that name are inflated.
     """
     schema = pa.schema([
         ("path", pa.string()), ("sheet_idx", pa.int32()), ("sheet", pa.string()), ("chunk", pa.int32()), ("text", pa.string()), ("strings", pa.map_(pa.int32(), pa.string())),
+        ("anchors", pa.list_(pa.struct([("n", pa.int32()), ("cell", pa.string()), ("body", pa.string())]))),
     ])
 
     def run(batches):
         for path, package in _packages(batches):
             known = None
             for idx, name, data in package.wanted(sheet):
+                earlier: dict[bytes, tuple[str, str]] = {}
                 for k, (kind, piece) in enumerate(sheet_chunks(data, chunk_bytes)):
                     if (kind == "frame") != frames:
                         continue
-                    own = []
+                    own, shared = [], []
+                    if anchors:
+                        piece, shared = link_shared(piece, earlier)
                     if strings and (used := shared_indexes(piece)):
                         known = package.strings() if known is None else known
                         own = [(i, known[i]) for i in used if i < len(known)]
                     text = piece.removeprefix(b"\xef\xbb\xbf").decode("utf-8", "replace")
-                    yield pa.RecordBatch.from_pylist([{"path": path, "sheet_idx": idx, "sheet": name, "chunk": k, "text": text, "strings": own}], schema=schema)
+                    yield pa.RecordBatch.from_pylist([{"path": path, "sheet_idx": idx, "sheet": name, "chunk": k, "text": text, "strings": own, "anchors": shared}], schema=schema)
 
     return books.filter(package_format("path") == "xlsx").select("path", "content").mapInArrow(run, SHEET_CHUNKS)
 

@@ -149,3 +149,45 @@ def rich_text(item: ET.Element) -> str:
 def shared_indexes(data: bytes) -> set[int]:
     """Numbers of the shared strings that a piece of a worksheet refers to."""
     return {int(m[1]) for m in _SHARED.finditer(data)}
+
+
+_SHARED_F = re.compile(
+    rb"<c\s(?:[^>]*?\s)?r\s*=\s*[\"']([A-Z]+[0-9]+)[\"']|<f\b((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(?:/>|>([^<]*)(?:<!\[CDATA\[(.*?)\]\]>)?[^<]*</f\s*>)", re.S
+)
+_ATTRIBUTE = re.compile(rb"([\w:]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)')")
+_ENTITY = re.compile(r"&(?:#(\d+)|#x([0-9a-fA-F]+)|(amp|lt|gt|quot|apos));")
+_NAMED = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'"}
+
+
+def _plain(text: bytes) -> str:
+    """Text of XML without its entities."""
+    return _ENTITY.sub(lambda m: chr(int(m[1])) if m[1] else chr(int(m[2], 16)) if m[2] else _NAMED[m[3]], text.decode("utf-8", "replace"))
+
+
+def link_shared(piece: bytes, anchors: dict[bytes, tuple[str, str]]) -> tuple[bytes, list[dict]]:
+    """Rows of a worksheet whose followers of a shared formula name their anchor by number, and these anchors.
+
+    ``anchors`` (index -> cell and body) holds what came before in document order, and is carried on:
+    a follower takes the latest earlier anchor with its index. Rows that share nothing stay as they are.
+    """
+    if b"shared" not in piece:
+        return piece, []
+    used: dict[tuple[str, str], int] = {}
+    out, at, cell = [], 0, b""
+    for m in _SHARED_F.finditer(piece):
+        if m[1]:
+            cell = m[1]
+            continue
+        has = {a[1]: a[2] if a[2] is not None else a[3] for a in _ATTRIBUTE.finditer(m[2])}
+        if has.get(b"t") != b"shared":
+            continue
+        body, index = (m[4] or m[3] or b"").strip(), has.get(b"si", b"")
+        if body:
+            if b"ref" in has:
+                anchors[index] = (cell.decode(), body.decode("utf-8", "replace") if m[4] else _plain(body))
+        elif index in anchors:
+            k = used.setdefault(anchors[index], len(used))
+            out += (piece[at : m.start() + 2], b' anchor="%d"' % k)
+            at = m.start() + 2
+    out.append(piece[at:])
+    return b"".join(out), [{"n": k, "cell": c, "body": b} for (c, b), k in used.items()]

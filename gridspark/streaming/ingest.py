@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import relations
@@ -19,12 +21,15 @@ def workbook_stream(spark: SparkSession, folder: str, glob: str = "*.[xX][lL][sS
 def stream_relation(stream: DataFrame, relation: str, target: str, checkpoint: str, available_now: bool = True):
     """Append a relation ('cells', 'formulas', ...) of every new workbook to a parquet folder, exactly once.
 
-    A batch writes its own sub-folder, so a batch that runs again replaces what it wrote.
+    A batch writes its own sub-folder, so a batch that runs again replaces what it wrote. Batches are
+    numbered by the checkpoint folder, so every checkpoint has a sub-folder of its own: another stream
+    on the same target adds to it.
     """
+    stream_id = hashlib.sha1(checkpoint.rstrip("/").encode()).hexdigest()[:12]
     of = getattr(relations, relation)
 
     def write(batch: DataFrame, number: int) -> None:
-        of(batch.select("path", "content")).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        of(batch.select("path", "content")).write.mode("overwrite").parquet(f"{target}/stream={stream_id}/batch={number}")
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

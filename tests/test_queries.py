@@ -1,5 +1,6 @@
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from gridspark import literal_queries, workbook_queries  # noqa: F401
 from gridspark.operators import evaluate
@@ -46,6 +47,13 @@ def test_filter_edges(spark):
     assert ids({"type": "top10", "attrs": {"val": "50", "percent": "1"}}, "x") == [2, 4]
     assert ids({"type": "dynamic", "attrs": {"type": "belowAverage"}}, "x") == [5] and ids({"type": None}, "x") == [1, 2, 3, 4, 5]
     assert evaluate.apply_autofilter(df, {0: "s", 1: "x"}, [{"col_id": 0, **text("=", "ap*")}, {"col_id": 1, "type": "top10", "attrs": {"val": "2"}}, None]).count() == 1
+    many = spark.range(1, 20001).select(F.col("id").cast("int"), (F.pmod(F.col("id") * 7919, F.lit(20011))).cast("double").alias("x"))
+    for share, top in (("0.5", "1"), ("12.5", "1"), ("37", "0"), ("100", "0")):
+        got = evaluate.apply_filter_column(many, "x", {"type": "top10", "attrs": {"val": share, "percent": "1", "top": top}})
+        assert got.count() == max(1, int(20000 * float(share) / 100))
+    ties = spark.range(1000).select(F.when(F.col("id") < 990, 5.0).otherwise(9.0).alias("x"))
+    assert evaluate.apply_filter_column(ties, "x", {"type": "top10", "attrs": {"val": "1", "percent": "1"}}).count() == 10
+    assert evaluate.apply_filter_column(ties, "x", {"type": "top10", "attrs": {"val": "2", "percent": "1"}}).count() == 1000
     empty = df.limit(0)
     for spec in ({"type": "top10", "attrs": {"val": "3"}}, {"type": "dynamic", "attrs": {"type": "aboveAverage"}}):
         assert evaluate.apply_filter_column(empty, "x", spec).count() == 0

@@ -3,6 +3,7 @@ import struct
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from gridspark.operators import relations
 from gridspark.plans import render, scrub
@@ -217,10 +218,14 @@ def test_rendering_and_scrubbing(spark, tmp_path, capsys):
     (row,) = package.parts(scrub.strip_metadata(df), "docprops").collect()
     assert row.text == "<Properties><Application></Application><AppVersion></AppVersion></Properties>"
     assert values(relations.cells(scrub.strip_metadata(df))) == values(relations.cells(df))
-    scrub.write_files(scrub.strip_metadata(df), str(tmp_path / "out"))
+    root = df.first().path.rpartition("/")[0]
+    scrub.write_files(scrub.strip_metadata(df), str(tmp_path / "out"), root)
+    twice = df.withColumn("path", F.explode(F.array(F.lit("file:///in/x/a.xlsx"), F.lit("file:///in/y/a.xlsx"))))
+    scrub.write_files(twice, f"file://{tmp_path}/two", "file:///in")
+    assert sorted(str(p.relative_to(tmp_path)) for p in (tmp_path / "two").rglob("*.*")) == ["two/x/a.xlsx", "two/y/a.xlsx"]
     from gridspark import cli
 
-    assert cli.main([str(tmp_path / "out" / "a.xlsx"), "S", "--format", "json", "--include", "values"]) == 0
+    assert cli.main([str(tmp_path / "out" / "a.xlsx"), "S", "--format", "json", "--include", "Values"]) == 0
     assert '"A1": "a"' in capsys.readouterr().out
     assert package.workbooks(spark, str(tmp_path / "out")).count() == 1
 
@@ -284,3 +289,24 @@ def test_schemas(spark, relation):
 
     got = getattr(relations, relation)(books(spark, a_xlsx=w.xlsx({"S": CELLS})))
     assert got.dtypes == [(f.name, f.dataType.simpleString()) for f in schemas.schema(relation).fields]
+
+
+def test_followers_find_their_anchor_across_chunks():
+    from gridspark.sources.single import link_shared
+
+    anchors = {}
+    first = b"<row r='1'><c r='A1'><f t='shared' si='0'/></c><c r='B1'><f t=\"shared\" ref=\"B1:B9\" si=\"0\">A1&amp;&quot;x&quot;</f></c><c r=\"B2\"><f si='0' t='shared'/></c><c r='C1'><f>1+1</f></c></row>"
+    out, used = link_shared(first, anchors)
+    assert used == [{"n": 0, "cell": "B1", "body": 'A1&"x"'}] and out.count(b" anchor=") == 1 and b"<f anchor=\"0\" si='0'" in out
+    again = b"<c r='B3'><f t='shared' si='0'></f></c><c r='D1'><f t='shared' ref='D1:D4' si='0'>A9</f></c><c r='D2'><f t='shared' si='0'/></c><c r='D3'><f t='shared' si='7'/></c>"
+    out, used = link_shared(again, anchors)
+    assert [(x["cell"], x["body"]) for x in used] == [("B1", 'A1&"x"'), ("D1", "A9")] and out.count(b" anchor=") == 2
+    assert link_shared(b"<c r='A1'><f>1</f></c>", anchors) == (b"<c r='A1'><f>1</f></c>", [])
+
+
+def test_two_streams_on_one_target(spark, tmp_path):
+    for name in ("one", "two"):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / f"{name}.xlsx").write_bytes(w.xlsx({"S": [(0, 0, name)]}))
+        ingest.stream_relation(ingest.workbook_stream(spark, str(tmp_path / name)), "cells", str(tmp_path / "out"), str(tmp_path / f"cp_{name}")).awaitTermination()
+    assert {r.v_str for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {"one", "two"}
