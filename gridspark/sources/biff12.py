@@ -377,20 +377,24 @@ def first_rectangles(pending: list[dict], bodies: list[dict]) -> list[dict | Non
     return out
 
 
+def formula_texts(data: bytes, names) -> list[dict]:
+    """The formula cells of a sheet part as text."""
+    found = formula_rows(data)
+    pending, bodies = [r for r in found if r["what"] == "pending"], [r for r in found if r["what"] == "body"]
+    out = [(r, r, "normal") for r in found if r["what"] == "cell"]
+    out += [(r, b, "unresolved" if b is None else "array" if b["array"] else "shared") for r, b in zip(pending, first_rectangles(pending, bodies))]
+    texts = []
+    for r, source, kind in out:
+        text, problem = decompile(source["code"], source["extra"], r["row"], r["col"], names) if source else ("={shared_formula}", None)
+        text = f"=<parse_error:{problem}>" if problem else "{" + text + "}" if kind == "array" else text
+        texts.append({"row": r["row"], "col": r["col"], "formula": text, "formula_kind": kind, "parse_error": problem})
+    return texts
+
+
 def formulas(books: DataFrame, sheet: str | None = None, functions: dict | None = None) -> DataFrame:
     """Formulas as text; cells of shared bodies are resolved by their rectangle."""
     def rows(package, data):
-        found = formula_rows(data)
-        names = package.names(functions)
-        pending, bodies = [r for r in found if r["what"] == "pending"], [r for r in found if r["what"] == "body"]
-        out = [(r, r, "normal") for r in found if r["what"] == "cell"]
-        out += [(r, b, "unresolved" if b is None else "array" if b["array"] else "shared") for r, b in zip(pending, first_rectangles(pending, bodies))]
-        texts = []
-        for r, source, kind in out:
-            text, problem = decompile(source["code"], source["extra"], r["row"], r["col"], names) if source else ("={shared_formula}", None)
-            text = f"=<parse_error:{problem}>" if problem else "{" + text + "}" if kind == "array" else text
-            texts.append({"row": r["row"], "col": r["col"], "formula": text, "formula_kind": kind, "parse_error": problem})
-        return texts
+        return formula_texts(data, package.names(functions))
 
     return decode_sheets(books, "formula_texts", rows, sheet).withColumn("addr", address("row", "col"))
 

@@ -310,3 +310,36 @@ def test_two_streams_on_one_target(spark, tmp_path):
         (tmp_path / name / f"{name}.xlsx").write_bytes(w.xlsx({"S": [(0, 0, name)]}))
         ingest.stream_relation(ingest.workbook_stream(spark, str(tmp_path / name)), "cells", str(tmp_path / "out"), str(tmp_path / f"cp_{name}")).awaitTermination()
     assert {r.v_str for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {"one", "two"}
+
+
+def _source_books(folder):
+    import pandas as pd
+
+    from gridspark import workbook_queries as q
+
+    orders = pd.DataFrame({"row_": [0, 1, 5, 250], "o_totalprice": [1.5, 2.0, 3.0, 4.0]})
+    nation = pd.DataFrame({"n_name": ["PERU"], "n_nationkey": [17]})
+    for form in ("xlsx", "xlsb"):
+        made = {"formulas": (q._xlsx_formulas if form == "xlsx" else q._xlsb_formulas)(orders), "filters": q._filter_book(form)(nation), "pivots": q._pivot_book(form)(nation)}
+        for name, content in made.items():
+            (folder / name).mkdir(exist_ok=True)
+            (folder / name / f"{name}.{form}").write_bytes(content)
+    (folder / "m.xlsm").write_bytes(w.xlsx({"One": CELLS}, extra={"xl/vbaProject.bin": w.vba_project({"M": "x"})}))
+    (folder / "bad.xlsx").write_bytes(b"no package")
+    broken = w.xlsx({"S": [(0, 0, 1)]}, {"S": "<open>"})
+    (folder / "broken.xlsx").write_bytes(broken)
+
+
+def test_source_gives_the_rows_of_the_relations(spark, tmp_path):
+    _source_books(tmp_path)
+    workbook.register(spark)
+    corpus = package.workbooks(spark, str(tmp_path))
+    plain = lambda df: sorted(str(r.asDict(True)).replace("file://", "").replace("'file:", "'") for r in df.filter("path not like '%broken%'").collect())
+    for entity in ("sheets", "cells", "formulas", "auto_filters", "pivot_tables", "vba_modules"):
+        for size in ("1", str(workbook.TASK_BYTES)):
+            got = spark.read.format("workbook").option("entity", entity).option("task_bytes", size).load(str(tmp_path))
+            want = getattr(relations, entity)(corpus).select(*got.columns)
+            assert plain(got) == plain(want) and want.count(), entity
+    problems = {r.path.rpartition("/")[2] for r in spark.read.format("workbook").option("entity", "problems").load(f"file://{tmp_path}").collect()}
+    assert problems == {"bad.xlsx", "broken.xlsx"}
+    assert spark.read.format("workbook").option("entity", "cells").load(str(tmp_path)).rdd.getNumPartitions() == 1
