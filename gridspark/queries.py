@@ -411,20 +411,30 @@ def pivot_counts(spark, root):
 # ---- rendering ----
 
 
-@query("cellmap_json", """
-SELECT 'book' AS path, '{' || string_agg('"A' || CAST(n_nationkey + 1 AS VARCHAR) || '":"' || n_name || '"', ',' ORDER BY n_nationkey) || '}' AS cells FROM nation""")
+_LAST_SQL = "(SELECT * FROM cells QUALIFY row_number() OVER (PARTITION BY path, sheet_idx, row_idx, col_idx ORDER BY seq DESC) = 1)"
+
+
+def _last_cells(spark, root):
+    key = ["path", "sheet_idx", "row_idx", "col_idx"]
+    own = relations.last_write_wins(table(spark, root, "cells").select(*key, "sheet", "addr", "kind", "v_int", "v_num", "v_str", "v_bool", "v_err", "seq"), key, "seq")
+    return own.withColumnsRenamed({"row_idx": "row", "col_idx": "col"})
+
+
+@query("cellmap_json", f"""
+SELECT path, sheet_idx, '{{' || string_agg(to_json(addr) || ':' || to_json(coalesce(v_str, '')), ',' ORDER BY row_idx, col_idx) || '}}' AS cells FROM {_LAST_SQL} WHERE kind = 'str' GROUP BY path, sheet_idx""")
 def cellmap_json(spark, root):
-    own = relations.to_cells(table(spark, root, "nation"), "book", "Nations", "n_nationkey", {"n_name": 0})
-    pairs = render.cell_map(own, F.col("v_str"))
-    return pairs.select("path", F.to_json(F.map_from_entries("cells")).alias("cells"))
+    """The texts of every sheet as a JSON object by address."""
+    pairs = render.cell_map(_last_cells(spark, root).filter("kind = 'str'"), F.coalesce("v_str", F.lit("")))
+    return pairs.select("path", "sheet_idx", F.to_json(F.map_from_entries("cells")).alias("cells"))
 
 
-@query("sheet_markdown", """
-SELECT 'Nations' AS sheet, string_agg('- A' || CAST(n_nationkey + 1 AS VARCHAR) || ': ' || CAST(n_nationkey AS VARCHAR) || chr(10) || '- B' || CAST(n_nationkey + 1 AS VARCHAR) || ': "' || n_name || '"', chr(10) ORDER BY n_nationkey) AS markdown FROM nation""")
+@query("sheet_markdown", f"""
+SELECT path, sheet_idx, sheet, string_agg('- ' || addr || ': ' || coalesce(v_str, v_err, CAST(v_int AS VARCHAR), CAST(v_bool AS VARCHAR), CAST(CAST(floor(v_num) AS BIGINT) AS VARCHAR), ''), chr(10) ORDER BY row_idx, col_idx) AS markdown
+FROM {_LAST_SQL} GROUP BY path, sheet_idx, sheet""")
 def sheet_markdown(spark, root):
-    own = relations.to_cells(table(spark, root, "nation"), "book", "Nations", "n_nationkey", {"n_nationkey": 0, "n_name": 1}).withColumn("shown", F.coalesce(
-        F.when(F.col("kind") == "int", F.col("v_int").cast("string")), F.concat(F.lit('"'), "v_str", F.lit('"'))))
-    return render.sheet_markdown(own, F.col("shown")).select("sheet", "markdown")
+    """Every sheet as lines; numbers that are not whole are cut, for two engines write them in two ways."""
+    shown = F.coalesce("v_str", "v_err", F.col("v_int").cast("string"), F.col("v_bool").cast("string"), F.floor("v_num").cast("string"), F.lit(""))
+    return render.sheet_markdown(_last_cells(spark, root), shown).select("path", "sheet_idx", "sheet", "markdown")
 
 
 @query("cell_values_shown", """

@@ -14,6 +14,12 @@ from .session import table
 from .sources import biff12, formula_tokens, package, vba
 from .testing import writers
 
+
+def _named(spark, root):
+    """A key and a name: a workbook for every supplier."""
+    return table(spark, root, "supplier").select(F.col("s_suppkey").cast("int").alias("n_nationkey"), F.col("s_name").alias("n_name"))
+
+
 # ---- table -> workbook bytes -> relation ----
 
 
@@ -110,7 +116,7 @@ def _filter_book(form):
 
 def _filter_roundtrip(form):
     def run(spark, root):
-        made = generated.books(table(spark, root, "nation"), F.col("n_nationkey"), "/made/{0}." + form, _filter_book(form))
+        made = generated.books(_named(spark, root), F.col("n_nationkey"), "/made/{0}." + form, _filter_book(form))
         got = relations.auto_filters(made).select(F.regexp_extract("path", r"/(\d+)\.", 1).cast("int").alias("n_nationkey"), "sheet", "ref", F.explode("columns").alias("c"))
         shown = F.transform("c.conditions", lambda x: F.concat_ws(" ", x["operator"], F.coalesce(x["v_str"], x["v_num"].cast("bigint").cast("string"))))
         return got.select("n_nationkey", "sheet", "ref", F.col("c.col_id").cast("bigint").alias("col_id"), F.col("c.type").alias("type"), F.col("c.logic").alias("logic"),
@@ -120,8 +126,8 @@ def _filter_roundtrip(form):
 
 
 _FILTER_SQL = """
-SELECT n_nationkey, 'Filtered' AS sheet, 'A1:C' || CAST(n_nationkey + 2 AS VARCHAR) AS ref, 0::BIGINT AS col_id, 'discrete' AS type, NULL AS logic, NULL AS conditions, n_name AS listed FROM nation
-UNION ALL SELECT n_nationkey, 'Filtered', 'A1:C' || CAST(n_nationkey + 2 AS VARCHAR), 2, 'custom', 'and', '> ' || CAST(n_nationkey AS VARCHAR) || '|= x*', NULL FROM nation"""
+SELECT n_nationkey, 'Filtered' AS sheet, 'A1:C' || CAST(n_nationkey + 2 AS VARCHAR) AS ref, 0::BIGINT AS col_id, 'discrete' AS type, NULL AS logic, NULL AS conditions, n_name AS listed FROM (SELECT CAST(s_suppkey AS INT) AS n_nationkey, s_name AS n_name FROM supplier)
+UNION ALL SELECT n_nationkey, 'Filtered', 'A1:C' || CAST(n_nationkey + 2 AS VARCHAR), 2, 'custom', 'and', '> ' || CAST(n_nationkey AS VARCHAR) || '|= x*', NULL FROM (SELECT CAST(s_suppkey AS INT) AS n_nationkey, s_name AS n_name FROM supplier)"""
 for _form in ("xlsx", "xlsb"):
     query(f"{_form}_filter_roundtrip", _FILTER_SQL)(_filter_roundtrip(_form))
 
@@ -150,7 +156,7 @@ def _pivot_book(form):
 
 def _pivot_roundtrip(form):
     def run(spark, root):
-        made = generated.books(table(spark, root, "nation"), F.col("n_nationkey"), "/made/{0}." + form, _pivot_book(form))
+        made = generated.books(_named(spark, root), F.col("n_nationkey"), "/made/{0}." + form, _pivot_book(form))
         return relations.pivot_tables(made).select(
             F.col("cache_id").alias("n_nationkey"), "name", "sheet", "data_caption", F.regexp_replace("part", r"\.\w+$", "").alias("part"),
             F.regexp_replace("pivot_cache_definition", r"\.\w+$", "").alias("cache"), "pivot_fields", "pivot_items",
@@ -162,19 +168,19 @@ def _pivot_roundtrip(form):
 
 _PIVOT_SQL = """
 SELECT n_nationkey, n_name AS name, 'Pivot' AS sheet, 'Values' AS data_caption, 'xl/pivotTables/p1' AS part, 'xl/pivotCache/pivotCacheDefinition1' AS cache, 2 AS pivot_fields, 2 AS pivot_items,
-  'A3:D' || CAST(n_nationkey + 9 AS VARCHAR) AS body, {n} AS n_data FROM nation"""
+  'A3:D' || CAST(n_nationkey + 9 AS VARCHAR) AS body, {n} AS n_data FROM (SELECT CAST(s_suppkey AS INT) AS n_nationkey, s_name AS n_name FROM supplier)"""
 query("pivot_meta_roundtrip", _PIVOT_SQL.format(n=1))(_pivot_roundtrip("xlsx"))
 query("pivot_meta_roundtrip_xlsb", _PIVOT_SQL.format(n=0))(_pivot_roundtrip("xlsb"))
 
 
-@query("defined_names_roundtrip", "SELECT n_nationkey, f AS format, CAST(1 AS INT) AS idx, 'name_' || n_name AS name FROM nation, (SELECT unnest(['xlsx', 'xlsb']) AS f)")
+@query("defined_names_roundtrip", "SELECT n_nationkey, f AS format, CAST(1 AS INT) AS idx, 'name_' || n_name AS name FROM (SELECT CAST(s_suppkey AS INT) AS n_nationkey, s_name AS n_name FROM supplier), (SELECT unnest(['xlsx', 'xlsb']) AS f)")
 def defined_names_roundtrip(spark, root):
     def book(form):
         def write(rows):
             name = f"name_{rows['n_name'].iloc[0]}"
             return getattr(writers, form)({"S": []}, names={name: "S!$A$1"} if form == "xlsx" else [name])
 
-        return generated.books(table(spark, root, "nation"), F.col("n_nationkey"), "/made/{0}." + form, write)
+        return generated.books(_named(spark, root), F.col("n_nationkey"), "/made/{0}." + form, write)
 
     return relations.defined_names(book("xlsx").unionByName(book("xlsb"))).select(
         F.regexp_extract("path", r"/(\d+)\.", 1).cast("int").alias("n_nationkey"), F.element_at(F.split("path", r"\."), -1).alias("format"), "idx", "name"
@@ -193,12 +199,12 @@ def shared_strings_roundtrip(spark, root):
     )
 
 
-@query("relationships", "SELECT n_nationkey, 'rId1' AS rel_id, 'worksheets/sheet1.xml' AS target, 'xl/worksheets/sheet1.xml' AS resolved FROM nation UNION ALL SELECT n_nationkey, 'p', '../pivotTables/p' || CAST(n_nationkey AS VARCHAR) || '.xml', 'xl/pivotTables/p' || CAST(n_nationkey AS VARCHAR) || '.xml' FROM nation")
+@query("relationships", "SELECT n_nationkey, 'rId1' AS rel_id, 'worksheets/sheet1.xml' AS target, 'xl/worksheets/sheet1.xml' AS resolved FROM (SELECT CAST(s_suppkey AS INT) AS n_nationkey, s_name AS n_name FROM supplier) UNION ALL SELECT n_nationkey, 'p', '../pivotTables/p' || CAST(n_nationkey AS VARCHAR) || '.xml', 'xl/pivotTables/p' || CAST(n_nationkey AS VARCHAR) || '.xml' FROM (SELECT CAST(s_suppkey AS INT) AS n_nationkey, s_name AS n_name FROM supplier)")
 def relationships(spark, root):
     def write(rows):
         return writers.xlsx({"S": []}, extra={"xl/worksheets/_rels/sheet1.xml.rels": writers.rels_xml({"p": f"../pivotTables/p{rows['n_nationkey'].iloc[0]}.xml"})})
 
-    made = generated.books(table(spark, root, "nation"), F.col("n_nationkey"), "/made/{0}.xlsx", write)
+    made = generated.books(_named(spark, root), F.col("n_nationkey"), "/made/{0}.xlsx", write)
     return package.rels(package.parts(made, r"\.rels$")).select(F.regexp_extract("path", r"/(\d+)\.", 1).cast("int").alias("n_nationkey"), "rel_id", "target", "resolved")
 
 
@@ -252,13 +258,13 @@ def ovba_roundtrip(spark, root):
     return table(spark, root, "documents").select("doc_id", "text").filter("text is not null").distinct().select("doc_id", there_and_back("text").alias("text"))
 
 
-@query("metadata_scrub", "SELECT n_nationkey, '<a><lastModifiedBy></lastModifiedBy><Application></Application><title>' || n_name || '</title></a>' AS core FROM nation")
+@query("metadata_scrub", "SELECT n_nationkey, '<a><lastModifiedBy></lastModifiedBy><Application></Application><title>' || n_name || '</title></a>' AS core FROM (SELECT CAST(s_suppkey AS INT) AS n_nationkey, s_name AS n_name FROM supplier)")
 def metadata_scrub(spark, root):
     def write(rows):
         name = rows["n_name"].iloc[0]
         return writers.xlsx({"S": [(0, 0, name)]}, extra={"docProps/core.xml": f"<a><lastModifiedBy>{name}</lastModifiedBy><Application>x</Application><title>{name}</title></a>"})
 
-    made = generated.books(table(spark, root, "nation"), F.col("n_nationkey"), "/made/{0}.xlsx", write)
+    made = generated.books(_named(spark, root), F.col("n_nationkey"), "/made/{0}.xlsx", write)
     found = package.parts(scrub.strip_metadata(made), r"^docprops/core\.xml$")
     return found.select(F.regexp_extract("path", r"/(\d+)\.", 1).cast("int").alias("n_nationkey"), F.col("text").alias("core"))
 
