@@ -131,6 +131,10 @@ def _test(spec: Column, cell: Column, empty: Column) -> Column:
     return F.when(spec["type"] == "custom", custom).when(spec["type"] == "discrete", listed).otherwise(True)
 
 
+#: Rows of a sheet that meet the filters' areas under one key.
+ROW_BLOCK = 2048
+
+
 def visible_rows(cells: DataFrame, auto_filters: DataFrame, key: str) -> DataFrame:
     """``key, row``: the data rows that every filter of a corpus leaves visible in its own sheet.
 
@@ -148,8 +152,10 @@ def visible_rows(cells: DataFrame, auto_filters: DataFrame, key: str) -> DataFra
         key, "path", "sheet_idx", row_of("top_left").alias("r1"), col_of("top_left").alias("c1"), row_of("bottom_right").alias("r2"), col_of("bottom_right").alias("c2"), "columns",
     )
     own = cells.select("path", "sheet_idx", "row", "col", F.struct("v_int", "v_num", "v_str", "v_bool", "v_err").alias("v"))
+    # areas and cells meet by blocks of rows, so a large sheet is many keys; a row lies in one block
+    blocks = area.drop("columns").withColumn("block", F.explode(F.sequence(F.floor((F.col("r1") + 1) / ROW_BLOCK), F.floor(F.greatest("r2", F.col("r1") + 1) / ROW_BLOCK))))
     rows = (
-        own.join(area.drop("columns"), ["path", "sheet_idx"])
+        own.withColumn("block", F.floor(F.col("row") / ROW_BLOCK)).join(blocks, ["path", "sheet_idx", "block"])
         .filter("row > r1 and row <= r2 and col between c1 and c2")
         .groupBy(key, "row", "c1").agg(F.map_from_entries(F.collect_list(F.struct("col", "v"))).alias("cells"))
     )
