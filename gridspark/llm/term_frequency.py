@@ -27,6 +27,8 @@ NAME = r"([\p{L}\p{M}\p{N}_.]+)\("
 PREFIX = r"^(?:@|_XLFN\.|_XLWS\.|_XLUDF\.)+"
 PARSE_ERROR = "=<parse_error:"
 WORD = 64
+#: Where a word of a bitmap lies.
+WORDS = ["path", "sheet_idx", "col_idx", "block"]
 
 
 def called_names(formula: Column) -> Column:
@@ -39,13 +41,12 @@ def called_names(formula: Column) -> Column:
     ).otherwise(F.filter(names, lambda x: x.rlike(r"[\p{L}_]")))
 
 
-def term_frequency(formulas: DataFrame, rare_below: int = 3, common_above: float = 0.15) -> DataFrame:
-    """One row per term: ``term, n_calls, n_records, total_records, mark``.
+def term_bitmaps(formulas: DataFrame) -> DataFrame:
+    """The vertical layout: ``term, path, sheet_idx, col_idx, block, bits, calls``, only words that are not 0.
 
-    ``mark`` is 'rare' below ``rare_below`` records, else 'common' above the share
-    ``common_above`` of all records, else 'kept'.
+    The empty term stands in every record.
     """
-    word = ["path", "sheet_idx", "col_idx", "block"]
+    word = WORDS
     cells = (
         formulas.select(
             "path", "sheet_idx", "col_idx",
@@ -56,11 +57,40 @@ def term_frequency(formulas: DataFrame, rare_below: int = 3, common_above: float
         .agg(F.max_by("formula", F.struct("seq", "formula")).alias("formula"))
     )
     bit = F.expr(f"shiftleft(1L, CAST(coalesce(pmod(row_idx, {WORD}), 0) AS INT))")
-    words = (
+    return (
         cells.select(*word, bit.alias("bit"), F.explode(F.concat(F.array(F.lit("")), called_names(F.col("formula")))).alias("term"))
         .groupBy(*word, "term")
         .agg(F.bit_or("bit").alias("bits"), F.count("*").alias("calls"))
     )
+
+
+def union(bitmaps: DataFrame) -> DataFrame:
+    """Bitmaps of several deliveries in one: words of one place merge by bitwise or, counters add up.
+
+    The counters are those of calls, so deliveries must not repeat a record with another formula.
+    """
+    return bitmaps.groupBy("term", *WORDS).agg(F.bit_or("bits").alias("bits"), F.sum("calls").alias("calls"))
+
+
+def containers(bitmaps: DataFrame) -> DataFrame:
+    """Compressed for keeping: per term and column the sorted blocks with their words, ``term, path, sheet_idx, col_idx, words, n_records, n_calls``."""
+    own = F.sort_array(F.collect_list(F.struct("block", "bits")))
+    return bitmaps.groupBy("term", "path", "sheet_idx", "col_idx").agg(
+        own.alias("words"), F.sum(F.bit_count("bits").cast("bigint")).alias("n_records"), F.sum("calls").alias("n_calls")
+    )
+
+
+def term_frequency(formulas: DataFrame, rare_below: int = 3, common_above: float = 0.15) -> DataFrame:
+    """One row per term: ``term, n_calls, n_records, total_records, mark``.
+
+    ``mark`` is 'rare' below ``rare_below`` records, else 'common' above the share
+    ``common_above`` of all records, else 'kept'.
+    """
+    return frequencies(term_bitmaps(formulas), rare_below, common_above)
+
+
+def frequencies(words: DataFrame, rare_below: int = 3, common_above: float = 0.15) -> DataFrame:
+    """The same from bitmaps: cardinalities of a term's words, summed."""
     # the vocabulary, written once: its empty term, which every record holds, has the total
     terms = cut(words.groupBy("term").agg(F.sum("calls").alias("n_calls"), F.sum(F.bit_count("bits").cast("bigint")).alias("n_records")))
     total = terms.filter("term = ''").select(F.max("n_records")).scalar()

@@ -2,6 +2,8 @@
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from gridspark.llm import code_language, encoding_repair, leakage, near_dup, packing, secrets, splitting, term_frequency
 
 MODULES = "module_id bigint, name string, vba_source_text string, path string, id string, text string, word string, field string"
@@ -53,3 +55,15 @@ def test_term_frequency_edges(spark):
     got = {r.term: tuple(r)[1:] for r in term_frequency.term_frequency(df, common_above=0.4).collect()}
     assert got == {"MAX": (3, 3, 6, "common"), "SUM": (1, 1, 6, "rare"), "F.X": (1, 1, 6, "rare")}
     assert term_frequency.term_frequency(df.limit(0)).count() == 0
+
+
+def test_bitmaps_of_deliveries_merge(spark):
+    from ..conftest import DATA
+
+    formulas = spark.read.parquet(f"{DATA}/sf0.01/formulas.parquet")
+    want = sorted(map(tuple, term_frequency.term_frequency(formulas).collect()))
+    even = F.pmod(F.hash("path", "sheet_idx"), F.lit(2)) == 0
+    parts = term_frequency.term_bitmaps(formulas.filter(even)).unionByName(term_frequency.term_bitmaps(formulas.filter(~even)))
+    assert sorted(map(tuple, term_frequency.frequencies(term_frequency.union(parts)).collect())) == want
+    kept = term_frequency.containers(term_frequency.union(parts)).groupBy("term").agg(F.sum("n_records").alias("n")).filter("term <> ''").collect()
+    assert {(r.term, r.n) for r in kept} == {(t, n) for t, _, n, *_ in want}
