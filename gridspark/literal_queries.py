@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .functions import worksheet_functions
 from .operators import relations
+from .plans import render
 from .registry import query
 from .sources import formula_tokens
 
@@ -152,3 +153,90 @@ def binary_pivot_filters(spark, root):
     own = relations.pivot_tables(_book(spark)).select("name", "cache_id", "pivot_fields", "pivot_items", F.explode("sx_filters").alias("f"))
     return own.select("name", "cache_id", "pivot_fields", "pivot_items", "f.field_index", "f.filter_type", F.explode("f.criteria").alias("x")).select(
         "name", "cache_id", "pivot_fields", "pivot_items", "field_index", "filter_type", "x.operator", "x.v_num")
+
+
+_OPEN_XML = {
+    "xl/workbook.xml": '<x:workbook xmlns:x="m" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><x:sheets><x:sheet name="S" sheetId="1" r:id="rId1"/></x:sheets></x:workbook>',
+    "xl/_rels/workbook.xml.rels": "<Relationships><Relationship Target='worksheets/Sheet1.xml' Id='rId1'/></Relationships>",
+    "xl/SharedStrings.xml": '<x:sst xmlns:x="m"><x:si><x:t xml:space="preserve"> a </x:t></x:si><x:si><x:r><x:t>b</x:t></x:r><x:r><x:t>c</x:t></x:r><x:rPh><x:t>no</x:t></x:rPh></x:si></x:sst>',
+    "XL/worksheets/sheet1.xml": '<x:worksheet xmlns:x="m"><x:sheetData><x:row r="1"><x:c r="A1"><x:v>7</x:v></x:c><x:c r="B1"><x:f>A1/2</x:f><x:v>3.5</x:v></x:c><x:c r="C1" t="b"><x:v>1</x:v></x:c>'
+    '<x:c r="D1" t="e"><x:v>#REF!</x:v></x:c><x:c r="E1" t="s"><x:v>0</x:v></x:c><x:c r="F1" t="s"><x:v>1</x:v></x:c><x:c r="G1" t="inlineStr"><x:is><x:t>in</x:t></x:is></x:c><x:c r="H1" t="str"><x:f>"x"&amp;1</x:f><x:v>x1</x:v></x:c>'
+    '<x:c r="I1"/></x:row><x:row r="2"><x:c r="A2"><x:v>1</x:v></x:c><x:c r="A2"><x:v>2</x:v></x:c></x:row></x:sheetData>'
+    '<x:autoFilter ref="A1:C9"><x:filterColumn colId="1"><x:customFilters and="1"><x:customFilter operator="greaterThanOrEqual" val="2"/><x:customFilter operator="notEqual" val=" "/></x:customFilters></x:filterColumn></x:autoFilter></x:worksheet>',
+}
+
+
+def _open_xml(spark):
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w") as z:
+        for name, text in _OPEN_XML.items():
+            z.writestr(name, text)
+    return spark.createDataFrame([("/literal.xlsx", held.getvalue())], "path string, content binary")
+
+
+@query("open_xml_cells", _values([
+    ("'A1'", "'int'", "'7'", "false"), ("'B1'", "'float'", "'3.5'", "true"), ("'C1'", "'bool'", "'true'", "false"), ("'D1'", "'error'", "'#REF!'", "false"), ("'E1'", "'str'", "' a '", "false"), ("'F1'", "'str'", "'bc'", "false"),
+    ("'G1'", "'str'", "'in'", "false"), ("'H1'", "'str'", "'x1'", "true"), ("'A2'", "'int'", "'2'", "false"),
+], "addr, kind, value, from_formula"))
+def open_xml_cells(spark, root):
+    """Prefixed names, part names in another case, attributes in any order, rich and inline text, a repeated cell."""
+    value = F.coalesce("v_str", "v_err", F.col("v_int").cast("string"), F.col("v_num").cast("string"), F.col("v_bool").cast("string"))
+    return relations.cells(_open_xml(spark)).select("addr", "kind", value.alias("value"), "from_formula")
+
+
+_JSON_TEXT = """{
+  "filters": [
+    {
+      "bottom_right": "C9",
+      "columns": [
+        {
+          "attrs": null,
+          "col_id": 1,
+          "conditions": [
+            {
+              "kind": "number",
+              "operator": ">=",
+              "v_bool": null,
+              "v_num": 2.0,
+              "v_str": null
+            },
+            {
+              "kind": "nonblank",
+              "operator": "<>",
+              "v_bool": null,
+              "v_num": null,
+              "v_str": null
+            }
+          ],
+          "logic": "and",
+          "type": "custom",
+          "values": null
+        }
+      ],
+      "ref": "A1:C9",
+      "sheet": "S",
+      "top_left": "A1"
+    }
+  ],
+  "formulas": {
+    "S": {
+      "B1": "=A1/2",
+      "H1": "=\\"x\\"&1"
+    }
+  }
+}"""
+_MARKDOWN = """## Formulas: S
+- B1: =A1/2
+- H1: ="x"&1
+
+## Filter: S (A1:C9)
+- column 1: >= 2.0 and <> nonblank
+"""
+
+
+@query("rendered_book", _values([("'json'", _quoted(_JSON_TEXT)), ("'markdown'", _quoted(_MARKDOWN)), ("'dict'", "'S=B1,H1'")], "form, text"))
+def rendered_book(spark, root):
+    """One workbook as the command line shows it."""
+    data = render.collect(_open_xml(spark), ("formulas", "filters"))
+    shown = ";".join(f"{s}={','.join(cells)}" for s, cells in data["formulas"].items())
+    return spark.createDataFrame([("json", render.as_json(data)), ("markdown", render.as_markdown(data)), ("dict", shown)], "form string, text string")
