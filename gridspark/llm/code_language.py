@@ -209,7 +209,10 @@ class Model:
         return out
 
     def _lanes(self, codes: list[np.ndarray]) -> list[np.ndarray]:
-        """Paths of lanes in order of falling length. A cost carries its state in the last four bits."""
+        """Paths of lanes in order of falling length.
+
+        A cost carries its state in the last four bits and counts from the least one, so that 16 bits hold it.
+        """
         lengths = np.array([len(c) for c in codes])
         most, n, kinds = int(lengths.max(initial=0)), len(codes), len(STATES)
         if not most:
@@ -218,14 +221,15 @@ class Model:
         for k, c in enumerate(codes):
             seen[: len(c), k] = c
         stayed = np.empty((most, kinds, n), np.bool_)
-        from_ = np.empty((most, n), np.uint8)
-        own = np.arange(kinds, dtype=np.int32)[:, None]
-        cost = np.repeat(own + (self.switch << 4) * (own > 0), n, axis=1).astype(np.int32)
+        from_ = np.empty((most, n), np.int16)
+        own = np.arange(kinds, dtype=np.int16)[:, None]
+        jump = np.int16(int(self.switch) << 4)
+        cost, jumped = np.repeat(own + jump * (own > 0), n, axis=1), own + jump
         final = np.zeros(n, np.uint8)
         active = n
         for t in range(most):
             if t % AHEAD == 0:
-                emitted = np.ascontiguousarray(self.table[seen[t : t + AHEAD, :active]].transpose(0, 2, 1)).astype(np.int32) << 4
+                emitted = np.ascontiguousarray(np.take(self.table, seen[t : t + AHEAD, :active], axis=0).transpose(0, 2, 1)).astype(np.int16) << 4
             if lengths[active - 1] <= t:
                 left = int(np.searchsorted(-lengths, -t, "left"))
                 final[left:active] = cost[:, left:active].min(axis=0) & 15
@@ -233,10 +237,10 @@ class Model:
                 cost = np.ascontiguousarray(cost[:, :active])
                 emitted = np.ascontiguousarray(emitted[:, :, :active])
             least = cost.min(axis=0)
-            np.bitwise_and(least, 15, out=from_[t, :active], casting="unsafe")
-            jump = (least | 15) + (self.switch << 4)
-            np.less_equal(cost, jump, out=stayed[t, :, :active])
-            np.minimum(cost, own + (jump & ~15), out=cost)
+            from_[t, :active] = least
+            cost -= least & ~15
+            np.less_equal(cost, jump | 15, out=stayed[t, :, :active])
+            np.minimum(cost, jumped, out=cost)
             cost += emitted[t % AHEAD]
         final[:active] = cost.min(axis=0) & 15
         path = np.zeros((most, n), np.uint8)
@@ -247,7 +251,7 @@ class Model:
                 active += 1
             now = state[:active]
             path[t, :active] = now
-            state[:active] = np.where(stayed[t, now, lanes[:active]], now, from_[t, :active])
+            state[:active] = np.where(stayed[t, now, lanes[:active]], now, from_[t, :active] & 15)
         return [path[: lengths[k], k] for k in range(n)]
 
 
