@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 
@@ -58,6 +60,7 @@ def ship(spark: SparkSession) -> None:
         return
     here = os.path.dirname(os.path.abspath(__file__))
     folder = tempfile.mkdtemp(prefix="gridspark-code-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)  # executors fetch it as long as the application lives
     archive = os.path.join(folder, "gridspark_code.zip")
     with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
         for at, _, files in os.walk(here):
