@@ -36,7 +36,9 @@ SKETCH_BITS = 64 * SKETCH_LONGS
 _rng = np.random.default_rng(20240607)
 _MULTIPLY = _rng.integers(1, 2**63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _rng.integers(0, 2**63, SAMPLES, dtype=np.uint64)
-SIGNED = "id bigint, digest bigint, shingles binary, bands array<bigint>, sketch array<bigint>"
+SIGNED = "id bigint, digest bigint, bands array<bigint>, sketch array<bigint>"
+#: Characters of the texts whose shingle sets a task keeps while it checks pairs.
+KEPT_CHARS = 8_000_000
 
 
 def shingle_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -73,9 +75,9 @@ def most_differing_bits(threshold: float, sigmas: float = 4.5) -> int:
 
 
 def sign(texts: DataFrame, width: int, least_words: int) -> DataFrame:
-    """``texts`` (id, text) -> digest of the words, shingle set, band keys and odd sketch."""
+    """``texts`` (id, text) -> digest of the words, band keys and odd sketch."""
     schema = pa.schema([
-        ("id", pa.int64()), ("digest", pa.int64()), ("shingles", pa.binary()), ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64())),
+        ("id", pa.int64()), ("digest", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64())),
     ])
 
     def run(batches):
@@ -93,18 +95,19 @@ def sign(texts: DataFrame, width: int, least_words: int) -> DataFrame:
                 band = np.arange(BANDS, dtype=np.uint64)  # keys of different bands never meet
                 for r in range(ROWS):
                     band = mix(band * np.uint64(31) + minima[r::ROWS] + np.uint64(r))
-                rows.append((i, int(digest.view(np.int64)[0]), shingles.tobytes(), band.view(np.int64).tolist(), odd_sketch(minima).tolist()))
+                rows.append((i, int(digest.view(np.int64)[0]), band.view(np.int64).tolist(), odd_sketch(minima).tolist()))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
     return spread(texts.filter("id is not null and text is not null")).mapInArrow(run, SIGNED)
 
 
-def similar_representatives(light: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+def similar_representatives(light: DataFrame, texts: DataFrame, threshold: float, width: int) -> DataFrame:
     """Exact ``a < b, similarity`` of the distinct texts at or over the threshold.
 
-    ``light`` has the band keys and sketches of one text of each kind, ``sets`` (id, shingles)
-    the shingles of all: these move only to meet the pairs that passed.
+    ``light`` has the band keys and sketches of one text of each kind, ``texts`` (id, text) the texts
+    of all: these move only to meet the pairs that passed, for texts are a third of their shingle
+    sets in size.
     """
     keys = light.select("id", F.explode("bands").alias("key"))
     a, b = keys.alias("a"), keys.alias("b")
@@ -121,41 +124,56 @@ def similar_representatives(light: DataFrame, sets: DataFrame, threshold: float)
         .filter(differing <= most_differing_bits(threshold))
         .select("a", "b")
     )
-    both = (
-        pairs.join(sets.withColumnsRenamed({"id": "b", "shingles": "set_b"}), "b")
-        .join(sets.withColumnsRenamed({"id": "a", "shingles": "set_a"}), "a")
-    )
+    in_pairs = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    own = texts.join(in_pairs, "id", "left_semi")
+    both = pairs.join(own.withColumnsRenamed({"id": "b", "text": "text_b"}), "b").join(own.withColumnsRenamed({"id": "a", "text": "text_a"}), "a")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("similarity", pa.float64())])
 
     def run(batches):
+        hashed = WordHash()
+        kept: dict[str, np.ndarray] = {}
+        size = 0
+
+        def of(text: str) -> np.ndarray:
+            nonlocal size
+            if text not in kept:
+                if size > KEPT_CHARS:
+                    kept.clear()
+                    size = 0
+                size += len(text)
+                kept[text] = shingle_hashes(hashed.of(PLAIN.findall(text.lower())), width)
+            return kept[text]
+
         for batch in batches:
             out = []
             for x, y, p, q in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
+                p, q = of(p), of(q)
                 common = len(np.intersect1d(p, q, assume_unique=True))
+                if not len(p) or not len(q):  # another text of the same id
+                    continue
                 # the threshold is compared in integers: no rounding at exactly 60 %
                 if common * 10**6 >= round(threshold * 10**6) * (len(p) + len(q) - common):
                     out.append((x, y, common / (len(p) + len(q) - common)))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
-    return both.select("a", "b", "set_a", "set_b").mapInArrow(run, "a bigint, b bigint, similarity double").distinct()
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint, similarity double").distinct()
 
 
 def _prepared(texts: DataFrame, width: int, least_words: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(id -> representative, bands and sketches of the representatives, shingles of all), written once."""
+    """(id -> representative, bands and sketches of the representatives, texts of all); the first two written once."""
     signed = cut(sign(texts.select("id", "text"), width, least_words))
     members = signed.select("id", "digest").distinct()
     heads = members.groupBy("digest").agg(F.min("id").alias("rep"))
     # by id, not by digest: a text with very many copies makes no hot key
     own = signed.select("id", "digest", "bands", "sketch").join(heads.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id", "digest"])
-    return members.join(heads, "digest").select("id", "rep"), own, signed.select("id", "shingles")
+    return members.join(heads, "digest").select("id", "rep"), own, texts.select(F.col("id").cast("bigint").alias("id"), "text").filter("id is not null and text is not null")
 
 
 def near_duplicate_links(texts: DataFrame, threshold: float = 0.8, width: int = 5, least_words: int = 0) -> tuple[DataFrame, DataFrame]:
     """``members`` (id, rep) and ``links`` between representatives (a, b, similarity)."""
-    members, own, sets = _prepared(texts, width, least_words)
-    return members, similar_representatives(own, sets, threshold)
+    members, own, all_texts = _prepared(texts, width, least_words)
+    return members, similar_representatives(own, all_texts, threshold, width)
 
 
 def near_duplicate_pairs(texts: DataFrame, threshold: float = 0.8, width: int = 5, least_words: int = 0) -> DataFrame:

@@ -67,3 +67,10 @@ def test_bitmaps_of_deliveries_merge(spark):
     assert sorted(map(tuple, term_frequency.frequencies(term_frequency.union(parts)).collect())) == want
     kept = term_frequency.containers(term_frequency.union(parts)).groupBy("term").agg(F.sum("n_records").alias("n")).filter("term <> ''").collect()
     assert {(r.term, r.n) for r in kept} == {(t, n) for t, _, n, *_ in want}
+
+
+def test_one_id_with_a_long_and_a_short_text(spark):
+    words = " ".join(f"w{k}" for k in range(80))
+    df = spark.createDataFrame([(1, words), (1, "too short"), (1, None), (2, words + " more"), (3, ""), (None, words)], "id bigint, text string")
+    assert [tuple(r) for r in near_dup.near_duplicate_pairs(df, 0.6, 3, 40).collect()] == [(1, 2)]
+    assert {(r.id, r.group_id) for r in near_dup.near_duplicate_groups(df, 0.6, 3, 40).collect()} == {(1, 1), (2, 1)}
