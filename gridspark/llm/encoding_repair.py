@@ -176,6 +176,11 @@ def misreadings(clean: str) -> dict[str, str]:
     return out
 
 
+@lru_cache(20_000)
+def _forms_of(clean: str) -> frozenset[str]:
+    return frozenset(misreadings(clean))
+
+
 def oddness(word: str) -> tuple[int, int, int]:
     """Signs that stand in no written word (characters lost, drawing signs, signs within letters), those that stand
     in few, and capitals inside a small word: one of these may begin a part of a name, ``modÜbersicht``."""
@@ -198,6 +203,7 @@ def oddness(word: str) -> tuple[int, int, int]:
     return hard, weak + (capitals if capitals > 1 else 0), capitals
 
 
+@lru_cache(None)
 def _class(c: str) -> str:
     if c < "\x80":
         return "a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else " " if c.isspace() else "."
@@ -230,6 +236,7 @@ class Judge:
 
     def __init__(self, counts: dict[str, int], votes: dict[str, int], least_votes: int = 2):
         self.counts, self.least_votes, self.learned = counts, least_votes, {t for t, n in votes.items() if n >= least_votes}
+        self.logs = {f: math.log(n + 0.3) for f, n in counts.items()}
         self.alone: Counter = Counter()
         for f, n in counts.items():
             if f[0] == "<":
@@ -243,8 +250,14 @@ class Judge:
     def usual(self, text: str) -> float:
         if len(text) < 4 and not re.search(r"[\x00-\x7f]", text):  # a sign or two by themselves have no neighbours to tell by
             return sum(math.log(self.alone.get(c, 0) + 0.3) for c in text) / len(text) if text else 9.0
-        fs = features(text)
-        return sum(math.log(self.counts.get(f, 0) + 0.3) for f in fs) / len(fs) if fs else 9.0
+        of, unseen = self.logs.get, math.log(0.3)
+        total, n, last = 0.0, 0, len(text) - 1
+        for m in _NON_ASCII.finditer(text):
+            k = m.start()
+            c = text[k]
+            total += of("<" + (_class(text[k - 1]) if k else " ") + c, unseen) + of(">" + (_class(text[k + 1]) if k < last else " ") + c, unseen)
+            n += 2
+        return total / n if n else 9.0
 
     def restore(self, unit: str) -> tuple[str, str] | None:
         """(restored, transformation), or None if the unit looks as written."""
@@ -275,17 +288,18 @@ class Judge:
             if gains[after] >= margin and (best is None or gains[after] > best[0]):
                 best = (gains[after], after, name)
         if best is None:
-            return self._damaged(unit, before)
+            return self._damaged(raws, before)
         again = self.restore(best[1]) if best[2].startswith("utf-8>") else None
         return again or best[1:]
 
-    def _damaged(self, unit: str, before: float) -> tuple[str, str] | None:
+    def _damaged(self, raws: dict[str, bytes | None], before: float) -> tuple[str, str] | None:
         """Multi-byte text with some bytes gone: most of it must decode to usual characters."""
         best = None
         for pair in PAIRS:
             if pair[0] not in MULTIBYTE or f"{pair[0]}>{pair[1]}" not in self.learned:
                 continue
-            after = reread(unit, pair, "replace")
+            raw = raws[pair[1]]
+            after = None if raw is None else _decoded(raw, pair[0], "replace")
             n = len(_NON_ASCII.findall(after or ""))
             if not n or after.count("�") * 4 > n:
                 continue
@@ -334,7 +348,7 @@ def _exempt(text: str, segs: list, k: int) -> bool:
     for j in (k - 1, k + 1):
         if 0 <= j < len(segs) and segs[j].kind == "literal" and "\n" not in text[min(segs[k].end, segs[j].end) : max(segs[k].start, segs[j].start)]:
             other = text[segs[j].start : segs[j].end]
-            if own and other and (own in misreadings(other) or other in misreadings(own)):
+            if not own.isascii() and not other.isascii() and (own in _forms_of(other) or other in _forms_of(own)):
                 return True
     return False
 
