@@ -220,33 +220,33 @@ def p9_kept(spark, root):
 
 
 def _made(spark, root, lines):
-    """A module for every order: some code of its own and a line made by SQL."""
-    code = "concat_ws('\n', concat('Sub Work', o_orderkey, '()'), concat('    total', o_orderkey, ' = amount', o_custkey, ' * ', o_orderkey % 977), concat('    Cells(', o_orderkey % 99 + 1, ', 2).Value = total', o_orderkey), " + lines + ", 'End Sub')"
-    return table(spark, root, "orders").select(
-        F.col("o_orderkey").alias("module_id"), F.concat(F.lit("/made/"), "o_orderkey", F.lit(".xlsm")).alias("path"), F.concat(F.lit("Work"), "o_orderkey").alias("name"), F.expr(code).alias("vba_source_text"),
+    """A module for every customer: some code of its own and a line made by SQL."""
+    code = "concat_ws('\n', concat('Sub Work', c_custkey, '()'), concat('    total', c_custkey, ' = amount', c_nationkey, ' * ', c_custkey % 977), concat('    Cells(', c_custkey % 99 + 1, ', 2).Value = total', c_custkey), " + lines + ", 'End Sub')"
+    return table(spark, root, "customer").select(
+        F.col("c_custkey").alias("module_id"), F.concat(F.lit("/made/"), "c_custkey", F.lit(".xlsm")).alias("path"), F.concat(F.lit("Work"), "c_custkey").alias("name"), F.expr(code).alias("vba_source_text"),
     )
 
 
-@query("p3_planted", "SELECT o_orderkey AS module_id FROM orders WHERE o_orderkey % 11 = 3")
+@query("p3_planted", "SELECT c_custkey AS module_id FROM customer WHERE c_custkey % 11 = 3")
 def p3_planted(spark, root):
-    clean = "concat(\"    ' Die Prüfung der Bestellung \", o_orderkey, ' wählt die täglichen Beträge für die Übersicht')"
+    clean = "concat(\"    ' Die Prüfung der Bestellung \", c_custkey, ' wählt die täglichen Beträge für die Übersicht')"
     wrong = f"decode(encode({clean}, 'UTF-8'), 'ISO-8859-1')"
-    made = _made(spark, root, f"CASE WHEN o_orderkey % 11 = 3 THEN {wrong} ELSE {clean} END")
+    made = _made(spark, root, f"CASE WHEN c_custkey % 11 = 3 THEN {wrong} ELSE {clean} END")
     return encoding_repair.garbled_units(made).filter("field = 'vba_source_text'").select("module_id").distinct()
 
 
-@query("p4_planted", "SELECT o_orderkey AS module_id, 4 AS line_no FROM orders WHERE o_orderkey % 7 = 2 OR o_orderkey % 7 = 4")
+@query("p4_planted", "SELECT c_custkey AS module_id, 4 AS line_no FROM customer WHERE c_custkey % 7 = 2 OR c_custkey % 7 = 4")
 def p4_planted(spark, root):
     """A password of its own in a seventh of the modules, one in a connection in another; one that all of a third seventh share is a placeholder."""
-    own = "substr(md5(CAST(o_orderkey AS STRING)), 1, 6)"
-    made = _made(spark, root, f"""CASE o_orderkey % 7 WHEN 2 THEN concat('    strPwd = "', upper({own}), '#q', o_orderkey, '"') WHEN 4 THEN concat('    cn.Open "Server=s1;Uid=web;Pwd=', {own}, 'X!', o_orderkey, ';"')
-      WHEN 5 THEN '    strPwd = "Welcome123"' ELSE concat('    caption = "Order ', o_orderkey, '"') END""")
+    own = "substr(md5(CAST(c_custkey AS STRING)), 1, 6)"
+    made = _made(spark, root, f"""CASE c_custkey % 7 WHEN 2 THEN concat('    strPwd = "', upper({own}), '#q', c_custkey, '"') WHEN 4 THEN concat('    cn.Open "Server=s1;Uid=web;Pwd=', {own}, 'X!', c_custkey, ';"')
+      WHEN 5 THEN '    strPwd = "Welcome123"' ELSE concat('    caption = "Order ', c_custkey, '"') END""")
     return secrets.find_credentials(made).filter("part = 0").select("module_id", "line_no").distinct()
 
 
-@query("p5_planted", "SELECT o_orderkey AS module_id, ['en', 'de', 'fr', 'ru'][o_orderkey % 8 + 1] AS lang FROM orders WHERE o_orderkey % 8 < 4")
+@query("p5_planted", "SELECT c_custkey AS module_id, ['en', 'de', 'fr', 'ru'][c_custkey % 8 + 1] AS lang FROM customer WHERE c_custkey % 8 < 4")
 def p5_planted(spark, root):
-    made = _made(spark, root, """CASE o_orderkey % 8 WHEN 0 THEN "    ' The harbour was quiet when the last boat came home." WHEN 1 THEN "    ' Der Hafen war still, als das letzte Boot nach Hause kam."
+    made = _made(spark, root, """CASE c_custkey % 8 WHEN 0 THEN "    ' The harbour was quiet when the last boat came home." WHEN 1 THEN "    ' Der Hafen war still, als das letzte Boot nach Hause kam."
       WHEN 2 THEN "    ' Le port était calme quand le dernier bateau est rentré." WHEN 3 THEN "    ' В гавани было тихо, когда вернулась последняя лодка."
-      ELSE concat("    ' x = Range(A", o_orderkey % 50 + 1, ").Value") END""")
+      ELSE concat("    ' x = Range(A", c_custkey % 50 + 1, ").Value") END""")
     return code_language.natural_language(made).select("module_id", "lang").distinct()
