@@ -124,6 +124,7 @@ def similar_representatives(light: DataFrame, texts: DataFrame, threshold: float
         .filter(differing <= most_differing_bits(threshold))
         .select("a", "b")
     )
+    pairs = cut(pairs)  # two numbers a pair; read for the ids in it and for the pairs
     in_pairs = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     own = texts.join(in_pairs, "id", "left_semi")
     both = pairs.join(own.withColumnsRenamed({"id": "b", "text": "text_b"}), "b").join(own.withColumnsRenamed({"id": "a", "text": "text_a"}), "a")
